@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -36,3 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
     return f"{shared_folder(spark).rstrip('/')}/sightline/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a summary table to the shared folder once and read it back.
+
+    For tables used by several later steps: they start from the written rows, whose size Spark then
+    knows, instead of repeating the scan, and a lost executor costs no more than a re-read.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
