@@ -107,3 +107,26 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most ``rows`` rows; reads no further than needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def quantiles_from_runs(values: DataFrame, keys: list[str], value: str, weight: str, probs: list[float]) -> DataFrame:
+    """Type-7 quantiles from distinct values with their counts and running counts.
+
+    ``values`` is the output of ``running_sums`` for ``weight``. Each value row keeps only the wanted
+    ranks that fall inside its own run, so nothing is multiplied by the number of quantiles.
+    Returns (keys, p, quantile).
+    """
+    n, upto = F.col(f"{weight}_all"), F.col(f"{weight}_run")
+    ranks = F.array(*[
+        F.struct(F.lit(p).alias("p"), F.floor((n - 1) * p).alias("lo"), F.ceil((n - 1) * p).alias("hi"),
+                 ((n - 1) * p - F.floor((n - 1) * p)).alias("f"))
+        for p in probs
+    ])
+    held = values.select(*keys, F.col(value).alias("v"), (upto - F.col(weight)).alias("a"), upto.alias("b"), ranks.alias("ranks"))
+    own = F.filter("ranks", lambda x: ((x["lo"] >= F.col("a")) & (x["lo"] < F.col("b")))
+                   | ((x["hi"] >= F.col("a")) & (x["hi"] < F.col("b"))))
+    picked = held.select(*keys, "v", "a", "b", F.explode(own).alias("r"))
+    at = picked.groupBy(*keys, F.col("r.p").alias("p"), F.col("r.f").alias("f")).agg(
+        F.min("v").alias("v0"), F.max("v").alias("v1")
+    )
+    return at.select(*keys, "p", (F.col("v0") + F.col("f") * (F.col("v1") - F.col("v0"))).alias("quantile"))
