@@ -50,19 +50,15 @@ def _tail(z: Column) -> Column:
 def norm_cdf(x: Column, mean: float = 0.0, sd: float = 1.0) -> Column:
     """P(N(mean, sd) <= x)."""
     z = x if (mean, sd) == (0.0, 1.0) else (x - F.lit(mean)) / F.lit(sd)
-    tail = _tail(F.abs(z))
-    return F.when(z > 0, F.lit(1.0) - tail).otherwise(tail)
+    side = F.signum(z)  # 1 - tail on the right, tail on the left, with the tail written once
+    return F.lit(0.5) * (F.lit(1.0) + side) - side * _tail(F.abs(z))
 
 
 def log_norm_cdf(x: Column) -> Column:
     """log P(Z <= x), with its own branch where the tail underflows."""
-    tail = _tail(F.abs(x))
     far = -x * x / 2 - F.log(-x) - 0.5 * math.log(2 * math.pi)
-    return (
-        F.when(x < -UNDERFLOW_ABOVE, far)
-        .when(x > 0, F.log1p(-tail))
-        .otherwise(F.log(tail))
-    )
+    tail = _tail(F.abs(x))
+    return F.when(x < -UNDERFLOW_ABOVE, far).when(x > 0, F.log1p(-tail)).otherwise(F.log(tail))
 
 
 def norm_upper(x: Column) -> Column:

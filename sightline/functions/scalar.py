@@ -44,7 +44,7 @@ def half_normal(distance: Column, sigma: float | Column) -> Column:
 
 def log_half_normal(distance: Column, sigma: float | Column) -> Column:
     scaled = distance / (F.lit(float(sigma)) if isinstance(sigma, (int, float)) else sigma)
-    return scaled * scaled * F.lit(-0.5)
+    return F.pow(scaled, F.lit(2.0)) * F.lit(-0.5)
 
 
 def lognormal_factor(estimate: Column, se: Column, z: float) -> Column:

@@ -146,18 +146,19 @@ def silhouette_by_k(labelled: DataFrame, k_max: int, columns: tuple[str, ...] =
     sums = long.join(parts, ["feature", "k", "v"]).groupBy("id", "k", "c").agg(
         *[(F.sum(f"d{j}") / F.lit(float(len(columns)))).alias(f"d{j}") for j in slots]
     )
-    sizes = labelled.groupBy("k").agg(*[F.count(F.when(F.col("c") == j, 1)).alias(f"n{j}") for j in slots])
-    joined = sums.join(sizes, "k")
-    own_n = reduce(lambda a, j: F.when(F.col("c") == j, F.col(f"n{j}")).otherwise(a), slots, F.lit(0))
-    own_d = reduce(lambda a, j: F.when(F.col("c") == j, F.col(f"d{j}")).otherwise(a), slots, F.lit(0.0))
-    a = F.try_divide(own_d, (own_n - 1).cast("double"))
-    b = F.least(F.lit(None).cast("double"), *[
-        F.when((F.col("c") != j) & (F.col(f"n{j}") > 0), F.col(f"d{j}") / F.col(f"n{j}")) for j in slots
-    ])
+    sizes = labelled.groupBy("k").agg(
+        F.array(*[F.count(F.when(F.col("c") == j, 1)) for j in slots]).alias("sizes")
+    )
+    means = F.zip_with("sums", "sizes", lambda d, n: F.try_divide(d, n.cast("double")))
+    scored = (
+        sums.select("k", "c", F.array(*[f"d{j}" for j in slots]).alias("sums")).join(sizes, "k")
+        .select("k", "c", F.element_at("sums", F.col("c")).alias("own"),
+                (F.element_at("sizes", F.col("c")) - 1).cast("double").alias("others"), means.alias("means"))
+        .select("k", F.try_divide("own", "others").alias("a"),
+                F.array_min(F.transform("means", lambda m, i: F.when(i + 1 != F.col("c"), m))).alias("b"))
+    )
     width = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    lone = (F.col("own_n") == 1) | F.col("b").isNull()
-    scored = joined.select("k", own_n.alias("own_n"), a.alias("a"), b.alias("b"))
-    return scored.groupBy("k").agg(F.avg(F.when(lone, 0.0).otherwise(width)).alias("silhouette"))
+    return scored.groupBy("k").agg(F.avg(width).alias("silhouette"))
 
 
 # ---- projection -------------------------------------------------------------------------------------------

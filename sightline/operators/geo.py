@@ -16,7 +16,7 @@ from sightline.operators.ranks import is_small
 # the coordinates; nothing is reprojected.
 CRS = "+proj=utm +zone=32 +datum=WGS84 +units=km +no_defs +ellps=WGS84 +towgs84=0,0,0"
 
-LOCAL_SEGMENTS = 64
+LOCAL_SEGMENTS = 16
 LOCAL_EDGES = 100_000
 FAN = 8
 SEGMENT = ("x1", "y1", "x2", "y2")
@@ -129,8 +129,18 @@ def _segment_distance(px: Column, py: Column, seg: dict[str, Column]) -> Column:
     dx, dy = x2 - x1, y2 - y1
     along = F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy)
     t = F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    ex, ey = px - x1 - t * dx, py - y1 - t * dy
-    return F.sqrt(ex * ex + ey * ey)
+    return F.hypot(px - x1 - t * dx, py - y1 - t * dy)
+
+
+def _squared_distance_to(segment) -> Column:
+    """Squared distance from (x, y) to a segment with known ends."""
+    x1, y1, x2, y2 = (float(segment[k]) for k in SEGMENT)
+    dx, dy = x2 - x1, y2 - y1
+    px, py = F.col("x") - F.lit(x1), F.col("y") - F.lit(y1)
+    if dx == dy == 0:
+        return px * px + py * py
+    t = F.least(F.greatest((px * F.lit(dx) + py * F.lit(dy)) / F.lit(dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+    return F.pow(px - t * F.lit(dx), F.lit(2.0)) + F.pow(py - t * F.lit(dy), F.lit(2.0))
 
 
 def _columns() -> dict[str, Column]:
@@ -166,19 +176,21 @@ def nearest_line(
 ) -> DataFrame:
     """Distance from each point to the nearest line, and which line it is.
 
-    Up to ``local`` segments (checked) travel as one array and every point is measured where it is.
-    Beyond that, points meet only the candidates of their lattice cell, and the minimum is combined
-    per point before it is shuffled.
+    Up to ``local`` segments (checked by a limited read) become constants of one expression, so every
+    point is measured where it is in generated code. Beyond that, points meet only the candidates of
+    their lattice cell, and the minimum is combined per point before it is shuffled.
     """
-    if is_small(segments, local):
-        listed = one_row(segments, all=F.collect_list(F.struct(line, *SEGMENT)))
-        near = F.array_min(F.transform("segments", lambda s: F.struct(
-            _segment_distance(F.col("x"), F.col("y"), {k: s[k] for k in SEGMENT}).alias("d"), s[line].alias(line)
-        )))
-        return (
-            points.withColumn("segments", listed["all"]).withColumn("near", near)
-            .withColumns({"dist_obs": F.col("near.d"), line: F.col(f"near.{line}")}).drop("segments", "near")
-        )
+    few = segments.select(line, *SEGMENT).limit(local + 1).collect()
+    if 0 < len(few) <= local:
+        squares = [f"near_{i}" for i in range(len(few))]
+        measured = points.withColumns({c: _squared_distance_to(s) for c, s in zip(squares, few)})
+        least = F.least(*squares) if len(squares) > 1 else F.col(squares[0])
+        which = F.lit(None)
+        for c, s in reversed(list(zip(squares, few))):
+            which = F.when(F.col(c) == F.col("near"), F.lit(s[line])).otherwise(which)
+        return measured.withColumn("near", least).withColumns(
+            {"dist_obs": F.sqrt("near"), line: which}
+        ).drop("near", *squares)
     box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if box[0] is None:
         return points.withColumns({"dist_obs": F.lit(None).cast("double"), line: F.lit(None).cast("long")})

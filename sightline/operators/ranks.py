@@ -117,16 +117,19 @@ def quantiles_from_runs(values: DataFrame, keys: list[str], value: str, weight:
     Returns (keys, p, quantile).
     """
     n, upto = F.col(f"{weight}_all"), F.col(f"{weight}_run")
-    ranks = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.floor((n - 1) * p).alias("lo"), F.ceil((n - 1) * p).alias("hi"),
-                 ((n - 1) * p - F.floor((n - 1) * p)).alias("f"))
-        for p in probs
-    ])
-    held = values.select(*keys, F.col(value).alias("v"), (upto - F.col(weight)).alias("a"), upto.alias("b"), ranks.alias("ranks"))
-    own = F.filter("ranks", lambda x: ((x["lo"] >= F.col("a")) & (x["lo"] < F.col("b")))
-                   | ((x["hi"] >= F.col("a")) & (x["hi"] < F.col("b"))))
-    picked = held.select(*keys, "v", "a", "b", F.explode(own).alias("r"))
-    at = picked.groupBy(*keys, F.col("r.p").alias("p"), F.col("r.f").alias("f")).agg(
+    held = values.select(
+        *keys, F.col(value).alias("v"), (n - 1).alias("last"), (upto - F.col(weight)).alias("a"), upto.alias("b")
+    )
+
+    def own(p: Column) -> Column:
+        place = F.col("last") * p
+        return ((F.floor(place) >= F.col("a")) & (F.floor(place) < F.col("b"))) | (
+            (F.ceil(place) >= F.col("a")) & (F.ceil(place) < F.col("b")))
+
+    wanted = F.filter(F.array(*[F.lit(p) for p in probs]), own)
+    at = held.select(*keys, "v", "last", F.explode(wanted).alias("p")).groupBy(*keys, "p", "last").agg(
         F.min("v").alias("v0"), F.max("v").alias("v1")
     )
-    return at.select(*keys, "p", (F.col("v0") + F.col("f") * (F.col("v1") - F.col("v0"))).alias("quantile"))
+    place = F.col("last") * F.col("p")
+    between = F.col("v0") + (place - F.floor(place)) * (F.col("v1") - F.col("v0"))
+    return at.select(*keys, "p", between.alias("quantile"))

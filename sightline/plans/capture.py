@@ -10,6 +10,7 @@ from sightline.operators import abundance as ab
 from sightline.operators import capture as cap
 from sightline.operators import counts as ct
 from sightline.operators import gof, models
+from sightline.plans import views  # noqa: F401  (oracle views)
 from sightline.plans.registry import q, query, r, view
 from sightline.session import settle
 from sightline.sources import fixtures as fx

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import cluster as cl
 from sightline.operators.fidelity import FEATURES, fidelity_features
+from sightline.plans import views  # noqa: F401  (oracle views)
 from sightline.plans.registry import q, query, r, view
 from sightline.session import settle
 from sightline.sources import fixtures as fx

@@ -8,6 +8,7 @@ from sightline.functions import normal
 from sightline.operators import counts as ct
 from sightline.operators import detect, geo
 from sightline.operators import intensity as it
+from sightline.plans import views  # noqa: F401  (oracle views)
 from sightline.plans.registry import q, query, r, view
 from sightline.session import settle, shared_path
 from sightline.sources import fixtures as fx

@@ -8,6 +8,7 @@ from sightline.functions.scalar import na_to_zero, one_row, round_half_even
 from sightline.functions.normal import norm_quantile
 from sightline.operators import calendar, counts, fidelity
 from sightline.operators.ranks import group_quantiles
+from sightline.plans import views  # noqa: F401  (oracle views)
 from sightline.plans.registry import q, query, r
 from sightline.session import shared_path
 from sightline.sources import fixtures as fx
