@@ -161,6 +161,95 @@ def silhouette_by_k(labelled: DataFrame, k_max: int, columns: tuple[str, ...] =
     return scored.groupBy("k").agg(F.avg(width).alias("silhouette"))
 
 
+# ---- squared dissimilarities ------------------------------------------------------------------------------
+
+def feature_codes(scaled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Dense code (from 0) of every distinct value of every feature, with the number of codes."""
+    values = _long(scaled, ["id"], columns).groupBy("feature", "v").agg(F.lit(1).cast("bigint").alias("w"))
+    runs = running_sums(values, ["feature"], "v", ["w"])
+    return runs.select("feature", "v", (F.col("w_run") - 1).alias("code"), F.col("w_all").alias("size"))
+
+
+def _feature_pairs(scaled: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each individual once per pair of features; x is the one with fewer codes."""
+    coded = _long(scaled, ["id"], columns).join(feature_codes(scaled, columns), ["feature", "v"])
+    own = coded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("size", "feature", "v", "code"))).alias("own"))
+    last = len(columns) - 1
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda i: F.transform(
+        F.sequence(i + 1, F.lit(last)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    at = own.select("id", "own", F.explode(pairs).alias("p"))
+    x, y = F.col("own")[F.col("p.i")], F.col("own")[F.col("p.j")]
+    return at.select(
+        "id", F.concat_ws("*", x["feature"], y["feature"]).alias("pair"),
+        x["v"].alias("x"), x["code"].alias("code"), F.ceil(F.log2(x["size"])).alias("levels"), y["v"].alias("y"),
+    )
+
+
+def absolute_products(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum over unordered pairs of |x_i - x_j| |y_i - y_j| within ``keys``, without the pairs.
+
+    Two different codes of x part at exactly one bit: they agree above it, and there the smaller has
+    0 and the larger 1. So each row enters one node per bit, and within a node every 1-row meets all
+    0-rows. With the node ordered by y, running counts and sums of the 0-rows give that meeting in
+    closed form. The work is rows times bits, and rows that share (x, y) are counted together.
+    """
+    counted = rows.groupBy(*keys, "levels", "code", "x", "y").agg(F.count("*").alias("w"))
+    bits = counted.select("*", F.explode(F.sequence(F.lit(0), (F.col("levels") - 1).cast("int"))).alias("bit")).filter("levels > 0")
+    scale = F.pow(F.lit(2.0), F.col("bit"))
+    above = F.floor(F.col("code") / scale)
+    placed = bits.withColumns({"node": F.floor(above / 2), "upper": (above % 2) == 1})
+    node = [*keys, "levels", "bit", "node"]
+    zero = F.when(F.col("upper"), F.lit(0.0))
+    w, wx = F.col("w").cast("double"), F.col("w") * F.col("x")
+    at_y = placed.groupBy(*node, "y").agg(
+        F.sum(F.when(F.col("upper"), w).otherwise(0.0)).alias("w1"), F.sum(F.when(F.col("upper"), wx).otherwise(0.0)).alias("x1"),
+        F.sum(zero.otherwise(w)).alias("n"), F.sum(zero.otherwise(wx)).alias("sx"),
+    ).withColumns({"sy": F.col("n") * F.col("y"), "sxy": F.col("sx") * F.col("y")})
+    cuts = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.lit(10) - (F.col("levels") - 1 - F.col("bit"))))
+    runs = running_sums(at_y, node, "y", ["n", "sx", "sy", "sxy"], cuts)
+    y, w1, x1 = (F.col(c) for c in ("y", "w1", "x1"))
+
+    def met(n: Column, sx: Column, sy: Column, sxy: Column) -> Column:
+        return x1 * (y * n - sy) - w1 * (y * sx - sxy)
+
+    names = ("n", "sx", "sy", "sxy")
+    below = met(*[F.col(f"{c}_run") for c in names])
+    over = met(*[F.col(f"{c}_all") - F.col(f"{c}_run") for c in names])
+    return runs.groupBy(*keys).agg(F.sum(below - over).alias("products"))
+
+
+def within_squares(scaled: DataFrame, labelled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Per (k, c): size and the sum of squared Gower dissimilarities over its unordered pairs.
+
+    The square expands into products of feature differences: equal features give plain sums of
+    squares, different ones ``absolute_products``.
+    """
+    same = labelled.groupBy("k", "c").agg(F.count("*").alias("size"), reduce(lambda a, b: a + b, [
+        F.count("*") * F.sum(F.col(f) * F.col(f)) - F.sum(f) * F.sum(f) for f in columns]).alias("own"))
+    pairs = labelled.select("id", "k", "c").join(_feature_pairs(scaled, columns), "id")
+    cross = absolute_products(pairs, ["k", "c", "pair"]).groupBy("k", "c").agg(F.sum("products").alias("cross"))
+    p2 = F.lit(float(len(columns) ** 2))
+    return same.join(cross, ["k", "c"], "left").select(
+        "k", "c", "size", ((F.col("own") + 2 * F.coalesce("cross", F.lit(0.0))) / p2).alias("sum_d2")
+    )
+
+
+def wss_by_k(scaled: DataFrame, labelled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Within sum of squares: over clusters, squared dissimilarities of its pairs over its size."""
+    squares = within_squares(scaled, labelled, columns)
+    return squares.groupBy("k").agg(F.sum(F.col("sum_d2") / F.col("size")).alias("wss"))
+
+
+def pair_totals(scaled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Number of unordered pairs, and the sums of their dissimilarities and of the squares."""
+    whole = scaled.withColumns({"k": F.lit(1), "c": F.lit(1)})
+    sums = gower_sums(scaled, columns).agg((F.sum("sum_d") / 2).alias("sum_d"))
+    n = F.col("size")
+    return within_squares(scaled, whole, columns).select(
+        F.floor(n * (n - 1) / 2).alias("n_pairs"), sums.scalar().alias("sum_d"), "sum_d2"
+    )
+
+
 # ---- projection -------------------------------------------------------------------------------------------
 
 def _pca(z: DataFrame, columns: tuple[str, ...]):

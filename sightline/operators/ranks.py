@@ -11,14 +11,15 @@ RANK_IN_FULL = 10000
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int = BUCKETS
+    df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int | Column = BUCKETS
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` within ``keys``, plus the group totals.
 
     ``order`` must lie in [0, 1] and be unique within the keys (group equal values first). The
     interval is cut into equal buckets; bucket totals (at most ``buckets`` + 1 rows per group) give
-    the carry into each bucket, so a window never spans a whole group. Output adds ``<c>_run`` and
-    ``<c>_all`` for each summed column.
+    the carry into each bucket, so a window never spans a whole group. ``buckets`` may be a column
+    that depends on the keys, to cut small groups less finely. Output adds ``<c>_run`` and ``<c>_all``
+    for each summed column.
     """
     cut = df.withColumn("bucket", F.floor(F.col(order) * buckets).cast("int"))
     group = Window.partitionBy(*keys)

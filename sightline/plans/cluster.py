@@ -72,6 +72,27 @@ def gower_pairs(spark, sf):
     return out.select("id", r("sum_d").alias("sum_d"), r(F.try_divide(F.col("sum_d"), others["n"].cast("double"))).alias("mean_d"))
 
 
+@query("pair_join", f"SELECT count(*) AS n_pairs, {q('sum(d)', 3)} AS sum_d, {q('sum(d * d)', 3)} AS sum_d2 FROM pairs WHERE i < j",
+       "pairs")
+def pair_join(spark, sf):
+    """Totals over all unordered pairs, without the pairs."""
+    out = cl.pair_totals(_scaled(spark, sf))
+    return out.select("n_pairs", r("sum_d", 3).alias("sum_d"), r("sum_d2", 3).alias("sum_d2"))
+
+
+@query("wss_by_k", f"""
+    SELECT k, {q('sum(ss / size)', 5)} AS wss FROM (
+      SELECT n.k, n.c, n.size, coalesce(m.ss, 0) AS ss FROM (SELECT k, c, count(*) AS size FROM labels GROUP BY 1, 2) n
+      LEFT JOIN (SELECT x.k, x.c, sum(p.d * p.d) AS ss FROM pairs p JOIN labels x ON x.id = p.i
+                 JOIN labels y ON y.id = p.j AND y.k = x.k AND y.c = x.c WHERE p.i < p.j GROUP BY 1, 2) m
+        ON m.k = n.k AND m.c = n.c) GROUP BY k""", "pairs labels")
+def wss_by_k(spark, sf):
+    scaled = _scaled(spark, sf)
+    centres = settle(cl.quantile_centres(scaled, list(range(1, K_MAX + 1))), "centres")
+    labelled = settle(cl.assign_nearest(scaled, centres), "labels")
+    return cl.wss_by_k(scaled, labelled).withColumn("wss", r("wss", 5))
+
+
 @query("silhouette_by_k", f"""
     SELECT k, {q('avg(CASE WHEN own_n = 1 OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END)')} AS silhouette
     FROM (SELECT l.k, l.id, n.size AS own_n, m.a, m.b FROM labels l
@@ -81,7 +102,7 @@ def gower_pairs(spark, sf):
                   JOIN labels x ON x.id = p.i JOIN labels y ON y.id = p.j AND y.k = x.k GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) m
             ON m.k = l.k AND m.i = l.id) GROUP BY k""", "pairs labels")
 def silhouette_by_k(spark, sf):
-    labelled = _labelled(spark, sf, list(range(1, K_MAX + 1)))
+    labelled = settle(_labelled(spark, sf, list(range(1, K_MAX + 1))), "labels")
     return cl.silhouette_by_k(labelled, K_MAX).withColumn("silhouette", r("silhouette"))
 
 
