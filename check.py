@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -47,7 +48,7 @@ def main(argv):
     folder = argv[0] if argv else "/root/testdata/sf0.01"
     keys = argv[1:]
     queries, oracles = all_queries()
-    spark = local_session()
+    spark = local_session(partitions=int(os.environ.get("CHECK_PARTITIONS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
