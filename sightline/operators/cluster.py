@@ -228,10 +228,11 @@ def within_squares(scaled: DataFrame, labelled: DataFrame, columns: tuple[str, .
         F.count("*") * F.sum(F.col(f) * F.col(f)) - F.sum(f) * F.sum(f) for f in columns]).alias("own"))
     pairs = labelled.select("id", "k", "c").join(_feature_pairs(scaled, columns), "id")
     cross = absolute_products(pairs, ["k", "c", "pair"]).groupBy("k", "c").agg(F.sum("products").alias("cross"))
-    p2 = F.lit(float(len(columns) ** 2))
-    return same.join(cross, ["k", "c"], "left").select(
-        "k", "c", "size", ((F.col("own") + 2 * F.coalesce("cross", F.lit(0.0))) / p2).alias("sum_d2")
+    both = same.withColumn("cross", F.lit(0.0)).unionByName(
+        cross.select("k", "c", F.lit(0).cast("bigint").alias("size"), F.lit(0.0).alias("own"), "cross")
     )
+    square = (F.sum("own") + 2 * F.sum("cross")) / F.lit(float(len(columns) ** 2))
+    return both.groupBy("k", "c").agg(F.sum("size").alias("size"), square.alias("sum_d2"))
 
 
 def wss_by_k(scaled: DataFrame, labelled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
