@@ -18,14 +18,19 @@ def seen_by_month(sightings: DataFrame) -> DataFrame:
 def distinct_individuals(sightings: DataFrame) -> DataFrame:
     """Distinct individuals overall, by year and by month, with the well-marked ones and their share.
 
-    A rollup gives the three levels in one pass; the sightings are reduced to months first, and the
-    distinct count shuffles on (level, id), so the overall level is not one task.
+    Each individual-month is listed under its month, its year and the whole study, and deduplicated
+    there with a map-side combine; after that plain counts replace the distinct counts, and the
+    overall level is spread over tasks like the others. NULL y, m mark the higher levels.
     """
-    well = F.when(F.col("mark_level") == "WM", F.col("id"))
-    levels = seen_by_month(sightings).rollup("y", "m").agg(
-        F.count_distinct("id").alias("n"), F.count_distinct(well).alias("n_wm")
+    none = F.lit(None).cast("int")
+    levels = F.array(*[
+        F.struct(y.alias("y"), m.alias("m")) for y, m in ((F.col("y"), F.col("m")), (F.col("y"), none), (none, none))
+    ])
+    listed = seen_by_month(sightings).select("id", "mark_level", F.explode(levels).alias("at"))
+    counted = listed.select("id", "mark_level", "at.y", "at.m").distinct().groupBy("y", "m").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("mark_level") == "WM", 1)).alias("n_wm")
     )
-    return levels.withColumn("theta", ratio_or_zero(F.col("n_wm"), F.col("n")))
+    return counted.withColumn("theta", ratio_or_zero(F.col("n_wm"), F.col("n")))
 
 
 def density_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> DataFrame:

@@ -23,76 +23,53 @@ def _chi2(tables: DataFrame) -> DataFrame:
     })
 
 
-def _count(condition: Column) -> Column:
-    return F.sum(F.when(condition, F.col("n")).otherwise(0))
+def gof_tables(links: DataFrame) -> DataFrame:
+    """The 2 x 2 table of every test at every occasion, from one aggregation of the links.
 
+    * 3sr - seen before or not, against seen later or not;
+    * 3sm - among those seen later: seen before or not, against next seen at t + 1 or after it;
+    * 2ct - known alive around t: seen at t or not, against next seen at t + 1 or after it;
+    * 2cl - as 2ct among those not seen at t + 1, against next seen at t + 2 or after it.
 
-def gof_3sr(links: DataFrame) -> DataFrame:
-    """Seen before or not, against seen later or not."""
-    before, later = F.col("before"), F.col("next").isNotNull()
-    return _chi2(links.groupBy("t").agg(
-        _count(before & later).alias("a"), _count(before & ~later).alias("b"),
-        _count(~before & later).alias("c"), _count(~before & ~later).alias("d"),
-    ))
-
-
-def gof_3sm(links: DataFrame) -> DataFrame:
-    """Among those seen later: seen before or not, against next seen at t + 1 or after it."""
-    before, soon = F.col("before"), F.col("next") == F.col("t") + 1
-    return _chi2(links.filter("next IS NOT NULL").groupBy("t").agg(
-        _count(before & soon).alias("a"), _count(before & ~soon).alias("b"),
-        _count(~before & soon).alias("c"), _count(~before & ~soon).alias("d"),
-    ))
-
-
-def _alive_by_next(links: DataFrame) -> DataFrame:
-    """Per occasion, individuals known alive split by seen there or not and by delay to the next sighting.
-
-    Unseen ones with next sighting at t + 1 (t + 2) are the links that end there and are longer than
-    1 (2), so the split needs no expansion of the gaps.
+    Individuals alive but unseen at t with next sighting at t + 1 (t + 2) are the links that end there
+    and are longer than 1 (2); the others follow from z, so no gap is expanded.
     """
-    n, delay = F.col("n"), F.col("next") - F.col("t")
-    seen = {"t": F.col("t"), **{
-        f"seen{k}": F.when(hit, n).otherwise(0) for k, hit in ((1, delay == 1), (2, delay == 2), (3, delay > 2))
-    }}
-    ends = [{"t": F.col("next") - k, "when": delay > k, f"unseen{k}": n} for k in (1, 2)]
-    alive = running_gaps(at_occasions(links, [], [seen, *ends, *gap_entries()]), [])
-    return alive.withColumn("unseen3", F.col("z") - F.col("unseen1") - F.col("unseen2"))
-
-
-def gof_2ct(links: DataFrame) -> DataFrame:
-    """Trap response: seen at t or not, against next seen at t + 1 or after it."""
-    return _chi2(_alive_by_next(links).select(
-        "t", F.col("seen1").alias("a"), (F.col("seen2") + F.col("seen3")).alias("b"),
-        F.col("unseen1").alias("c"), (F.col("unseen2") + F.col("unseen3")).alias("d"),
-    ))
-
-
-def gof_2cl(links: DataFrame) -> DataFrame:
-    """Among those not seen at t + 1: seen at t or not, against next seen at t + 2 or after it."""
-    return _chi2(_alive_by_next(links).select(
-        "t", F.col("seen2").alias("a"), F.col("seen3").alias("b"),
-        F.col("unseen2").alias("c"), F.col("unseen3").alias("d"),
-    ))
-
-
-TESTS = {"3sr": gof_3sr, "3sm": gof_3sm, "2ct": gof_2ct, "2cl": gof_2cl}
+    n, before, delay = F.col("n"), F.col("before"), F.col("next") - F.col("t")
+    fates = {"1": delay == 1, "2": delay == 2, "3": delay > 2, "never": F.col("next").isNull()}
+    own = {"t": F.col("t")}
+    for fate, hit in fates.items():
+        own[f"old_{fate}"] = F.when(before & hit, n).otherwise(0)
+        own[f"new_{fate}"] = F.when(~before & hit, n).otherwise(0)
+    ends = [{"t": F.col("next") - k, "when": delay > k, f"unseen_{k}": n} for k in (1, 2)]
+    alive = running_gaps(at_occasions(links, [], [own, *ends, *gap_entries()]), [])
+
+    def total(prefix: str, *names: str) -> Column:
+        return sum((F.col(f"{prefix}_{f}") for f in names[1:]), F.col(f"{prefix}_{names[0]}"))
+
+    seen = {f: F.col(f"old_{f}") + F.col(f"new_{f}") for f in ("1", "2", "3")}
+    unseen = {"1": F.col("unseen_1"), "2": F.col("unseen_2"), "3": F.col("z") - F.col("unseen_1") - F.col("unseen_2")}
+    cells = {
+        "3sr": (total("old", "1", "2", "3"), F.col("old_never"), total("new", "1", "2", "3"), F.col("new_never")),
+        "3sm": (F.col("old_1"), total("old", "2", "3"), F.col("new_1"), total("new", "2", "3")),
+        "2ct": (seen["1"], seen["2"] + seen["3"], unseen["1"], unseen["2"] + unseen["3"]),
+        "2cl": (seen["2"], seen["3"], unseen["2"], unseen["3"]),
+    }
+    listed = F.explode(F.array(*[
+        F.struct(F.lit(test).alias("test"), *[c.alias(x) for x, c in zip("abcd", abcd)]) for test, abcd in cells.items()
+    ]))
+    return _chi2(alive.select("t", listed.alias("e")).select("t", "e.*"))
+
+
+TESTS = ("3sr", "3sm", "2ct", "2cl")
 
 
 def gof_summary(links: DataFrame) -> DataFrame:
     """Chi-square and degrees of freedom of each test."""
-    parts = [
-        fn(links).agg(F.sum("chi2").alias("chi2"), F.sum("dof").alias("dof")).withColumn("test", F.lit(name))
-        for name, fn in TESTS.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return gof_tables(links).groupBy("test").agg(F.sum("chi2").alias("chi2"), F.sum("dof").alias("dof"))
 
 
 def c_hat(links: DataFrame) -> DataFrame:
     """Overdispersion: total chi-square over total degrees of freedom."""
-    return gof_summary(links).agg(F.sum("chi2").alias("chi2"), F.sum("dof").alias("dof")).withColumn(
+    return gof_tables(links).agg(F.sum("chi2").alias("chi2"), F.sum("dof").alias("dof")).withColumn(
         "c_hat", F.try_divide(F.col("chi2"), F.col("dof").cast("double"))
     )

@@ -124,13 +124,15 @@ def predict_draws(draws: DataFrame, pixels: DataFrame, n_cells: int) -> DataFram
     field = F.coalesce("field", F.lit(0.0)) if "field" in pixels.columns else F.lit(0.0)
     cells = F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).alias("cell")
     value = F.exp(log_intensity(F.col("depth"), F.col("b0"), F.col("b1")) + field)
-    return _spread(draws.select("draw", "b0", "b1")).select("draw", "b0", "b1", cells).join(pixels, "cell").select("draw", "cell", value.alias("value"))
+    expanded = _spread(draws.select("draw", "b0", "b1")).select("draw", "b0", "b1", cells)
+    return expanded.join(pixels, "cell").select("draw", "cell", value.alias("value"))
 
 
 def curve_social(draws: DataFrame) -> DataFrame:
     """Phi(x / scale + loc) of every draw on the media-intensity grid."""
     lo, hi = SOCIAL_TENTHS
-    scaled = _spread(draws.select("draw", "loc", "theta_scale")).select("draw", "loc", exp_link(F.col("theta_scale"), SOCIAL_RATE).alias("scale"))
+    spread = _spread(draws.select("draw", "loc", "theta_scale"))
+    scaled = spread.select("draw", "loc", exp_link(F.col("theta_scale"), SOCIAL_RATE).alias("scale"))
     grid = scaled.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("i"))
     return grid.select("draw", "i", norm_cdf(F.col("i") / F.lit(10.0) / F.col("scale") + F.col("loc")).alias("value"))
 
@@ -138,7 +140,8 @@ def curve_social(draws: DataFrame) -> DataFrame:
 def curve_ferry(draws: DataFrame) -> DataFrame:
     """exp(-(x / sigma)^2 / 2) of every draw on the distance grid."""
     lo, hi = FERRY_TENTHS
-    scaled = _spread(draws.select("draw", "theta_sig")).select("draw", exp_link(F.col("theta_sig"), FERRY_RATE).alias("sigma"))
+    spread = _spread(draws.select("draw", "theta_sig"))
+    scaled = spread.select("draw", exp_link(F.col("theta_sig"), FERRY_RATE).alias("sigma"))
     grid = scaled.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("i"))
     return grid.select("draw", "i", half_normal(F.col("i") / F.lit(10.0), F.col("sigma")).alias("value"))
 

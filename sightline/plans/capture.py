@@ -192,7 +192,8 @@ def _register_gof(name):
 
     @query(f"gof_test{name}", sql, "links_wm")
     def gof_test(spark, sf):
-        return gof.TESTS[name](_links(spark, sf)).filter("a + b + c + d > 0").withColumn("chi2", r("chi2"))
+        tables = gof.gof_tables(_links(spark, sf)).filter((F.col("test") == name) & (F.expr("a + b + c + d") > 0))
+        return tables.drop("test").withColumn("chi2", r("chi2"))
 
 
 for _name in gof.TESTS:

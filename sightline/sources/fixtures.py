@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.sources.tables import scan_table
@@ -56,9 +56,8 @@ def individuals(spark: SparkSession, folder: str) -> DataFrame:
 def sightings(spark: SparkSession, folder: str) -> DataFrame:
     """The sighting matrix in sparse form with individual attributes and total sighting days."""
     sex = F.col("id") % 3
-    days = sighting_days(spark, folder).join(individuals(spark, folder).drop("grp"), "id")
-    totals = sighting_days(spark, folder).groupBy("id").agg(F.count("*").alias("tot"))
-    return days.join(totals, "id").select(
+    counted = sighting_days(spark, folder).withColumn("tot", F.count("*").over(Window.partitionBy("id")))
+    return counted.join(individuals(spark, folder).drop("grp"), "id").select(
         "id", "mark_level", "age_class",
         F.when(sex == 0, "F").when(sex == 1, "M").otherwise("U").alias("gender"),
         "sdate", F.lit(1).alias("observed"), "tot",
