@@ -85,11 +85,11 @@ def factor_codes(df: DataFrame, column: str) -> DataFrame:
 def keep_with_probability(df: DataFrame, p: str, u: str | None = None, seed: int = 0) -> DataFrame:
     """Keep each row with its own probability; ``u`` names a stored uniform, else ``rand(seed)``.
 
-    A filter on a stored uniform would be pushed below the columns that make up ``p`` and evaluate
-    them all again for each mention. Adding a random zero keeps it where it is written.
+    Spark would push the filter below the columns that make up ``p`` and evaluate them again for each
+    mention; a random column in the projection, here at worst a random zero, keeps it above them.
     """
     draw = F.rand(seed) if u is None else F.col(u) + F.rand(seed) * F.lit(0.0)
-    return df.filter(draw < F.col(p))
+    return df.withColumn("draw_u", draw).filter(F.col("draw_u") < F.col(p)).drop("draw_u")
 
 
 def sample_rows(df: DataFrame, key: str, size: int) -> DataFrame:
