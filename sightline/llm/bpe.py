@@ -137,7 +137,9 @@ class PairIndex:
         return b"".join([held[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
-pair_index = cache(PairIndex)
+@cache
+def pair_index(path: str) -> PairIndex:
+    return PairIndex(path)
 
 
 def _apply(docs: DataFrame, key: str, text: str, path: str, columns: str, make) -> DataFrame:
