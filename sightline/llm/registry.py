@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe",)
+MODULES = ("bpe", "simple8b")
 
 
 def llm_queries():
