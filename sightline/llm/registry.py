@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "simple8b")
+MODULES = ("bpe", "simple8b", "sharding")
 
 
 def llm_queries():
