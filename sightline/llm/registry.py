@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "simple8b", "sharding", "secrets", "jaccard", "decontaminate")
+MODULES = ("bpe", "simple8b", "sharding", "secrets", "jaccard", "decontaminate", "maintext")
 
 
 def llm_queries():
