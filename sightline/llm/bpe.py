@@ -174,6 +174,18 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     })
 
 
+def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``digests`` with the ids themselves, as little-endian unsigned 32-bit integers."""
+    sha = hashlib.sha256
+    columns = "n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string"
+    return _apply(docs, key, text, path, columns, lambda index, parts: {
+        "n_tokens": pa.array([len(x) for x in parts], pa.int64()),
+        "ids": pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary()),
+        "ids_sha256": pa.array([sha(x.astype("<u4").tobytes()).hexdigest() for x in parts], pa.string()),
+        "decoded_sha256": pa.array([sha(index.decode(x).encode()).hexdigest() for x in parts], pa.string()),
+    })
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.session import settle, shared_path
 
-__all__ = ["table", "settle", "shared_path", "text_chunks", "bytes_of", "word_hashes", "shingles_of", "mix", "SHINGLE", "in_shuffle_partitions"]
+__all__ = ["table", "settle", "shared_path", "text_chunks", "bytes_of", "word_hashes", "word_places", "shingles_of", "mix", "SHINGLE", "in_shuffle_partitions"]
 
 SHINGLE = 5
 CHUNK_BYTES = 8 << 20
@@ -70,14 +70,13 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of every text, first word of each text with a closing end)."""
-    data, offsets = bytes_of(column)
+def word_places(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every lower-cased word; ``word`` tells which bytes are part of one."""
     n = len(data)
     padded = np.zeros(n + 8, dtype=np.uint8)
     np.take(_LOWER, data, out=padded[:n])
     inside = np.zeros(n + 1, dtype=bool)
-    inside[:n] = _WORD[data]
+    inside[:n] = word[data]
     before = np.zeros(n + 1, dtype=bool)
     before[1:] = inside[:-1]
     before[offsets] = False
@@ -95,6 +94,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h[rest] = mix(h[rest] * _ODD[1] + (lanes[starts[rest] + k] & _MASK[np.minimum(left, 8)]))
         k += 8
         rest = rest[left > 8]
+    return h, starts
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of every text, first word of each text with a closing end)."""
+    data, offsets = bytes_of(column)
+    h, starts = word_places(data, offsets)
     return h, np.searchsorted(starts, offsets)
 
 

@@ -161,10 +161,11 @@ def scan(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: str
     return shown(held.unionByName(rest))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: str = "text",
+           length: str | None = None) -> DataFrame:
     """All rows and columns, with each found value in ``text`` replaced by ``[SECRET]``, or ``[EXAMPLE]`` where it is widely copied.
 
-    Rows without spans pass through without a shuffle.
+    Rows without spans pass through without a shuffle. ``length`` names a column that holds the number of characters.
     """
     _, added = _scanned(docs, key, owner, text)
     held = docs.select(F.struct(*docs.columns).alias("row"), docs[key].alias("key"), docs[text].alias("text"),
@@ -190,8 +191,15 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
 
     changed = joined.select("a.row", replaced().alias("text"))
     kept = spanned.filter(F.size("found") == 0).select("row", "text")
-    return changed.unionByName(kept).select(*[
-        F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+
+    def column(c: str, new: bool) -> Column:
+        if c == text:
+            return F.col("text").alias(c)
+        if c == length and new:
+            return F.char_length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return changed.select(*[column(c, True) for c in docs.columns]).union(kept.select(*[column(c, False) for c in docs.columns]))
 
 
 def op4_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
