@@ -3,10 +3,10 @@
 Sets of word shingles are banded by size so that two linked sets lie in one band or in neighbouring ones. Within a band
 the hash space is cut into more cells than two linked sets can differ in, so they agree wholly on some cell they both
 fill: equal cell contents form the tiles in which sets meet. Nothing depends on how frequent a shingle is, so a shared
-passage brings no candidates. A tile is first joined as a star around its smallest set; sets that are then in one
-component need no further look. What is left of a tile is cut by size into blocks of ``TILE`` sets, and block pairs of
-compatible sizes are compared by bit counts of hashed bitmaps, which bound the overlap from above. Pairs that pass are
-verified by intersecting the sorted shingle arrays. The result is exact: no cap, no sampled candidates.
+passage brings no candidates. Tiles are first joined as stars around their smallest sets; a tile whose sets are then in one
+component needs no further look. The others are cut by size into blocks of ``TILE`` sets, and block pairs of
+compatible sizes are compared. Bit counts of hashed bitmaps bound the overlap from above for every pair, and pairs that
+pass are verified by intersecting the sorted shingle arrays. The result is exact: no cap, no sampled candidates.
 
 Sets with equal contents are one node from the start. Set ids and shingles are 64-bit hashes.
 
@@ -22,16 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import mix, settle, shingles_of, table, text_chunks, word_hashes
 
 NEAR, OF = 80, 100
 TILE = 1024
-STARS = 3
 CELL_ENTRIES = 1_000_000
 FILTER_BITS = 1 << 24
+NAME_BYTES = 6  # of a signature, besides its cell; chance equality only costs a comparison
 SETS = "set bigint, n bigint"
 
 
@@ -121,23 +121,31 @@ def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return OF * overlap >= NEAR * (a + b - overlap)
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rid, set, n) of every row; ``rid`` is a hash of the key."""
-    plain = docs.select(docs[key].alias("key"), F.xxhash64(docs[key]).alias("rid"), docs[text].alias("text"))
+    """(key, rid, th, set, n) of every row; ``rid`` and ``th`` are hashes of the key and of the text."""
+    plain = docs.select(
+        docs[key].alias("key"), F.xxhash64(docs[key]).alias("rid"), _text_hash(docs[text]).alias("th"), docs[text].alias("text"))
     kind = plain.schema["key"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
-            sets = text_sets(batch.column(2))
+            sets = text_sets(batch.column(3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64())],
-                names=["key", "rid", "set", "n"])
+                [*batch.columns[:3], pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64())],
+                names=["key", "rid", "th", "set", "n"])
 
-    return plain.mapInArrow(work, f"key {kind}, rid bigint, {SETS}")
+    return plain.mapInArrow(work, f"key {kind}, rid bigint, th bigint, {SETS}")
 
 
 def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
-    """(tile, set): sets that agree on a hash cell, without tiles of one set; equal member lists are one tile."""
+    """(tile, set, hub): sets that agree on a hash cell, with the smallest of them; no tiles of one set.
+
+    Equal member lists have one tile id, and are listed once for each partition of cells.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
@@ -154,7 +162,7 @@ def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
             for c in held.tolist():
                 own = order[bounds[c]:bounds[c + 1]]
                 local, back = np.unique(of[own], return_inverse=True)
-                names.append(found[own].tobytes())
+                names.append(found[own].view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes())
                 members.append(ids[local].tobytes())
                 parts.append(back.astype(np.uint32 if len(local) > 65535 else np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -164,9 +172,11 @@ def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
     def meet(group: pa.Table) -> pa.Table:
         found, owner = [], []
         for f, m, p in zip(*(group.column(c).to_pylist() for c in ("found", "members", "parts"))):
-            f, m = np.frombuffer(f, np.uint64), np.frombuffer(m, np.int64)
-            found.append(f)
-            owner.append(m[np.frombuffer(p, np.uint16 if len(p) == 2 * len(f) else np.uint32)])
+            m, n = np.frombuffer(m, np.int64), len(f) // NAME_BYTES
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :NAME_BYTES] = np.frombuffer(f, np.uint8).reshape(n, NAME_BYTES)
+            found.append(wide.view(np.uint64)[:, 0])
+            owner.append(m[np.frombuffer(p, np.uint16 if len(p) == 2 * n else np.uint32)])
         found, owner = np.concatenate(found), np.concatenate(owner)
         order = np.argsort(found, kind="stable")
         found, owner = found[order], owner[order]
@@ -183,77 +193,120 @@ def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
         tile = np.zeros(len(found), np.uint64)
         if len(head):
             tile = np.repeat(mix(np.add.reduceat(mix(owner.view(np.uint64)), head) + size.astype(np.uint64)), size)
+        hub = np.repeat(owner[head], size) if len(head) else owner
         many = np.repeat(size > 1, size)
-        tile, owner = tile[many], owner[many]
+        tile, owner, hub = tile[many], owner[many], hub[many]
         order = np.lexsort((owner, tile))
-        tile, owner = tile[order], owner[order]
+        tile, owner, hub = tile[order], owner[order], hub[order]
         new = np.ones(len(tile), dtype=bool)
         new[1:] = (tile[1:] != tile[:-1]) | (owner[1:] != owner[:-1])
-        return pa.table({"tile": tile[new].view(np.int64), "set": owner[new]})
+        return pa.table({"tile": tile[new].view(np.int64), "set": owner[new], "hub": hub[new]})
 
     return docs.select(docs[text].alias("text")).mapInArrow(
-        emit, "cell bigint, found binary, members binary, parts binary").groupBy("cell").applyInArrow(meet, "tile bigint, set bigint").distinct()
-
+        emit, "cell bigint, found binary, members binary, parts binary").groupBy("cell").applyInArrow(
+        meet, "tile bigint, set bigint, hub bigint")
 
-def _held_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(set, n, bits, shingles) of the wanted (set, rid): contents of one document of each set.
 
-    A bitmap of ``FILTER_BITS`` bits, whatever the input, lets most other documents pass without being sent on.
-    """
-    place = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)) + 1
-    marks = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
+def _marks(wanted: DataFrame, on: list[str]) -> bytes:
+    """A bitmap of ``FILTER_BITS`` bits, whatever the input, of the hashes of the wanted rows."""
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
+    rows = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     bits = bytearray(FILTER_BITS // 8)
-    for row in marks:
+    for row in rows:
         at = (row["b"] - 1) * 4096
         bits[at:at + 4096] = row["m"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+    return bytes(bits)
+
+
+def _sifted(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Left semi join; a bitmap of the wanted rows lets most others go before the shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(_marks(wanted, on))
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (marked[p // 8] >> (p % 8).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select(range(batch.num_columns - 1))
+
+    return df.withColumn("place_", place).mapInArrow(work, df.schema).join(wanted.select(*on).distinct(), on, "left_semi")
+
+
+def _contents(docs: DataFrame, key: str, text: str, wanted: DataFrame, bits: bool) -> DataFrame:
+    """(set, n, data) of the documents with a wanted ``rid``, and of a few more: bitmaps, or sorted shingles.
+
+    A set may come more than once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted, ["rid"]))
+    rows = docs.select(F.xxhash64(docs[key]).alias("rid"), docs[text].alias("text")).select(
+        F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("p"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(shared.value, np.uint8)
         for batch in text_chunks(batches, "text"):
-            p = batch.column(1).to_numpy() - 1
+            p = batch.column(0).to_numpy()
             hit = (marked[p // 8] >> (p % 8).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
-            sets = text_sets(batch.column(2)) if batch.num_rows else []
-            full = [i for i, s in enumerate(sets) if len(s)]
-            if not full:
-                continue
-            held = [sets[i] for i in full]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(full)), pa.array(set_ids(held)), pa.array([len(s) for s in held], pa.int64()),
-                pa.array([bitmap(s) for s in held], pa.binary()), pa.array([s.tobytes() for s in held], pa.binary()),
-            ], names=["rid", "set", "n", "bits", "shingles"])
+            sets = [s for s in text_sets(batch.column(1).filter(pa.array(hit.astype(bool)))) if len(s)] if hit.any() else []
+            if sets:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([bitmap(s) if bits else _packed(s) for s in sets], pa.binary()),
+                ], names=["set", "n", "data"])
+
+    return rows.mapInArrow(work, f"{SETS}, data binary")
+
+
+def _packed(held: np.ndarray) -> bytes:
+    """The low 48 bits of every shingle: enough to tell the shingles of two texts apart, at three quarters of the size."""
+    return held.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    rows = docs.select(F.xxhash64(docs[key]).alias("rid"), docs[text].alias("text"))
-    rows = rows.select("rid", place.alias("p"), "text").mapInArrow(work, f"rid bigint, {SETS}, bits binary, shingles binary")
-    return rows.join(wanted, ["set", "rid"], "left_semi").drop("rid").dropDuplicates(["set"])
 
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64)[:, 0]
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The linked ones of (a, b), by bit counts first and then by exact intersection."""
+
+def _bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The (a, b) whose bitmaps allow a link: bit counts bound the overlap from above."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for i, (a, b, bits_a, bits_b, all_a, all_b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
-                na, nb = len(all_a) // 8, len(all_b) // 8
+            for i, (na, nb, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)))):
                 if OF * min(na, nb) < NEAR * max(na, nb):
                     continue
-                x, y = folded([bits_a, bits_b])
+                x, y = folded([x, y])
                 bound = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-                if OF * bound < NEAR * (na + nb - bound):
-                    continue
-                both = len(np.intersect1d(np.frombuffer(all_a, np.uint64), np.frombuffer(all_b, np.uint64), assume_unique=True))
-                if OF * both >= NEAR * (na + nb - both):
+                if OF * bound >= NEAR * (na + nb - bound):
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).take(pa.array(good, pa.int64()))
+
+    def side(c: str) -> DataFrame:
+        return marks.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("data").alias(f"bits_{c}"))
+
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(work, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """The linked ones of (a, b), by intersection of their sorted shingle arrays."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = _unpacked(x), _unpacked(y)
+                if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(good, pa.int64()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).take(pa.array(good, pa.int64()))
 
     def side(c: str) -> DataFrame:
-        return held.select(F.col("set").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("shingles").alias(f"all_{c}"))
+        return contents.select(F.col("set").alias(c), F.col("data").alias(f"all_{c}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "bits_a", "bits_b", "all_a", "all_b").mapInArrow(work, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "all_a", "all_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,23 +326,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_tiles(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(tile, set, label) of the tiles whose sets are in more than one component."""
-    if labels is None:
-        return tiles.withColumn("label", F.col("set"))
-    named = tiles.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
-        "label", F.coalesce("label", "set"))
-    mixed = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tile")
-    return named.join(mixed, "tile", "left_semi")
-
+def _crossing(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (set, hub, other) between different components; ``other`` is the hub's component."""
+    def named(c: str, out: str) -> DataFrame:
+        return labels.select(F.col("node").alias(c), F.col("label").alias(out))
 
-def _stars(tiles: DataFrame) -> DataFrame:
-    """For every set one partner of another component in one of its tiles, the smallest of that component there."""
-    by_part = tiles.groupBy("tile", "label").agg(F.min("set").alias("hub"))
-    ends = by_part.groupBy("tile").agg(
-        F.min(F.struct("label", "hub")).alias("first"), F.max(F.struct("label", "hub")).alias("last"))
-    partner = F.when(F.col("label") == F.col("first.label"), F.col("last.hub")).otherwise(F.col("first.hub"))
-    return tiles.join(ends, "tile").groupBy(F.col("set").alias("a")).agg(F.min(partner).alias("b")).filter("a != b")
+    both = edges.join(named("set", "own"), "set", "left").join(named("hub", "other"), "hub", "left")
+    return both.select("set", "hub", F.coalesce("own", "set").alias("own"), F.coalesce("other", "hub").alias("other")).filter(
+        "own != other").select("set", "hub", "other")
 
 
 def _block_pairs(tiles: DataFrame, held: DataFrame) -> DataFrame:
@@ -297,6 +341,7 @@ def _block_pairs(tiles: DataFrame, held: DataFrame) -> DataFrame:
 
     A set is sent to its own block's pairs with each later block of compatible size, never to a whole tile.
     """
+    held = held.dropDuplicates(["set"]).withColumnRenamed("data", "bits")
     sized = tiles.join(held.select("set", "n"), "set")
     placed = sized.withColumn("block", F.floor(
         (F.row_number().over(Window.partitionBy("tile").orderBy("n", "set")) - 1) / TILE).cast("int"))
@@ -327,36 +372,62 @@ def _block_pairs(tiles: DataFrame, held: DataFrame) -> DataFrame:
     return rows.groupBy("tile", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row."""
+def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with words as (key, rid, th, n, label), rows without)."""
     sets = settle(document_sets(docs, key, text), "sets")
     nodes = sets.filter("n > 0")
     entries = nodes.agg(F.sum("n")).first()[0] or 0
     cells = max(96, math.ceil(0.65 * entries / CELL_ENTRIES))
     tiles = settle(_tiles(docs, text, cells), "tiles")
-    wanted = nodes.join(tiles.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("rid").alias("rid"))
-    held = settle(_held_sets(docs, key, text, settle(wanted, "wanted")), "held-sets")
-    links, labels, left = None, None, tiles
-    for round_ in range(STARS + 1):
-        left = settle(_open_tiles(left.select("tile", "set"), labels), "open-tiles")
-        if left.isEmpty():
-            break
-        pairs = _stars(left) if round_ < STARS else _block_pairs(left, held)
-        found = settle(_verified(pairs, held), "links")
+    edges = settle(tiles.filter("set != hub").select("set", "hub").distinct(), "edges")
+    ends = edges.select("set").union(edges.select(F.col("hub").alias("set"))).distinct()
+    wanted = settle(nodes.join(ends, "set", "left_semi").groupBy("set").agg(F.min("rid").alias("rid")), "wanted")
+    marks = settle(_contents(docs, key, text, wanted, bits=True), "bitmaps")
+    links, labels, crossing = None, None, edges.withColumn("other", F.lit(0))
+    if edges.isEmpty():
+        return nodes.select("key", "rid", "th", "n", F.col("set").alias("label")), sets.filter("n = 0")
+
+    def join_pairs(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        near = settle(_bounded(pairs, marks), "near")
+        ends = near.select(F.col("a").alias("set")).union(near.select(F.col("b").alias("set"))).distinct()
+        contents = _contents(docs, key, text, wanted.join(ends, "set"), bits=False)
+        found = settle(_verified(near, contents).distinct(), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
-    named = nodes.select("key", "set")
-    if labels is not None:
-        named = named.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").select(
-            "key", F.coalesce("label", "set").alias("set"))
-    ids = named.groupBy("set").agg(F.min("key").alias("component_id"))
-    full = nodes.select("key", "n", "set")
-    if labels is not None:
-        full = full.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").select(
-            "key", "n", F.coalesce("label", "set").alias("set"))
-    out = full.join(ids, "set").select("key", "n", "component_id")
-    empty = sets.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    return out.union(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+    for pick in (F.min, F.max):
+        join_pairs(crossing.groupBy(F.col("set").alias("a"), "other").agg(pick("hub").alias("b")))
+        crossing = settle(_crossing(edges, labels), "crossing")
+    if not crossing.isEmpty():
+        open_ = _sifted(tiles, crossing, ["set", "hub"]).select("tile").distinct()
+        left = _sifted(tiles.select("tile", "set"), settle(open_, "open"), ["tile"]).distinct()
+        named = left.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        join_pairs(_block_pairs(settle(named, "open-tiles"), marks))
+    full = nodes.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
+        "label", F.coalesce("label", "set"))
+    return full.select("key", "rid", "th", "n", "label"), sets.filter("n = 0")
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row."""
+    full, empty = _labelled(docs, key, text)
+    ids = full.groupBy("label").agg(F.min("key").alias("component_id"))
+    out = full.join(ids, "label").select("key", "n", "component_id")
+    return out.union(empty.select("key", "n", F.col("key").alias("component_id"))).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of every component, with all its columns: the one with the smallest key; rows without words all stay."""
+    full, empty = _labelled(docs, key, text)
+    first = full.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), "key", "th", "rid")).alias("one"))
+    kept = first.select("one.rid", "one.th").withColumn("single", F.lit(True)).union(
+        empty.select("rid", "th").distinct().withColumn("single", F.lit(False)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(docs[key]).alias("rid"), _text_hash(docs[text]).alias("th"))
+    held = rows.join(kept, ["rid", "th"]).withColumn(
+        "place", F.row_number().over(Window.partitionBy("rid", "th").orderBy("rid")))
+    return held.filter((F.col("place") == 1) | ~F.col("single")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
