@@ -30,7 +30,7 @@ SHARDS = 8
 RANGES_PER_SHARD = 256
 SAMPLE = 30_000
 ROUNDS = 3
-CELL_ROWS = 500_000
+CELL_ROWS, LEAST_CELL_ROWS = 500_000, 200
 
 
 @dataclass
@@ -51,6 +51,8 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _ranged(rows: DataFrame, bounds: list[float]) -> DataFrame:
+    if not bounds:
+        return rows.withColumn("range", F.lit(0))
     at = rows.withColumn("place", F.col("h").cast("double"))
     cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="place", outputCol="bucket").transform(at)
     return cut.select(*rows.columns, F.col("bucket").cast("int").alias("range"))
@@ -95,8 +97,9 @@ def plan_shards(rows: DataFrame, shards: int = SHARDS) -> ShardPlan:
         bounds = sorted({*bounds, *more})
     fair = total / shards
     cells = [1] * (len(bounds) + 1)
+    cell_rows = min(CELL_ROWS, max(LEAST_CELL_ROWS, 4 * sum(r["n"] for r in counted) // len(counted)))
     for r in counted:
-        cells[r["range"]] = max(math.ceil(r["n"] / CELL_ROWS), math.ceil(4 * r["size"] / fair) if r["size"] > fair else 1)
+        cells[r["range"]] = max(math.ceil(r["n"] / cell_rows), math.ceil(4 * r["size"] / fair) if r["size"] > fair else 1)
     split = _celled(_ranged(rows, bounds), cells).groupBy("range", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     whole: dict[tuple[int, int], list] = {}
     large = {r["range"] for r in counted if r["size"] > fair}
