@@ -6,16 +6,19 @@ bits with numpy over whole Arrow batches, so no step works word by word in Pytho
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline.session import settle, shared_path
 
-__all__ = ["table", "settle", "shared_path", "text_chunks", "bytes_of", "word_hashes", "word_places", "shingles_of", "mix", "SHINGLE", "in_shuffle_partitions"]
+__all__ = ["table", "settle", "shared_path", "text_chunks", "bytes_of", "word_hashes", "word_places", "shingles_of", "mix", "SHINGLE", "in_shuffle_partitions",
+           "hashed_sample"]
 
 SHINGLE = 5
 CHUNK_BYTES = 8 << 20
@@ -37,6 +40,13 @@ def in_shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hashed_sample(df: DataFrame, hash_: Column, limit: int) -> DataFrame:
+    """At most ``limit`` rows, the first by a hash; tasks send on only about twice as many in all."""
+    share = min(1.0, 2 * limit / max(df.count(), 1))
+    drawn = df.withColumn("drawn_", F.pmod(hash_, F.lit(1 << 30)))
+    return drawn.filter(F.col("drawn_") < math.ceil(share * (1 << 30))).orderBy("drawn_").limit(limit).drop("drawn_")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

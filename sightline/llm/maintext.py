@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import table, text_chunks
+from sightline.llm.common import hashed_sample, table, text_chunks
 
 LABELLED = 2000
 TAG_WEIGHTS = (-0.05, -0.2, -0.5, -1.0, -3.25)
@@ -44,6 +44,7 @@ BLOCKS = frozenset(
     "th thead title tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption head option".split())
 MARKED = frozenset(("article", "main"))
+MARK = r"<(?:article|main)[\s>]"
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NEVER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|"
@@ -238,10 +239,8 @@ def main_text(page: str | None, marked: Weights, unmarked: Weights) -> str:
 
 def labelled_sample(pages: DataFrame, text: str, limit: int = LABELLED) -> list[str]:
     """At most ``limit`` pages with exactly one content element, the first by a hash of the page."""
-    low = F.lower(F.col(text))
-    marks = F.regexp_count(low, F.lit(r"<(?:article|main)[\s>]"))
-    rows = pages.select(F.col(text).alias("page"), marks.alias("marks"), F.xxhash64(text).alias("h")).filter("marks = 1")
-    return [r["page"] for r in rows.select("page", "h").orderBy("h", "page").limit(limit).collect()]
+    rows = pages.select(F.col(text).alias("page")).filter(F.regexp_count(F.lower("page"), F.lit(MARK)) == 1)
+    return sorted(r["page"] for r in hashed_sample(rows, F.xxhash64("page"), limit).collect())
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import settle, table
+from sightline.llm.common import hashed_sample, settle, table
 
 K = 5
 EVERY = 50
@@ -114,7 +114,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
     if facts["width"] is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     width, top = facts["width"], facts["top"]
-    picked = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    picked = hashed_sample(data, F.xxhash64("id"), SAMPLE).orderBy("id", "v").select("v").toArrow().column("v").combine_chunks()
     pivots = fit_pivots(_lifted(_matrix(picked, width), top), PIVOTS)
     slack = 1e-6 * (1 + np.sqrt(top))
 
