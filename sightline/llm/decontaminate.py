@@ -144,12 +144,13 @@ class ItemIndex:
 @lru_cache(maxsize=2)
 def _index(texts: tuple[str, ...]) -> tuple[ItemIndex, np.ndarray] | None:
     words, first = word_hashes(pa.array(texts, pa.string()))
-    shingles, ends = shingles_of(words, first)
     count = np.diff(first)
     held = np.flatnonzero(count)
     if not len(held):
         return None
-    return ItemIndex(count[held], [shingles[ends[i]:ends[i + 1]] for i in held.tolist()]), held
+    by_width = {w: shingles_of(words, first, w) for w in {min(int(n), SHINGLE) for n in count[held]}}
+    own = [by_width[min(int(count[i]), SHINGLE)] for i in held.tolist()]
+    return ItemIndex(count[held], [s[ends[i]:ends[i + 1]] for i, (s, ends) in zip(held.tolist(), own)]), held
 
 
 def _text_matches(column: pa.Array, texts: tuple[str, ...]) -> Iterator[tuple[int, int, int, float]]:
