@@ -36,18 +36,27 @@ def jolly_seber(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     return est.withColumn("b", following["n_hat"] - F.col("phi") * F.col("n_hat"))
 
 
+def survival_per_unit(estimates: DataFrame, occasions: DataFrame) -> DataFrame:
+    """Survival per unit of time: the step's phi to the power 1 / gap, from the table of occasions (t, period, gap)."""
+    known = estimates.join(occasions.select("t", "period", "gap"), "t")
+    unit = F.when(F.col("phi") >= 0, F.pow(F.col("phi"), 1 / F.col("gap")))
+    return known.withColumn("phi_unit", unit)
+
+
 def gross_total(estimates: DataFrame, by: list[str]) -> DataFrame:
-    """Gross entrants per group: abundance at the second occasion plus later entries, each corrected
+    """Gross entrants per group: abundance at the study's second occasion plus later entries, each corrected
     for those that die before they can be seen."""
     phi = F.col("phi")
     factor = F.when(phi == 1, F.lit(1.0)).when(phi > 0, F.try_divide(F.log(phi), phi - 1))
-    whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = F.col("t")
+    place = F.col("place")
     return (
-        estimates.withColumn("k", F.max("t").over(whole)).groupBy(*by)
+        estimates.withColumns({
+            "place": F.row_number().over(Window.partitionBy(*by).orderBy("t")),
+            "k": F.count("*").over(Window.partitionBy(*by)),
+        }).groupBy(*by)
         .agg(
-            F.sum(F.when(t == 2, F.col("n_hat"))).alias("n2"),
-            F.sum(F.when((t >= 2) & (t <= F.col("k") - 3), F.col("b") * factor)).alias("entries"),
+            F.sum(F.when(place == 2, F.col("n_hat"))).alias("n2"),
+            F.sum(F.when((place >= 2) & (place <= F.col("k") - 3), F.col("b") * factor)).alias("entries"),
         )
         .select(*by, (F.col("n2") + F.coalesce("entries", F.lit(0.0))).alias("n_gross"))
     )

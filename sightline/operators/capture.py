@@ -78,11 +78,25 @@ def running_gaps(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("z", F.sum("d").over(upto)).drop("d")
 
 
+def rank_occasions(captures: DataFrame, period: str = "t") -> DataFrame:
+    """Captures with ``t`` the rank of their sampled period, from 1; the period itself is kept as ``period``."""
+    listed = one_row(captures.select(period).distinct(), all=F.array_sort(F.collect_list(period)))
+    kept = captures.withColumn("period", F.col(period)).withColumn("listed", listed["all"])
+    return kept.withColumn("t", F.array_position("listed", F.col("period")).cast("int")).drop("listed")
+
+
+def occasions(captures: DataFrame, period: str = "period") -> DataFrame:
+    """(t, period, gap): every sampled occasion with the time to the next one; as long as the calendar."""
+    return captures.select("t", period).distinct().withColumn(
+        "gap", F.lead(period).over(Window.orderBy("t")) - F.col(period))
+
+
 def full_counts(links: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n, u, m, r, s and z for every occasion of the study (and group), 0 where nothing was seen.
+    """n, u, m, r, s and z for every sampled occasion of the study (and group), 0 where nothing was seen.
 
-    ``links`` are link counts over ``by``; ``t`` numbers the occasions consecutively. Groups repeat
-    the short occasion list by a generator.
+    ``links`` are link counts over ``by``. Occasions are the numbers ``t`` that occur; others may be left out between
+    them, and bookings on those enter the running sum before they are dropped. Groups repeat the short occasion list by
+    a generator.
     """
     by = by or []
     n, before, later = F.col("n"), F.col("before"), F.col("next").isNotNull()
@@ -92,11 +106,13 @@ def full_counts(links: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     own = {"t": F.col("t"), "n": n, "u": count(~before), "m": count(before), "r": count(later), "s": count(before & later)}
     counts = at_occasions(links, by, [own, *gap_entries()])
+    listed = one_row(links, all=F.collect_set("t"))
     if by:
-        listed = one_row(links, all=F.collect_set("t"))
         grid = links.select(*by).distinct().withColumn("t", F.explode(listed["all"]))
-        counts = grid.join(counts, [*by, "t"], "left").fillna(0)
-    return running_gaps(counts, by)
+        empty = grid.withColumns({c: F.lit(0).cast("bigint") for c in counts.columns if c not in (*by, "t")})
+        counts = counts.unionByName(empty).groupBy(*by, "t").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in (*by, "t")])
+    found = running_gaps(counts, by).withColumn("listed", listed["all"])
+    return found.filter(F.array_contains("listed", F.col("t"))).drop("listed")
 
 
 def m_array(links: DataFrame) -> DataFrame:

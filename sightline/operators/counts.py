@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from sightline.functions.scalar import one_row, ratio_or_zero
 
@@ -61,7 +62,7 @@ def numeric_means(df: DataFrame, by: list[str] | None = None, skip: tuple[str, .
     by = by or []
     numeric = [
         f.name for f in df.schema.fields
-        if f.dataType.typeName() in ("double", "float", "integer", "long") and f.name not in (*by, *skip)
+        if isinstance(f.dataType, NumericType) and f.name not in (*by, *skip)
     ]
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in numeric])
 

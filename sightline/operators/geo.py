@@ -6,7 +6,9 @@ square cell, so a point only meets the geometry of its own band or cell; nothing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.scalar import one_row
@@ -17,6 +19,7 @@ from sightline.operators.ranks import is_small
 CRS = "+proj=utm +zone=32 +datum=WGS84 +units=km +no_defs +ellps=WGS84 +towgs84=0,0,0"
 
 LOCAL_SEGMENTS = 16
+SPAN = 4096
 LOCAL_EDGES = 100_000
 FAN = 8
 SEGMENT = ("x1", "y1", "x2", "y2")
@@ -31,23 +34,34 @@ def points_layer(df: DataFrame, *attributes: str) -> DataFrame:
     return with_crs(df.select(*attributes, "x", "y", F.lit(1).alias("d")), ("x", "y"))
 
 
-def line_segments(vertices: DataFrame, key: str = "line_id") -> DataFrame:
-    """Segments between consecutive vertices; ``seq`` counts 1, 2, ... along each line.
+def _with_following(vertices: DataFrame, key: str) -> DataFrame:
+    """Every vertex with the next one of its line as x2, y2 (NULL for the last) and the line's first as x0, y0.
 
-    An equi-join on (line, seq) instead of a window: a line of any length spreads over tasks.
+    Windows run inside spans of ``SPAN`` numbers; the first vertex of each span, a small table, gives the step to the next
+    span. So a line of any length spreads over tasks, and gaps in ``seq`` do not matter.
     """
-    here = vertices.select(key, "seq", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    following = vertices.select(key, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return here.join(following, [key, "seq"])
+    point = F.struct("x", "y").alias("point")
+    cut = vertices.select(key, "seq", point, F.floor(F.col("seq") / SPAN).alias("span"))
+    spans = cut.groupBy(key, "span").agg(F.min_by("point", "seq").alias("head"))
+    line = Window.partitionBy(key).orderBy("span")
+    heads = spans.select(key, "span", F.lead("head").over(line).alias("beyond"), F.first("head").over(line).alias("first"))
+    inside = cut.withColumn("near", F.lead("point").over(Window.partitionBy(key, "span").orderBy("seq")))
+    joined = inside.join(heads, [key, "span"]).withColumn("next", F.coalesce("near", "beyond"))
+    return joined.select(key, "seq", *[
+        F.col(f"{of}.{c}").alias(f"{c}{n}") for n, of in ((1, "point"), (2, "next"), (0, "first")) for c in ("x", "y")])
+
+
+def line_segments(vertices: DataFrame, key: str = "line_id") -> DataFrame:
+    """Segments between consecutive vertices in the order of ``seq``, whatever numbers it skips."""
+    found = _with_following(vertices, key)
+    return found.filter(F.col("x2").isNotNull() | F.col("y2").isNotNull()).select(key, "seq", *SEGMENT)
 
 
 def ring_edges(vertices: DataFrame, key: str = "geom_id") -> DataFrame:
     """Edges of closed rings: as ``line_segments`` with the last vertex joined to the first."""
-    sizes = vertices.groupBy(key).agg(F.max("seq").alias("size"))
-    nxt = (F.col("seq") % F.col("size") + 1).alias("seq")
-    here = vertices.join(sizes, key).select(key, nxt, F.col("x").alias("x1"), F.col("y").alias("y1"))
-    following = vertices.select(key, "seq", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return here.join(following, [key, "seq"]).drop("seq")
+    last = F.col("x2").isNull() & F.col("y2").isNull()
+    closed = [F.when(last, F.col(f"{c}0")).otherwise(F.col(f"{c}2")).alias(f"{c}2") for c in ("x", "y")]
+    return _with_following(vertices, key).select(key, "x1", "y1", *closed)
 
 
 # ---- rasters ------------------------------------------------------------------------------------
@@ -101,25 +115,28 @@ def _crosses(edge: dict[str, Column]) -> Column:
     return spans & (F.col("x") < x1 + (F.col("y") - y1) * (x2 - x1) / (y2 - y1))
 
 
-def inside_polygon(points: DataFrame, edges: DataFrame, key: str, band: float = 1.0, local: int = LOCAL_EDGES) -> DataFrame:
+def inside_polygon(points: DataFrame, edges: DataFrame, key: str, band: float | None = None, local: int = LOCAL_EDGES) -> DataFrame:
     """Rows whose (x, y) lies inside the rings (even-odd rule, so holes work too).
 
-    Each edge is listed in the horizontal bands it touches. While the list is small (checked), a band
-    carries its edges as an array and the points are filtered where they are, without a shuffle.
-    Larger geometry is joined edge by edge and the crossings are counted per ``key``.
+    Each edge is listed in the horizontal bands it touches; a band is as high as an edge on average unless given. While
+    the list is small (checked), a band carries its edges as an array and the points are filtered where they are, without
+    a shuffle. Larger geometry is joined edge by edge and the crossings are counted per distinct place. Both ways give the
+    same rows: a point with a null coordinate, or without geometry, is outside; repeated keys and places are judged row by row.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.filter("y1 <> y2").select(
-        *SEGMENT, F.explode(F.sequence(F.floor(low / band), F.floor(high / band))).alias("band")
-    )
+    sloped = edges.filter("y1 <> y2")
+    if band is None:
+        band = sloped.agg(F.avg(high - low)).first()[0] or 1.0
+    banded = sloped.select(*SEGMENT, F.explode(F.sequence(F.floor(low / band), F.floor(high / band))).alias("band"))
     numbered = points.withColumn("band", F.floor(F.col("y") / band))
     if is_small(banded, local):
         lists = banded.groupBy("band").agg(F.collect_list(F.struct(*SEGMENT)).alias("edges"))
         crossed = F.size(F.filter("edges", lambda e: _crosses({k: e[k] for k in SEGMENT})))
         return numbered.join(lists, "band").filter(crossed % 2 == 1).drop("band", "edges")
-    hits = numbered.select(key, "x", "y", "band").join(banded, "band").filter(_crosses({k: F.col(k) for k in SEGMENT}))
-    odd = hits.groupBy(key).agg(F.count("*").alias("crossed")).filter("crossed % 2 = 1")
-    return points.join(odd.select(key), key, "left_semi")
+    places = numbered.select("x", "y", "band").distinct()
+    hits = places.join(banded, "band").filter(_crosses({k: F.col(k) for k in SEGMENT}))
+    odd = hits.groupBy("x", "y").agg(F.count("*").alias("crossed")).filter("crossed % 2 = 1")
+    return points.join(odd.select("x", "y"), ["x", "y"], "left_semi").select(*points.columns)
 
 
 # ---- nearest line -----------------------------------------------------------------------------------
@@ -171,17 +188,27 @@ def segment_candidates(segments: DataFrame, line: str, xmin: float, ymin: float,
     return found
 
 
+def _rounds(segments: int) -> int:
+    """Refinements of the lattice for about as many cells as segments, so the candidates of a cell stay few."""
+    return max(1, math.ceil(math.log(max(segments, 1)) / math.log(FAN * FAN)))
+
+
 def nearest_line(
-    points: DataFrame, segments: DataFrame, key: str, line: str = "line_id", rounds: int = 2, local: int = LOCAL_SEGMENTS
+    points: DataFrame, segments: DataFrame, key: str, line: str = "line_id", rounds: int | None = None, local: int = LOCAL_SEGMENTS
 ) -> DataFrame:
     """Distance from each point to the nearest line, and which line it is.
 
     Up to ``local`` segments (checked by a limited read) become constants of one expression, so every
-    point is measured where it is in generated code. Beyond that, points meet only the candidates of
-    their lattice cell, and the minimum is combined per point before it is shuffled.
+    point is measured where it is in generated code. Beyond that, distinct places meet only the candidates of
+    their lattice cell, whose number of cells grows with the segments. Both ways give every point one row: equal distances go to
+    the smallest line, and a point with a null coordinate, or no segment at all, has NULL for both.
     """
-    few = segments.select(line, *SEGMENT).limit(local + 1).collect()
-    if 0 < len(few) <= local:
+    few = sorted(segments.select(line, *SEGMENT).limit(local + 1).collect(), key=lambda s: s[line])
+    kind = segments.schema[line].dataType
+    nothing = {"dist_obs": F.lit(None).cast("double"), line: F.lit(None).cast(kind)}
+    if not few:
+        return points.withColumns(nothing)
+    if len(few) <= local:
         squares = [f"near_{i}" for i in range(len(few))]
         measured = points.withColumns({c: _squared_distance_to(s) for c, s in zip(squares, few)})
         least = F.least(*squares) if len(squares) > 1 else F.col(squares[0])
@@ -189,11 +216,14 @@ def nearest_line(
         for c, s in reversed(list(zip(squares, few))):
             which = F.when(F.col(c) == F.col("near"), F.lit(s[line])).otherwise(which)
         return measured.withColumn("near", least).withColumns(
-            {"dist_obs": F.sqrt("near"), line: which}
+            {"dist_obs": F.sqrt("near"), line: which.cast(kind)}
         ).drop("near", *squares)
-    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    places = points.select("x", "y").filter("x IS NOT NULL AND y IS NOT NULL").distinct()
+    box = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if box[0] is None:
-        return points.withColumns({"dist_obs": F.lit(None).cast("double"), line: F.lit(None).cast("long")})
+        return points.withColumns(nothing)
+    if rounds is None:
+        rounds = _rounds(segments.count())
     xmin, ymin = float(box[0]), float(box[2])
     side = max(float(box[1]) - xmin, float(box[3]) - ymin) or 1.0
     cells = FAN ** rounds
@@ -203,8 +233,9 @@ def nearest_line(
     }
     near = F.struct(_segment_distance(F.col("x"), F.col("y"), _columns()).alias("d"), F.col(line)).alias("near")
     best = (
-        points.select(key, "x", "y").withColumns(number)
+        places.withColumns(number)
         .join(segment_candidates(segments, line, xmin, ymin, side, rounds), ["cx", "cy"])
-        .select(key, near).groupBy(key).agg(F.min("near").alias("near"))
+        .select("x", "y", near).groupBy("x", "y").agg(F.min("near").alias("near"))
     )
-    return points.join(best.select(key, F.col("near.d").alias("dist_obs"), F.col(f"near.{line}").alias(line)), key)
+    found = best.select("x", "y", F.col("near.d").alias("dist_obs"), F.col(f"near.{line}").alias(line))
+    return points.join(found, ["x", "y"], "left").select(*points.columns, "dist_obs", line)

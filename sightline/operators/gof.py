@@ -26,6 +26,8 @@ def _chi2(tables: DataFrame) -> DataFrame:
 def gof_tables(links: DataFrame) -> DataFrame:
     """The 2 x 2 table of every test at every occasion, from one aggregation of the links.
 
+    ``t`` ranks the sampled occasions (``rank_occasions``), so t + 1 is the next occasion however long the gap.
+
     * 3sr - seen before or not, against seen later or not;
     * 3sm - among those seen later: seen before or not, against next seen at t + 1 or after it;
     * 2ct - known alive around t: seen at t or not, against next seen at t + 1 or after it;

@@ -81,7 +81,7 @@ view("total_se", """
 
 def _links(spark, sf, by=(), period="quarter", marks=("WM",)):
     """Link counts over ``by``, written once: the single pass over the captures."""
-    caps = fx.captures(spark, sf, marks=marks, period=period).withColumn("bucket", (F.col("id") % BUCKETS).cast("int"))
+    caps = fx.captures(spark, sf, marks=marks, period=period).withColumn("bucket", F.pmod("id", F.lit(BUCKETS)).cast("int"))
     return settle(cap.link_counts(caps, list(by)), "links")
 
 
@@ -131,7 +131,10 @@ def capture_history(spark, sf):
     f"CAST(max(CASE WHEN t = {t} THEN 1 ELSE 0 END) AS INT) AS t{t:02d}" for t in range(1, 28)
 ) + " FROM captures_wm GROUP BY id, grp", "captures_wm")
 def pivot_history(spark, sf):
-    return cap.pivot_history(fx.captures(spark, sf), list(range(1, 28)))
+    captures = fx.captures(spark, sf)
+    # One row for each period of the calendar.
+    seen = sorted(row.t for row in captures.select("t").distinct().collect())
+    return cap.pivot_history(captures, seen)
 
 
 @query("occasion_counts", "SELECT t, n, u, m, r FROM counts_wm", "counts_wm")
@@ -227,6 +230,43 @@ def jolly_seber(spark, sf):
     return est.select("t", "n", "m", "r", "z", *[r(c).alias(c) for c in _EST])
 
 
+def _gapped(spark, sf):
+    """Captures without the quarters that 5 divides, numbered by rank of the sampled quarters."""
+    return cap.rank_occasions(fx.captures(spark, sf).filter("t % 5 <> 0"))
+
+
+view("captures_gapped", """
+    SELECT id, grp, CAST(dense_rank() OVER (ORDER BY t) AS INTEGER) AS t, t AS period FROM captures_wm WHERE t % 5 <> 0""", "captures_wm")
+view("captures_skipping", "SELECT id, grp, t + 100 AS t FROM captures_wm WHERE t % 5 <> 0", "captures_wm")
+_count_views("gapped", "SELECT id, t FROM captures_gapped", "", "captures_gapped")
+_count_views("gappedgrp", "SELECT id, grp, t FROM captures_gapped", "grp", "captures_gapped")
+_count_views("skipping", "SELECT * FROM captures_skipping", "grp", "captures_skipping")
+_UNIT = "CASE WHEN phi >= 0 THEN power(phi, 1.0 / gap) END"
+
+
+@query("jolly_seber_intervals", f"""
+    SELECT t, period, gap, n, m, r, z, {q('phi')} AS phi, {q(_UNIT)} AS phi_unit FROM js_gapped JOIN (
+      SELECT t, period, lead(period) OVER (ORDER BY t) - period AS gap FROM (SELECT DISTINCT t, period FROM captures_gapped)) USING (t)""",
+       "js_gapped captures_gapped")
+def jolly_seber_intervals(spark, sf):
+    captures = _gapped(spark, sf)
+    links = settle(cap.link_counts(captures), "links")
+    est = ab.survival_per_unit(ab.jolly_seber(cap.full_counts(links)), cap.occasions(captures))
+    return est.select("t", "period", "gap", "n", "m", "r", "z", r("phi").alias("phi"), r("phi_unit").alias("phi_unit"))
+
+
+@query("gross_by_group_intervals", f"SELECT grp, {q('n_gross')} AS n_gross FROM gross_gappedgrp", "gross_gappedgrp")
+def gross_by_group_intervals(spark, sf):
+    return _gross_of(settle(cap.link_counts(_gapped(spark, sf), ["grp"]), "links")).select("grp", r("n_gross").alias("n_gross"))
+
+
+@query("between_counts_skipping", "SELECT grp, t, n, z FROM counts_skipping", "counts_skipping")
+def between_counts_skipping(spark, sf):
+    """Grouped counts where whole occasions are missing and numbers do not start at 1."""
+    captures = fx.captures(spark, sf).filter("t % 5 <> 0").withColumn("t", F.col("t") + 100)
+    return cap.full_counts(settle(cap.link_counts(captures, ["grp"]), "links"), ["grp"]).select("grp", "t", "n", "z")
+
+
 @query("jolly_seber_all_marks", "SELECT t, " + ", ".join(f"{q(c)} AS {c}" for c in _EST) + " FROM js_all", "js_all")
 def jolly_seber_all_marks(spark, sf):
     est = ab.jolly_seber(cap.full_counts(_links(spark, sf, marks=None)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -27,12 +29,26 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 @cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="sightline-")
+    folder = tempfile.mkdtemp(prefix="sightline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder named by ``spark.checkpoint.dir``, or set with ``setCheckpointDir``.
+
+    Only a session on one machine may have neither: it gets a temporary folder that goes with the process.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

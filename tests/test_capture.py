@@ -65,3 +65,31 @@ def test_interval_and_correction(frame):
     row = ab.mark_rate_correct(df, "n_gross", "se", F.lit(0.5), F.lit(80)).first()
     assert row.lower < 100 < row.upper and row.lower * row.upper == pytest.approx(10000)
     assert row.n_tot == 200 and row.se_tot == pytest.approx((200**2 * (0.01 + 0.5 / 40)) ** 0.5)
+
+
+def test_counts_with_unsampled_occasions(spark, frame):
+    seen = {1: (1, 4), 2: (2, 4), 3: (1, 2, 5), 4: (5,)}
+    rows = [(i, 1, t) for i, ts in seen.items() for t in ts]
+    captures = frame(rows, "id bigint, grp int, t int")
+    plain = {r.t: r.z for r in cap.full_counts(cap.link_counts(captures)).collect()}
+    grouped = {r.t: r.z for r in cap.full_counts(cap.link_counts(captures, ["grp"]), ["grp"]).collect()}
+    assert plain == grouped == {1: 0, 2: 1, 4: 1, 5: 0}
+
+
+def test_shifted_occasions_change_nothing(spark, frame):
+    from sightline.operators import abundance as ab
+
+    rows = [(i, 1, t) for i in range(60) for t in range(1, 9) if (i * 7 + t * t * 3) % 5 < 2]
+    totals = []
+    for shift in (0, 4):
+        captures = frame([(i, g, t + shift) for i, g, t in rows], "id bigint, grp int, t int")
+        counts = cap.full_counts(cap.link_counts(captures, ["grp"]), ["grp"])
+        totals.append(ab.gross_total(ab.jolly_seber(counts, ["grp"]), ["grp"]).first().n_gross)
+    assert totals[0] == totals[1] is not None
+
+
+def test_occasions_are_ranked_from_the_data(frame):
+    captures = frame([("a", 3), ("b", 7), ("a", 12), ("c", 7)], "id string, t int")
+    ranked = cap.rank_occasions(captures)
+    assert {(r.id, r.t, r.period) for r in ranked.collect()} == {("a", 1, 3), ("b", 2, 7), ("a", 3, 12), ("c", 2, 7)}
+    assert [(r.t, r.gap) for r in cap.occasions(ranked).orderBy("t").collect()] == [(1, 4), (2, 5), (3, None)]

@@ -53,6 +53,40 @@ def test_inside_polygon_both_ways(spark, frame, local):
     assert sorted(r.id for r in kept) == [1, 5, 7]  # in the hole and outside drop; a lower left vertex counts once
 
 
+@pytest.mark.parametrize("local", [1000, 0])
+def test_polygon_with_repeated_keys_and_null_places(frame, local):
+    ring = [(1, 1, 0.0, 0.0), (1, 2, 10.0, 0.0), (1, 4, 10.0, 10.0), (1, 9, 0.0, 10.0)]
+    edges = geo.ring_edges(frame(ring, "geom_id int, seq int, x double, y double"))
+    points = [(1, 1.0, 1.0), (1, 2.0, 2.0), (1, 20.0, 2.0), (2, None, 1.0), (3, 1.0, None), (4, 1.0, 1.0), (4, 1.0, 1.0)]
+    kept = geo.inside_polygon(frame(points, PTS), edges, "id", local=local)
+    assert kept.columns == ["id", "x", "y"]
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, 1.0, 1.0), (1, 2.0, 2.0), (4, 1.0, 1.0), (4, 1.0, 1.0)]
+    nothing = geo.inside_polygon(frame(points, PTS), edges.limit(0), "id", local=local)
+    assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("local", [16, 0])
+def test_nearest_line_edge_cases(frame, local):
+    lines = [(9, 0.0, 1.0, 4.0, 1.0), (3, 0.0, -1.0, 4.0, -1.0), (5, 30.0, 30.0, 31.0, 30.0)]
+    points = [(1, 2.0, 0.0), (1, 30.0, 29.0), (2, None, 1.0), (3, 1.0, None), (4, 2.0, 0.0), (4, 2.0, 0.0)]
+    out = geo.nearest_line(frame(points, PTS), frame(lines, SEGS), "id", local=local)
+    assert out.columns == ["id", "x", "y", "dist_obs", "line_id"]
+    got = sorted(((r.id, r.dist_obs, r.line_id) for r in out.collect()), key=str)
+    assert got == sorted([(1, 1.0, 3), (1, 1.0, 5), (2, None, None), (3, None, None), (4, 1.0, 3), (4, 1.0, 3)], key=str)
+    empty = geo.nearest_line(frame(points, PTS), frame([], SEGS), "id", local=local)
+    assert empty.count() == len(points) and empty.filter("dist_obs IS NOT NULL OR line_id IS NOT NULL").count() == 0
+
+
+def test_candidates_of_a_cell_stay_few_as_segments_grow(frame):
+    most = []
+    for n in (40, 4000):
+        rng = random.Random(n)
+        lines = [(i, x, y, x + 0.1, y) for i in range(n) for x, y in [(rng.uniform(0, 100), rng.uniform(0, 100))]]
+        found = geo.segment_candidates(frame(lines, SEGS), "line_id", 0.0, 0.0, 100.0, geo._rounds(n))
+        most.append(found.groupBy("cx", "cy").count().agg(F.avg("count")).first()[0])
+    assert most[1] < 2 * most[0] + 8
+
+
 def test_overlay_outside_the_grid_is_zero(spark, frame):
     out = geo.point_grid_join(frame([(1, 1.0, 1.0), (2, 500.0, 1.0)], PTS), fx.depth_grid(spark), 2.0, 2.0)
     got = {r.id: r.surf for r in out.collect()}
@@ -64,6 +98,14 @@ def test_segments_of_a_line(frame):
     assert sorted(tuple(r)[1:] for r in out.collect()) == [(1, 0.0, 0.0, 1.0, 0.0), (2, 1.0, 0.0, 1.0, 2.0)]
 
 
+def test_segments_skip_missing_numbers(frame):
+    rows = [(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0), (1, 4, 1.0, 2.0), (1, 5000, 2.0, 2.0), (1, 12000, 3.0, 3.0)]
+    out = geo.line_segments(frame(rows, "line_id int, seq int, x double, y double"))
+    assert sorted(r.seq for r in out.collect()) == [1, 2, 4, 5000]
+    ring = geo.ring_edges(frame(rows, "geom_id int, seq int, x double, y double"))
+    assert (1, 3.0, 3.0, 0.0, 0.0) in {tuple(r) for r in ring.collect()} and ring.count() == 5
+
+
 def test_hat_basis_sums_to_one(spark):
     d = spark.range(71).select((F.col("id") / 10.0).alias("dist_obs"))
     sums = it.hat_basis(d).groupBy("dist_obs").agg(F.sum("basis").alias("s")).collect()
