@@ -146,11 +146,12 @@ def grid_layer(spark, sf):
     return geo.grid_layer(_raster(spark, sf), STEP, STEP).withColumn("z", r("z"))
 
 
-view("ext", "SELECT min(x) AS xmin, min(y) AS ymin, (max(x) - min(x)) / 50.0 AS dx, (max(y) - min(y)) / 50.0 AS dy FROM points",
+LATTICE = 200
+view("ext", "SELECT min(x) AS xmin, min(y) AS ymin, (max(x) - min(x)) / 200.0 AS dx, (max(y) - min(y)) / 200.0 AS dy FROM points",
      "points")
-view("lat", """SELECT CAST(id % 50 AS INT) AS ix, CAST(id // 50 AS INT) AS iy, id AS cell,
-    xmin + (id % 50 + 0.5) * dx AS x, ymin + (id // 50 + 0.5) * dy AS y
-    FROM (SELECT range AS id FROM range(2500)) r, ext""", "ext")
+view("lat", """SELECT CAST(id % 200 AS INT) AS ix, CAST(id // 200 AS INT) AS iy, id AS cell,
+    xmin + (id % 200 + 0.5) * dx AS x, ymin + (id // 200 + 0.5) * dy AS y
+    FROM (SELECT range AS id FROM range(40000)) r, ext""", "ext")
 
 
 @query("pixel_lattice", f"""
@@ -160,10 +161,10 @@ view("lat", """SELECT CAST(id % 50 AS INT) AS ix, CAST(id // 50 AS INT) AS iy, i
 def pixel_lattice(spark, sf):
     pts = fx.points(spark, sf)
     box = geo.extent(pts)
-    lattice = geo.pixel_lattice(spark, 50, 50, box).withColumn("cell", F.col("iy") * 50 + F.col("ix"))
+    lattice = geo.pixel_lattice(spark, LATTICE, LATTICE, box).withColumn("cell", F.col("iy") * LATTICE + F.col("ix"))
     counts = pts.groupBy(
-        geo.cell("x", box["xmin"], (box["xmax"] - box["xmin"]) / 50.0).alias("ix"),
-        geo.cell("y", box["ymin"], (box["ymax"] - box["ymin"]) / 50.0).alias("iy"),
+        geo.cell("x", box["xmin"], (box["xmax"] - box["xmin"]) / float(LATTICE)).alias("ix"),
+        geo.cell("y", box["ymin"], (box["ymax"] - box["ymin"]) / float(LATTICE)).alias("iy"),
     ).agg(F.count("*").alias("n"))
     kept = _inside_area(spark, lattice, "cell").join(counts, ["ix", "iy"], "left").fillna(0, ["n"])
     return kept.select("ix", "iy", r("x").alias("x"), r("y").alias("y"), "n")
@@ -408,6 +409,11 @@ view("grid20", """SELECT CAST(id % 20 AS INT) AS ix, CAST(id // 20 AS INT) AS iy
     1 + sin((5 * (id % 20) + CAST(2.5 AS DOUBLE)) / 15) * cos((5 * (id // 20) + CAST(2.5 AS DOUBLE)) / 20) AS z
     FROM (SELECT range AS id FROM range(400)) r""")
 view("cells20", _inside("grid20", "cell"), "grid20 area_edges")
+view("grid200", """SELECT CAST(id % 200 AS INT) AS ix, CAST(id // 200 AS INT) AS iy, id AS cell,
+    CAST(id % 200 AS DOUBLE) / 2 + 0.25 AS x, CAST(id // 200 AS DOUBLE) / 2 + 0.25 AS y,
+    1 + sin((CAST(id % 200 AS DOUBLE) / 2 + 0.25) / 15) * cos((CAST(id // 200 AS DOUBLE) / 2 + 0.25) / 20) AS z
+    FROM (SELECT range AS id FROM range(40000)) r""")
+view("cells200", _inside("grid200", "cell"), "grid200 area_edges")
 
 
 def _pixels(spark, nx):
@@ -422,20 +428,20 @@ def predict_draws(spark, sf):
 
 def _pixel_quantiles(spark, sf, probs):
     draws = fx.draws(spark, sf)
-    return it.over_draws(it.predict_draws(draws, _pixels(spark, 50), 2500), ["cell"], probs, draws)
+    return it.over_draws(it.predict_draws(draws, _pixels(spark, LATTICE), LATTICE ** 2), ["cell"], probs, draws)
 
 
-_PIXEL = "SELECT CAST(cell AS INT) AS cell, {} FROM (SELECT cell, exp(b0 + b1 * z) AS value FROM draws, cells) GROUP BY cell"
+_PIXEL = "SELECT CAST(cell AS INT) AS cell, {} FROM (SELECT cell, exp(b0 + b1 * z) AS value FROM draws, cells200) GROUP BY cell"
 
 
-@query("pixel_median", _PIXEL.format(f"{q('quantile_cont(value, 0.5)')} AS m"), "draws cells")
+@query("pixel_median", _PIXEL.format(f"{q('quantile_cont(value, 0.5)')} AS m"), "draws cells200")
 def pixel_median(spark, sf):
     return _pixel_quantiles(spark, sf, {"m": 0.5}).withColumn("m", r("m"))
 
 
 @query("pixel_rwpci", _PIXEL.format(f"""{q('quantile_cont(value, 0.5)')} AS m, {q('quantile_cont(value, 0.25)')} AS q25,
     {q('quantile_cont(value, 0.75)')} AS q75,
-    {q('(quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / quantile_cont(value, 0.5)')} AS rwpci"""), "draws cells")
+    {q('(quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / quantile_cont(value, 0.5)')} AS rwpci"""), "draws cells200")
 def pixel_rwpci(spark, sf):
     out = it.relative_width(_pixel_quantiles(spark, sf, it.QUARTILES))
     return out.select("cell", *[r(c).alias(c) for c in ("m", "q25", "q75", "rwpci")])
@@ -480,7 +486,7 @@ def true_curve(spark, sf):
 
 
 @query("draw_surfaces", f"""SELECT draw, CAST(cell AS INT) AS cell, {q('exp(b0 + b1 * z)')} AS value FROM (
-    SELECT * FROM draws ORDER BY (draw * 1103515245 + 12345) % 2147483648, draw LIMIT 4), cells""", "draws cells")
+    SELECT * FROM draws ORDER BY (draw * 1103515245 + 12345) % 2147483648, draw LIMIT 4), cells200""", "draws cells200")
 def draw_surfaces(spark, sf):
     chosen = ct.sample_rows(fx.draws(spark, sf), "draw", 4)
-    return it.predict_draws(chosen, _pixels(spark, 50), 2500).withColumn("value", r("value"))
+    return it.predict_draws(chosen, _pixels(spark, LATTICE), LATTICE ** 2).withColumn("value", r("value"))

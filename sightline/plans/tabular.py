@@ -27,11 +27,10 @@ def scan_delimited(spark, sf):
     return back.select("event_id", r("x").alias("x"), r("y").alias("y"), "stype")
 
 
-@query("scan_matrix", """
-    SELECT id, mark_level, sdate, tot FROM sightings WHERE sdate >= DATE '1998-01-01'""", "sightings")
+@query("scan_matrix", "SELECT id, mark_level, sdate, tot FROM sightings", "sightings")
 def scan_matrix(spark, sf):
     path = tb.sink_table(fx.sightings(spark, sf), shared_path(spark, "matrix"))
-    return tb.scan_matrix(spark, path).filter("sdate >= DATE'1998-01-01'").select("id", "mark_level", "sdate", "tot")
+    return tb.scan_matrix(spark, path).select("id", "mark_level", "sdate", "tot")
 
 
 @query("sink_clustered", """
