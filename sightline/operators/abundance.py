@@ -105,11 +105,14 @@ def with_group_se(gross: DataFrame, cov: DataFrame, group: str = "grp") -> DataF
     return gross.join(own, group)
 
 
-def ci_table(groups: DataFrame, total: DataFrame, labels: dict[int, str]) -> DataFrame:
-    """Labelled lower, estimate, upper, rounded half to even; the total has ``pos`` 0."""
-    name = F.lit(None).cast("string")
-    for g, label in labels.items():
-        name = F.when(F.col("grp") == g, label).otherwise(name)
+def ci_table(groups: DataFrame, total: DataFrame, rates: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """Labelled lower, estimate, upper, rounded half to even; the total has ``pos`` 0.
+
+    ``labels`` name the groups from the highest to the lowest ``rate``; one row per group, so the ranking is small.
+    """
+    place = F.row_number().over(Window.orderBy(F.desc("rate"), "grp"))
+    ranked = rates.select("grp", F.get(F.array(*map(F.lit, labels)), place - 1).alias("label"))
+    groups, name = groups.join(ranked, "grp", "left"), F.col("label")
     rows = total.select(F.lit(0).alias("pos"), F.lit("Total").alias("label"), "lower", "n_gross", "upper").unionByName(
         groups.select(F.col("grp").alias("pos"), name.alias("label"), "lower", "n_gross", "upper")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -78,9 +78,19 @@ def cluster_profile(features: DataFrame, labels: DataFrame, group: str = "grp")
 
 
 def factor_codes(df: DataFrame, column: str) -> DataFrame:
-    """Level codes of a string column in sorted order, from 1."""
-    levels = one_row(df, all=F.array_sort(F.collect_set(column)))
-    return df.withColumn(f"{column}_code", F.array_position(levels["all"], F.col(column)).cast("int"))
+    """Level codes of a string column in sorted order, from 1; NULL has no code.
+
+    Distinct levels are numbered inside the levels of one beginning, and the counts of the beginnings give the carry, so no
+    task or array holds all levels.
+    """
+    start = F.substring(column, 1, 3).alias("start")
+    levels = df.select(column).filter(F.col(column).isNotNull()).distinct().select(column, start)
+    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carry = levels.groupBy("start").agg(F.count("*").alias("n")).select(
+        "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carry"))
+    own = F.row_number().over(Window.partitionBy("start").orderBy(column))
+    coded = levels.join(carry, "start").select(column, (own + F.col("carry")).cast("int").alias(f"{column}_code"))
+    return df.join(coded, column, "left").select(*df.columns, f"{column}_code")
 
 
 def keep_with_probability(df: DataFrame, p: str, u: str | None = None, seed: int = 0) -> DataFrame:

@@ -37,12 +37,12 @@ def individual_history(days: DataFrame) -> DataFrame:
     )
 
 
-def fidelity_features(days: DataFrame) -> DataFrame:
+def fidelity_features(days: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """The six metrics of every individual.
 
     ``periodicity`` is one over the mean gap between sightings; the gaps telescope, so it is
     (n - 1) / (last - first). Metrics with a zero denominator (seen once, first seen on the last
-    occasion) are 0.
+    occasion) are 0. With ``ids``, individuals without any sighting have a row too: their span is NULL, the rest 0.
     """
     calendar = occasions(days)
     totals = one_row(
@@ -55,7 +55,7 @@ def fidelity_features(days: DataFrame) -> DataFrame:
     first = calendar.select(F.col("sdate").alias("first_date"), F.col("occ").alias("first_occ"))
     again = F.col("n_sights") - 1
     span = F.datediff("last_date", "first_date")
-    return individual_history(days).join(first, "first_date").select(
+    seen = individual_history(days).join(first, "first_date").select(
         "id",
         ratio_or_zero(span, totals["max_time"]).alias("span_time_rel"),
         ratio_or_zero(again, span).alias("periodicity"),
@@ -64,6 +64,9 @@ def fidelity_features(days: DataFrame) -> DataFrame:
         ratio_or_zero(F.col("n_months"), totals["n_months"]).alias("m_rate"),
         ratio_or_zero(F.col("n_years"), totals["n_years"]).alias("y_rate"),
     )
+    if ids is None:
+        return seen
+    return ids.select("id").distinct().join(seen, "id", "left").fillna(0.0, list(FEATURES[1:]))
 
 
 def mean_gap(days: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from sightline.functions.scalar import one_row
 from sightline.operators import abundance as ab
 from sightline.operators import capture as cap
 from sightline.operators import counts as ct
-from sightline.operators import gof, models
+from sightline.operators import fidelity, gof, models
 from sightline.plans import views  # noqa: F401  (oracle views)
 from sightline.plans.registry import q, query, r, view
 from sightline.session import settle
@@ -299,10 +299,12 @@ _C = f"exp({Z95!r} * sqrt(ln(1 + (se / n_gross) * (se / n_gross))))"
 view("intervals", f"""
     SELECT pos, label, n_gross, se, {_C} AS c, n_gross / {_C} AS lower, n_gross * {_C} AS upper FROM (
       SELECT 0 AS pos, 'Total' AS label, n_gross, se FROM total_se UNION ALL
-      SELECT grp, CASE grp WHEN 1 THEN 'Residents' WHEN 2 THEN 'Transient' ELSE 'Part-Time' END, n_gross, se FROM gross_se)""",
-     "total_se gross_se")
-# Row labels of the estimate table, by group.
-GROUP_LABELS = {1: "Residents", 2: "Transient", 3: "Part-Time"}
+      SELECT grp, label, n_gross, se FROM gross_se LEFT JOIN (
+        SELECT grp, ['Residents', 'Part-Time', 'Transient'][row_number() OVER (ORDER BY avg(m_rate) DESC, grp)] AS label
+        FROM features JOIN id_group USING (id) GROUP BY grp) USING (grp))""",
+     "total_se gross_se features id_group")
+# Row labels of the estimate table, from the highest to the lowest monthly rate.
+GROUP_LABELS = ("Residents", "Part-Time", "Transient")
 
 
 @query("lognormal_ci", "SELECT pos, " + ", ".join(
@@ -318,7 +320,9 @@ def lognormal_ci(spark, sf):
     f"round_even({c}, 0) AS {c}" for c in ("lower", "n_gross", "upper")) + " FROM intervals", "intervals")
 def ci_table(spark, sf):
     groups, total = (ab.lognormal_interval(df) for df in _with_se(spark, sf))
-    return ab.ci_table(groups, total, GROUP_LABELS)
+    features = fidelity.fidelity_features(fx.sighting_days(spark, sf)).select("id", "m_rate")
+    rates = features.join(fx.individuals(spark, sf).select("id", "grp"), "id").groupBy("grp").agg(F.avg("m_rate").alias("rate"))
+    return ab.ci_table(groups, total, rates, GROUP_LABELS)
 
 
 _NTOT = "(est / theta)"
