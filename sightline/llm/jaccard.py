@@ -3,7 +3,7 @@
 Sets of word shingles are banded by size so that two linked sets lie in one band or in neighbouring ones. Within a band
 the hash space is cut into more cells than two linked sets can differ in, so they agree wholly on some cell they both
 fill: equal cell contents form the tiles in which sets meet. Nothing depends on how frequent a shingle is, so a shared
-passage brings no candidates. Tiles are first joined as stars around their smallest sets; a tile whose sets are then in one
+passage brings no candidates. Tiles are first joined as stars around their smallest, largest and most central sets; a tile whose sets are then in one
 component needs no further look. The others are cut by size into blocks of ``TILE`` sets, and block pairs of
 compatible sizes are compared. Bit counts of hashed bitmaps bound the overlap from above for every pair, and pairs that
 pass are verified by intersecting the sorted shingle arrays. The result is exact: no cap, no sampled candidates.
@@ -29,6 +29,7 @@ from sightline.llm.common import mix, settle, shingles_of, table, text_chunks, w
 
 NEAR, OF = 80, 100
 TILE = 1024
+CENTRAL_ROUNDS = 4
 CELL_ENTRIES = 1_000_000
 FILTER_BITS = 1 << 24
 NAME_BYTES = 6  # of a signature, besides its cell; chance equality only costs a comparison
@@ -101,8 +102,8 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap(held: np.ndarray) -> bytes:
-    """A hashed bitmap of a set, with about two bits for each shingle."""
-    width = max(256, 1 << (2 * len(held) - 1).bit_length())
+    """A hashed bitmap of a set, with 8 to 16 bits for each shingle."""
+    width = max(256, 1 << (8 * len(held) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[(mix(held) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -336,6 +337,29 @@ def _crossing(edges: DataFrame, labels: DataFrame) -> DataFrame:
         "own != other").select("set", "hub", "other")
 
 
+def _named(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tile, set, label) of the tiles whose sets are in more than one component."""
+    named = tiles.select("tile", "set").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
+        "label", F.coalesce("label", "set"))
+    mixed = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tile")
+    return named.join(mixed, "tile", "left_semi")
+
+
+def _central(tiles: DataFrame, degrees: DataFrame) -> DataFrame:
+    """For every set the most central set, by ``degree``, of another component in one of its tiles.
+
+    The common original of many edited copies agrees with most of them in every cell, so it is the most central.
+    """
+    held = tiles.join(degrees, "set")
+    parts = held.groupBy("tile", "label").agg(F.max(F.struct("degree", "set")).alias("top"))
+    first = parts.groupBy("tile").agg(F.max(F.struct("top", "label")).alias("first"))
+    others = parts.join(first, "tile").filter(F.col("label") != F.col("first.label")).groupBy("tile").agg(F.max("top").alias("second"))
+    ends = first.join(others, "tile")
+    partner = F.when(F.col("label") == F.col("first.label"), F.col("second")).otherwise(F.col("first.top"))
+    return tiles.join(ends, "tile").groupBy(F.col("set").alias("a")).agg(F.max(partner).alias("partner")).select(
+        "a", F.col("partner.set").alias("b"))
+
+
 def _block_pairs(tiles: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b) of different components of a tile that pass the bitmap bound, from size-ordered blocks of ``TILE`` sets.
 
@@ -387,14 +411,18 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     if edges.isEmpty():
         return nodes.select("key", "rid", "th", "n", F.col("set").alias("label")), sets.filter("n = 0")
 
-    def join_pairs(pairs: DataFrame) -> None:
+    def join_pairs(pairs: DataFrame) -> bool:
+        """Add the links among the pairs; whether there were any."""
         nonlocal links, labels
         near = settle(_bounded(pairs, marks), "near")
         ends = near.select(F.col("a").alias("set")).union(near.select(F.col("b").alias("set"))).distinct()
         contents = _contents(docs, key, text, wanted.join(ends, "set"), bits=False)
         found = settle(_verified(near, contents).distinct(), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        any_ = not found.isEmpty()
+        if any_ or links is None:
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        return any_
 
     for pick in (F.min, F.max):
         join_pairs(crossing.groupBy(F.col("set").alias("a"), "other").agg(pick("hub").alias("b")))
@@ -402,8 +430,14 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     if not crossing.isEmpty():
         open_ = _sifted(tiles, crossing, ["set", "hub"]).select("tile").distinct()
         left = _sifted(tiles.select("tile", "set"), settle(open_, "open"), ["tile"]).distinct()
-        named = left.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        join_pairs(_block_pairs(settle(named, "open-tiles"), marks))
+        degrees = settle(tiles.groupBy("set").agg(F.count("*").alias("degree")), "degrees")
+        left = settle(_named(left, labels), "open-tiles")
+        for _ in range(CENTRAL_ROUNDS):
+            if left.isEmpty() or not join_pairs(_central(left, degrees)):
+                break
+            left = settle(_named(left, labels), "open-tiles")
+        if not left.isEmpty():
+            join_pairs(_block_pairs(left, marks))
     full = nodes.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
         "label", F.coalesce("label", "set"))
     return full.select("key", "rid", "th", "n", "label"), sets.filter("n = 0")
