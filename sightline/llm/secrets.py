@@ -206,5 +206,30 @@ def op4_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def _oracle() -> str:
+    """The scan of ``documents`` as DuckDB SQL: places of matches from the lengths of the pieces between them."""
+    found = " UNION ALL ".join(
+        f"""SELECT rid, doc_id, owner, {k} AS kind, {least} AS least, unnest(range(1, len(hits) + 1)) AS i, hits, vals, gaps FROM (
+          SELECT rid, doc_id, owner, regexp_extract_all(t, '{q}', 0) AS hits, regexp_extract_all(t, '{q}', {group}) AS vals,
+            string_split_regex(t, '{q}') AS gaps FROM d)""" for k, (_, pattern, group, least) in enumerate(PATTERNS)
+        for q in [pattern.replace("'", "''")])
+    names = "['" + "', '".join(KINDS) + "'][kind + 1]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner FROM documents),
+m AS ({found}),
+p AS (SELECT rid, doc_id, owner, kind, least, length(hits[i]) AS size, vals[i] AS value,
+    sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM m),
+c AS (SELECT rid, doc_id, owner, kind, stop - size AS start, stop, stop - length(value) AS vstart, value FROM p WHERE length(value) >= least),
+f AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
+a AS (SELECT DISTINCT rid, vstart AS start, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 4
+    WHEN len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS} THEN 3 END AS kind, stop FROM c JOIN f USING (value)),
+s AS (SELECT rid, start, kind, stop FROM c UNION ALL SELECT rid, start, kind, stop FROM a WHERE kind IS NOT NULL),
+j AS (SELECT rid, string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans,
+    string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base,
+    count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2 FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (rid)"""
+
+
 QUERIES = {"op4_ownership_secrets": op4_ownership_secrets}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_ownership_secrets": _oracle()}
