@@ -100,6 +100,20 @@ def _best(scores: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> Ite
         yield i, at[ids[at] != query[i]]
 
 
+def _merged(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best ids of every query among candidates of several blocks."""
+    order = np.lexsort((-scores, ids, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    new = np.ones(len(query), dtype=bool)
+    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, scores = query[new], ids[new], scores[new]
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.searchsorted(query, query)
+    best = np.arange(len(query)) - first < k
+    return [query[best], ids[best], scores[best]]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` for every row of ``queries``."""
     spark = vectors.sparkSession
@@ -191,7 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
+            parts = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for ids, rows, q_ids, q_rows in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 x = np.frombuffer(rows, np.int64).reshape(len(ids), width)
@@ -201,9 +215,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
                 if len(first) < len(ids):
                     ids, s = ids[first], np.maximum.reduceat(s, first, axis=1)
                 for i, at in _best(s, q_ids, ids, k):
-                    out[0] += [int(q_ids[i])] * len(at)
-                    out[1] += ids[at].tolist()
-                    out[2] += s[i, at].tolist()
+                    parts[0].append(np.full(len(at), q_ids[i]))
+                    parts[1].append(ids[at])
+                    parts[2].append(s[i, at])
+            out = _merged(*map(np.concatenate, parts), k)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
 
     def answers(df: DataFrame) -> DataFrame:
