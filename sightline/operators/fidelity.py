@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.scalar import one_row, ratio_or_zero
 from sightline.operators.calendar import occasions, sampled_months
+from sightline.session import settle
 
 FEATURES = ("span_time_rel", "periodicity", "resight", "sights", "m_rate", "y_rate")
 
@@ -44,7 +45,8 @@ def fidelity_features(days: DataFrame, ids: DataFrame | None = None) -> DataFram
     (n - 1) / (last - first). Metrics with a zero denominator (seen once, first seen on the last
     occasion) are 0. With ``ids``, individuals without any sighting have a row too: their span is NULL, the rest 0.
     """
-    calendar = occasions(days)
+    # At most one row per survey day, read twice below.
+    calendar = settle(occasions(days), "calendar")
     totals = one_row(
         calendar,
         n_occ=F.count("*"),
