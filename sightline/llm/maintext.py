@@ -51,6 +51,8 @@ NEVER_NAMES = re.compile(
     r"cookie|cookies|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|"
     r"popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)s?(?=$|[\s_-])",
     re.IGNORECASE)
+#: Beginnings of class names that describe the layout around an element's content.
+LAYOUT = ("has-", "with-", "no-", "without-", "is-", "layout-")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
@@ -81,24 +83,24 @@ class Weights:
         return self.content.get(context, 0.25 if not context[2] else -0.25)
 
 
-def _never(tag: str, attrs: str) -> bool:
+def _never(tag: str, attrs: str, by_name: bool) -> bool:
     if tag in NEVER_CONTENT:
         return True
-    if tag in ("html", "body") or not attrs or "=" not in attrs:
+    if not by_name or tag in ("html", "body") or not attrs or "=" not in attrs:
         return False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in NEVER_ROLES:
             return True
-        if name in ("class", "id") and NEVER_NAMES.search(value):
+        if name in ("class", "id") and any(NEVER_NAMES.search(t) for t in value.split() if not t.lower().startswith(LAYOUT)):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
     return False
 
 
-def runs(page: str) -> list[Run]:
-    """The token sequence of a page. Context of words: (under article or main, nearest block element, in a link)."""
+def runs(page: str, by_name: bool = True) -> list[Run]:
+    """The token sequence of a page; ``by_name`` also leaves out elements by role, class and id. Context of words: (under article or main, nearest block element, in a link)."""
     out: list[Run] = []
     stack: list[str] = []
     dropped = 0  # height of the stack at which content stops counting
@@ -173,7 +175,7 @@ def runs(page: str) -> list[Run]:
         if tag in VOID or attrs.endswith("/"):
             continue
         stack.append(tag)
-        if not dropped and _never(tag, attrs):
+        if not dropped and _never(tag, attrs, by_name):
             dropped = len(stack)
     return out
 
@@ -229,12 +231,16 @@ def learn(pages: list[str]) -> tuple[Weights, Weights]:
 
 
 def main_text(page: str | None, marked: Weights, unmarked: Weights) -> str:
+    """The text of the best region; names are not trusted where they would leave nothing."""
     if not page:
         return ""
-    tokens = runs(page)
-    weights = marked if any(t.inside for t in tokens) else unmarked
-    a, b = best_region(tokens, weights)
-    return region_text(tokens[a:b])
+    for by_name in (True, False):
+        tokens = runs(page, by_name)
+        weights = marked if any(t.inside for t in tokens) else unmarked
+        a, b = best_region(tokens, weights)
+        if text := region_text(tokens[a:b]):
+            return text
+    return ""
 
 
 def labelled_sample(pages: DataFrame, text: str, limit: int = LABELLED) -> list[str]:

@@ -296,6 +296,8 @@ def test_main_text(spark):
     learned = maintext.learn([r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()])
     assert maintext.main_text(PAGE, *learned) == TEXT
     assert maintext.main_text(PAGE.replace("ARTICLE", "div"), *learned) == TEXT
+    assert maintext.main_text(PAGE.replace("<body>", "<body><div class='row has-sidebar'>"), *learned) == TEXT
+    assert maintext.main_text("<div class='widget'><p>Only text of the page</p></div>", *learned) == "Only text of the page"
 
 
 def test_region_is_the_best_contiguous_one():
