@@ -170,9 +170,13 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
     _, added = _scanned(docs, key, owner, text)
     held = docs.select(F.struct(*docs.columns).alias("row"), docs[key].alias("key"), docs[text].alias("text"),
                        _text_hash(docs[text]).alias("th"))
-    spanned = with_spans(held, "text")
+    # A plain test of the text, so that the spans are worked out once, and only for rows that may have some.
+    may = F.lit(False)
+    for kind, pattern, _, _ in PATTERNS:
+        may = may | (_guard(kind, F.col("text")) & F.col("text").rlike(pattern))
+    marked = held.withColumn("may", F.coalesce(may, F.lit(False)))
     values = F.transform("found", lambda s: F.struct(s["vstart"].alias("start"), s["end"].alias("end")))
-    hits = spanned.filter(F.size("found") > 0).withColumn("spans", F.array_sort(F.array_distinct(values)))
+    hits = with_spans(marked.filter("may"), "text").withColumn("spans", F.array_sort(F.array_distinct(values)))
     a, b = hits.alias("a"), added.alias("b")
     joined = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.th") == F.col("b.th")), "left")
 
@@ -189,17 +193,17 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
         done = F.aggregate(F.col("a.spans"), start, step)
         return F.concat(F.array_join(done["parts"], ""), F.substring(F.col("a.text"), done["at"] + 1, F.lit(2147483647)))
 
-    changed = joined.select("a.row", replaced().alias("text"))
-    kept = spanned.filter(F.size("found") == 0).select("row", "text")
+    changed = joined.select("a.row", replaced().alias("text"), (F.size("a.spans") > 0).alias("new"))
+    kept = marked.filter(~F.col("may")).select("row", "text", F.lit(False).alias("new"))
 
-    def column(c: str, new: bool) -> Column:
+    def column(c: str) -> Column:
         if c == text:
             return F.col("text").alias(c)
-        if c == length and new:
-            return F.char_length("text").cast(docs.schema[c].dataType).alias(c)
+        if c == length:
+            return F.when(F.col("new"), F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
         return F.col("row")[c].alias(c)
 
-    return changed.select(*[column(c, True) for c in docs.columns]).union(kept.select(*[column(c, False) for c in docs.columns]))
+    return changed.union(kept).select(*[column(c) for c in docs.columns])
 
 
 def op4_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
