@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sightline.functions.scalar import one_row
 from sightline.operators.fidelity import FEATURES
 from sightline.operators.ranks import quantiles_from_runs, running_sums
+from sightline.session import settle
 
 DIGITS = 9
 
@@ -134,18 +135,23 @@ def silhouette_by_k(labelled: DataFrame, k_max: int, columns: tuple[str, ...] =
     cluster along each feature's distinct values.
     """
     slots = range(1, k_max + 1)
-    long = _long(labelled.select("id", "k", "c", *columns), ["id", "k", "c"], columns)
-    counted = long.groupBy("feature", "k", "v").agg(
+    parted = labelled.filter("k > 1").select("id", "k", "c", *columns)
+    counted = _long(parted, ["id", "k", "c"], columns).groupBy("feature", "k", "v").agg(
         *[F.sum(F.when(F.col("c") == j, 1).otherwise(0)).alias(f"w{j}") for j in slots]
     ).withColumns({f"s{j}": F.col(f"w{j}") * F.col("v") for j in slots})
     runs = running_sums(counted, ["feature", "k"], "v", [f"{x}{j}" for j in slots for x in "ws"])
-    parts = runs.select("feature", "k", "v", *[
-        _distance_sum(F.col("v"), *[F.col(f"{x}{j}_{y}") for y in ("run", "all") for x in "ws"]).alias(f"d{j}")
+    # One row per feature, k and distinct value: bounded by the calendar. Its written size lets Spark choose the join.
+    parts = settle(runs.select("feature", "k", "v", F.array(*[
+        _distance_sum(F.col("v"), *[F.col(f"{x}{j}_{y}") for y in ("run", "all") for x in "ws"]) for j in slots
+    ]).alias("part")), "silhouette-parts")
+    wide = parted
+    for f in columns:
+        own = parts.filter(F.col("feature") == f).select("k", F.col("v").alias(f), F.col("part").alias(f"d_{f}"))
+        wide = wide.join(own, ["k", f])
+    sums = wide.select("id", "k", "c", *[
+        (reduce(lambda a, b: a + b, [F.col(f"d_{f}")[j - 1] for f in columns]) / F.lit(float(len(columns)))).alias(f"d{j}")
         for j in slots
     ])
-    sums = long.join(parts, ["feature", "k", "v"]).groupBy("id", "k", "c").agg(
-        *[(F.sum(f"d{j}") / F.lit(float(len(columns)))).alias(f"d{j}") for j in slots]
-    )
     sizes = labelled.groupBy("k").agg(
         F.array(*[F.count(F.when(F.col("c") == j, 1)) for j in slots]).alias("sizes")
     )
@@ -158,7 +164,8 @@ def silhouette_by_k(labelled: DataFrame, k_max: int, columns: tuple[str, ...] =
                 F.array_min(F.transform("means", lambda m, i: F.when(i + 1 != F.col("c"), m))).alias("b"))
     )
     width = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return scored.groupBy("k").agg(F.avg(width).alias("silhouette"))
+    whole = labelled.filter("k = 1").select("k").distinct().withColumn("silhouette", F.lit(0.0))
+    return scored.groupBy("k").agg(F.avg(width).alias("silhouette")).union(whole)
 
 
 # ---- squared dissimilarities ------------------------------------------------------------------------------
