@@ -21,7 +21,7 @@ __all__ = ["table", "settle", "shared_path", "text_chunks", "bytes_of", "word_ha
            "hashed_sample"]
 
 SHINGLE = 5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

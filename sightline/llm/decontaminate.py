@@ -75,7 +75,7 @@ class ItemIndex:
         near, self.keys, self.items = _near_masks(), [], []
         rank = np.searchsorted(self.lengths, sizes).astype(np.int64)
         for part in range(0, len(sizes), INDEXED):
-            own = np.arange(part, min(part + INDEXED, len(sizes)))
+            own = np.arange(part, min(part + INDEXED, len(sizes)), dtype=np.int32)
             keys, items = [], []
             for block in range(BLOCKS):
                 value = self.prints[own, block][:, None] ^ near

@@ -15,7 +15,7 @@ import regex
 
 from sightline.llm.common import mix
 
-KEPT = 4_000_000
+KEPT = 1_500_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Endings that the pattern cuts off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")

@@ -35,7 +35,7 @@ LEAST_RATIO = 8.0
 STEM_LENGTHS = range(4, 10)
 FUZZY_FROM, FUZZY_STEM_FROM = 5, 6
 WINDOW = 80
-KNOWN = 1_000_000
+KNOWN = 200_000
 WORD = re.compile(r"[^\W_]+")
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
 #: Words that report speech.
