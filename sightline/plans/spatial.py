@@ -426,9 +426,22 @@ def predict_draws(spark, sf):
     return it.predict_draws(fx.draws(spark, sf), _pixels(spark, 20), 400).withColumn("value", r("value"))
 
 
+def _lattice_draws(spark, draws):
+    """Every draw on every pixel of the full lattice."""
+    return it.predict_draws(draws, _pixels(spark, LATTICE), LATTICE ** 2)
+
+
+@query("predict_draws_lattice", f"""SELECT draw, count(*) AS n, {q('avg(value)')} AS m, {q('min(value)')} AS lo, {q('max(value)')} AS hi
+    FROM (SELECT draw, exp(b0 + b1 * z) AS value FROM draws, cells200) GROUP BY draw""", "draws cells200")
+def predict_draws_lattice(spark, sf):
+    """An aggregate over all draws and pixels, as the rows themselves (500 draws x 200 x 200) are too many to compare."""
+    return _lattice_draws(spark, fx.draws(spark, sf)).groupBy("draw").agg(
+        F.count("*").alias("n"), r(F.avg("value")).alias("m"), r(F.min("value")).alias("lo"), r(F.max("value")).alias("hi"))
+
+
 def _pixel_quantiles(spark, sf, probs):
     draws = fx.draws(spark, sf)
-    return it.over_draws(it.predict_draws(draws, _pixels(spark, LATTICE), LATTICE ** 2), ["cell"], probs, draws)
+    return it.over_draws(_lattice_draws(spark, draws), ["cell"], probs, draws)
 
 
 _PIXEL = "SELECT CAST(cell AS INT) AS cell, {} FROM (SELECT cell, exp(b0 + b1 * z) AS value FROM draws, cells200) GROUP BY cell"

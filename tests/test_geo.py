@@ -127,3 +127,12 @@ def test_seeded_thinning_is_a_subset(spark):
     pts = detect.detect_social(fx.points(spark, SMALL).withColumn("surf", F.lit(0.0)))
     kept = detect.thin(pts, seed=3).count()
     assert 400 < kept < 600  # probability one half of 1 000 points
+
+
+def test_draws_are_predicted_on_the_whole_lattice(spark):
+    from sightline.plans import spatial
+
+    draws, pixels = fx.draws(spark, SMALL), spatial._pixels(spark, 200)
+    per_draw = spatial.predict_draws_lattice(spark, SMALL).collect()
+    assert len(per_draw) == draws.count() and {x.n for x in per_draw} == {pixels.count()}
+    assert pixels.count() > 100 * spatial._pixels(spark, 20).count() * 0.9
