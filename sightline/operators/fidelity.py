@@ -2,7 +2,7 @@
 
 Zeros of the dense matrix only enter the denominators, so the operators read the sightings and take
 the number of occasions, months and years from the calendar. A never-seen individual has no row here;
-``dense_months`` restores it where it matters.
+``dense_months`` and ``dense_days`` restore it where it matters.
 """
 
 from __future__ import annotations
@@ -89,3 +89,17 @@ def dense_months(days: DataFrame, ids: DataFrame) -> DataFrame:
     return full.join(seen, ["id", "month"], "left").select(
         "id", "month", F.coalesce("hit", F.lit(0)).alias("observed")
     )
+
+
+def dense_days(days: DataFrame, ids: DataFrame) -> DataFrame:
+    """The complete matrix: every individual on every survey day with a 0/1 indicator.
+
+    As in ``dense_months``, each id generates its own row of days from a calendar array (at most one
+    entry per day of the study).
+    """
+    calendar = one_row(occasions(days), all=F.array_sort(F.collect_list("sdate")))
+    full = ids.select("id", F.explode(calendar["all"]).alias("sdate"))
+    seen = days.select("id", "sdate").distinct().withColumn("hit", F.lit(1))
+    return full.join(seen, ["id", "sdate"], "left").select(
+        "id", "sdate", F.coalesce("hit", F.lit(0)).alias("observed")
+    )

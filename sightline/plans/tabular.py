@@ -206,6 +206,11 @@ def _dense(spark, sf):
     return fidelity.dense_months(days, days.select("id").distinct())
 
 
+def _dense_days(spark, sf):
+    days = fx.sighting_days(spark, sf)
+    return fidelity.dense_days(days, days.select("id").distinct())
+
+
 @query("conditional_minmax", """
     SELECT id, min(CASE WHEN observed = 1 THEN month END) AS first_month,
            max(CASE WHEN observed = 1 THEN month END) AS last_month,
@@ -217,6 +222,17 @@ def conditional_minmax(spark, sf):
     )
 
 
+@query("conditional_minmax_days", """
+    SELECT id, min(CASE WHEN observed = 1 THEN sdate END) AS first_day,
+           max(CASE WHEN observed = 1 THEN sdate END) AS last_day,
+           min(CASE WHEN observed = 0 THEN sdate END) AS first_missed FROM dense_days GROUP BY id""", "dense_days")
+def conditional_minmax_days(spark, sf):
+    hit, miss = F.when(F.col("observed") == 1, F.col("sdate")), F.when(F.col("observed") == 0, F.col("sdate"))
+    return _dense_days(spark, sf).groupBy("id").agg(
+        F.min(hit).alias("first_day"), F.max(hit).alias("last_day"), F.min(miss).alias("first_missed")
+    )
+
+
 @query("chained_summary", f"""
     SELECT id, first_time, last_time, last_time - first_time AS span_time,
            {q('CAST(last_time - first_time AS DOUBLE) / (SELECT max(time) FROM occs)')} AS span_time_rel
@@ -252,6 +268,15 @@ def period_indicator(spark, sf):
     return _dense(spark, sf).groupBy("id", F.year("month").alias("y")).agg(F.max("observed").alias("seen"))
 
 
+@query("period_indicator_days", """
+    SELECT id, CAST(year(sdate) AS INT) AS y, CAST(month(sdate) AS INT) AS m, max(observed) AS seen
+    FROM dense_days GROUP BY 1, 2, 3""", "dense_days")
+def period_indicator_days(spark, sf):
+    return _dense_days(spark, sf).groupBy("id", F.year("sdate").alias("y"), F.month("sdate").alias("m")).agg(
+        F.max("observed").alias("seen")
+    )
+
+
 @query("nested_mean", f"""
     SELECT id, {q('avg(seen)')} AS rate FROM (
       SELECT id, year(month) AS y, avg(observed) AS seen FROM dense_months GROUP BY 1, 2) GROUP BY id""", "dense_months")
@@ -262,6 +287,16 @@ def nested_mean(spark, sf):
     return yearly.groupBy("id").agg(r(F.avg("seen")).alias("rate"))
 
 
+@query("nested_mean_days", f"""
+    SELECT id, {q('avg(seen)')} AS rate FROM (
+      SELECT id, year(sdate) AS y, avg(observed) AS seen FROM dense_days GROUP BY 1, 2) GROUP BY id""", "dense_days")
+def nested_mean_days(spark, sf):
+    yearly = _dense_days(spark, sf).repartition("id").groupBy("id", F.year("sdate").alias("y")).agg(
+        F.avg("observed").alias("seen")
+    )
+    return yearly.groupBy("id").agg(r(F.avg("seen")).alias("rate"))
+
+
 @query("numeric_means", "SELECT " + ", ".join(f"{q(f'avg({c})')} AS {c}" for c in fidelity.FEATURES) + " FROM features",
        "features")
 def numeric_means(spark, sf):
@@ -397,6 +432,16 @@ def densify(spark, sf):
     return _dense(spark, sf)
 
 
+@query("densify_days", """
+    SELECT id, CAST(year(sdate) AS INT) AS y, count(*) AS n, CAST(sum(observed) AS BIGINT) AS n_observed
+    FROM dense_days GROUP BY 1, 2""", "dense_days")
+def densify_days(spark, sf):
+    """An aggregate over the complete matrix, whose rows are too many to compare (3.6 M at sf0.01)."""
+    return _dense_days(spark, sf).groupBy("id", F.year("sdate").alias("y")).agg(
+        F.count("*").alias("n"), F.sum("observed").alias("n_observed")
+    )
+
+
 @query("effort_month", f"SELECT make_date(y, m, 1) AS month, n, {q('ln(n)')} AS log_n FROM effort_days", "effort_days")
 def effort_month(spark, sf):
     return calendar.effort_months(fx.effort_days(spark, sf)).withColumn("log_n", r("log_n"))

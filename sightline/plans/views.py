@@ -64,6 +64,12 @@ view("dense_months", """
          LEFT JOIN (SELECT DISTINCT id, CAST(date_trunc('month', sdate) AS DATE) AS month FROM sightings) s
            ON i.id = s.id AND m.month = s.month""", "sightings")
 
+view("dense_days", """
+    SELECT i.id, d.sdate, CAST(CASE WHEN s.id IS NULL THEN 0 ELSE 1 END AS INT) AS observed
+    FROM (SELECT DISTINCT id FROM sightings) i
+         CROSS JOIN (SELECT DISTINCT sdate FROM sightings) d
+         LEFT JOIN (SELECT DISTINCT id, sdate FROM sightings) s ON i.id = s.id AND d.sdate = s.sdate""", "sightings")
+
 view("points", """
     SELECT event_id, CAST(ts AS DATE) AS pdate,
            (hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT)) / CAST(864 AS DOUBLE) AS x,

@@ -49,6 +49,14 @@ def test_never_seen_individual_in_dense_form(frame):
     assert {(r.id, r.observed) for r in dense.collect()} == {(1, 1), (9, 0)}
 
 
+def test_dense_form_has_every_survey_day(frame):
+    march = [D(2017, 3, 2), D(2017, 3, 5)]
+    days = frame([(1, march[0]), (1, march[1]), (2, march[1])], "id bigint, sdate date")
+    dense = fidelity.dense_days(days, frame([(1,), (2,), (9,)], "id bigint"))
+    assert sorted((r.id, r.sdate, r.observed) for r in dense.collect()) == [
+        (1, march[0], 1), (1, march[1], 1), (2, march[0], 0), (2, march[1], 1), (9, march[0], 0), (9, march[1], 0)]
+
+
 def test_calendar(frame):
     days = frame([(1, d) for d in reversed(DAYS)] + [(2, DAYS[1])], "id bigint, sdate date")
     assert [(r.occ, r.time) for r in calendar.occasions(days).orderBy("sdate").collect()] == [(1, 0), (2, 10), (3, 60), (4, 425)]
