@@ -2,14 +2,16 @@
 
 Every line of a text, and every run of neighbouring lines that could belong to a notice, is a vector of its words'
 TF-IDF weights; the document frequencies of the templates' words are counted over all documents, other words weigh as if
-they occurred once. The best cosine to a template decides, from ``LEAST`` on. A document of whose words a fifth or more stand in
-its notice is a licence file: it also speaks for its directory, and every document without a notice of its own takes the licence of
+they occurred once. The whole text, and at every line the runs of lines as long as a template, are also compared with the full
+licence texts, their openings and headers (``TEXTS``) and with the longer notices. The best cosine to a template decides, from
+``LEAST`` on, first among the parts that hold a fifth or more of the words. A document with such a part is a licence file: it also speaks for its directory, and every document without a notice of its own takes the licence of
 the nearest directory above it that has one (the file with the highest cosine, then the smallest key). The ancestors are
 found by an equality join of directory prefixes, over distinct directories only, so a directory with a third of
 all documents is one row in it.
 
 A line is left out early only where its share of template words proves, by the Cauchy-Schwarz bound, that no cosine can
-reach the threshold; so whole texts are scanned and nothing is lost.
+reach the threshold; so whole texts are scanned and nothing is lost. So it is with runs: a template is passed over only where its
+words that the text has carry too little of its weight, a run where its sum of weights is too small for its least norm.
 
 Defined cases: a null, empty or wordless text has no notice but may inherit; a null path is in the root directory; a null key
 stays null; of equal cosines the first template in order wins; repeated rows each give a row; other columns are ignored.
@@ -26,10 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.common import bytes_of, settle, table, text_chunks, word_places
+from sightline.llm.licence_texts import TEXTS
 
 LEAST = 0.7
 LOOSE = 0.4
 FILE_SHARE = 0.2
+#: Notices of so many words are wrapped; they are also compared with runs of lines.
+WRAPPED = 20
 #: Common public licence notices, by SPDX identifier.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -75,13 +80,15 @@ def _words(text: str) -> np.ndarray:
     return word_places(*bytes_of(pa.array([text])), _WORD)[0]
 
 
-VOCABULARY = np.unique(np.concatenate([_words(t) for _, t in TEMPLATES]))
+NOTICES = np.unique(np.concatenate([_words(t) for _, t in TEMPLATES]))
+LONG = (*TEXTS, *(t for t in TEMPLATES if len(_words(t[1])) >= WRAPPED))
+VOCABULARY = np.unique(np.concatenate([NOTICES, *(_words(t) for _, t in LONG)]))
 
 
-def _known(hashes: np.ndarray) -> np.ndarray:
+def _known(hashes: np.ndarray, vocabulary: np.ndarray = VOCABULARY) -> np.ndarray:
     """Place of each word in the vocabulary, or -1."""
-    at = np.minimum(np.searchsorted(VOCABULARY, hashes), len(VOCABULARY) - 1)
-    return np.where(VOCABULARY[at] == hashes, at, -1)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at, -1)
 
 
 class Matcher:
@@ -89,20 +96,64 @@ class Matcher:
 
     def __init__(self, frequency: dict[int, int], documents: int):
         self.most = math.log(1 + documents) + 1
-        self.idf = np.array([math.log((1 + documents) / (1 + frequency.get(i, 0))) + 1 for i in range(len(VOCABULARY))])
-        self.rows = np.zeros((len(TEMPLATES), len(VOCABULARY)))
-        for i, (_, text) in enumerate(TEMPLATES):
-            np.add.at(self.rows[i], _known(_words(text)), 1.0)
-        self.rows *= self.idf
-        self.rows /= np.linalg.norm(self.rows, axis=1, keepdims=True)
+        self.weight = np.array([math.log((1 + documents) / (1 + frequency.get(i, 0))) + 1 for i in range(len(VOCABULARY))])
+        self.idf = self.weight[_known(NOTICES)]
+        self.rows = self._unit([_known(_words(t), NOTICES) for _, t in TEMPLATES], self.idf)
+        self.long = self._unit([_known(_words(t)) for _, t in LONG], self.weight)
+        self.lengths = [len(_words(t)) for _, t in LONG]
+
+    @staticmethod
+    def _unit(places: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+        rows = np.stack([np.bincount(p, minlength=len(idf)) for p in places]) * idf
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
     def cosines(self, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
         inside = known >= 0
-        vector = np.bincount(known[inside], minlength=len(VOCABULARY)) * self.idf
-        _, others = np.unique(hashes[~inside], return_counts=True)
-        norm = math.sqrt(float(vector @ vector) + self.most ** 2 * float((others.astype(float) ** 2).sum()))
+        vector = np.bincount(known[inside], minlength=len(NOTICES)) * self.idf
+        norm = self._norm(hashes, inside, vector)
         return self.rows @ vector / norm if norm else np.zeros(len(TEMPLATES))
 
+    def _norm(self, hashes: np.ndarray, inside: np.ndarray, vector: np.ndarray) -> float:
+        _, others = np.unique(hashes[~inside], return_counts=True)
+        return math.sqrt(float(vector @ vector) + self.most ** 2 * float((others.astype(float) ** 2).sum()))
+
+    def _possible(self, places: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, long template) pairs whose common words carry enough of the template's weight."""
+        inside = places >= 0
+        pairs = np.unique(text[inside] * len(VOCABULARY) + places[inside])
+        if not len(pairs):
+            return pairs, pairs
+        of, word = pairs // len(VOCABULARY), pairs % len(VOCABULARY)
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        held = np.stack([np.add.reduceat(row[word], heads) for row in self.long ** 2], axis=1)
+        t, template = np.nonzero(held >= LEAST ** 2 - 1e-9)
+        return of[heads[t]], template
+
+    def _best_run(self, hashes: np.ndarray, places: np.ndarray, ends: np.ndarray, template: int, floor: float) -> tuple[float, int]:
+        """(cosine, words) of the whole text or the run of lines that is nearest to a long template, if above ``floor``.
+
+        ``ends`` holds 0 and the end of each line. Runs go in descending order of a bound: a word's square counts at least once each time.
+        """
+        inside = places >= 0
+        row, at = self.long[template], np.maximum(places, 0)
+        dots = np.concatenate([[0.0], np.cumsum(np.where(inside, row[at] * self.weight[at], 0.0))])
+        squares = np.concatenate([[0.0], np.cumsum(np.where(inside, self.weight[at] ** 2, self.most ** 2))])
+        last = np.minimum(np.searchsorted(ends, ends[:-1] + self.lengths[template]), len(ends) - 1)
+        begin = np.concatenate([[0], ends[:-1], ends[:-1]])
+        until = np.concatenate([[ends[-1]], ends[last], ends[np.maximum(last - 1, 0)]])
+        begin, until = begin[until > begin], until[until > begin]
+        bound = (dots[until] - dots[begin]) / np.sqrt(squares[until] - squares[begin])
+        best, size = floor, 0
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < LEAST - 1e-9 or bound[i] <= best:
+                break
+            a, b = int(begin[i]), int(until[i])
+            vector = np.bincount(places[a:b][inside[a:b]], minlength=len(VOCABULARY)) * self.weight
+            cosine = float(row @ vector) / self._norm(hashes[a:b], inside[a:b], vector)
+            if cosine >= LEAST and cosine > best:
+                best, size = cosine, b - a
+        return best, size
+
     def _may(self, known: np.ndarray, starts: np.ndarray, least: float) -> np.ndarray:
         """Which segments of words, from each start to the next, could reach a cosine of ``least``."""
         inside = known >= 0
@@ -110,14 +161,15 @@ class Matcher:
         strange = np.add.reduceat((~inside).astype(np.float64), starts)
         return mass ** 2 * (1 - least ** 2) >= least ** 2 * strange * self.most ** 2
 
-    def scan(self, column: pa.Array) -> list[tuple[int, float, float] | None]:
-        """(template, cosine, share of the words) of each text's best notice."""
+    def scan(self, column: pa.Array) -> list[tuple[str, float, float] | None]:
+        """(licence, cosine, share of the words) of each text's best notice or licence text."""
         data, offsets = bytes_of(column)
         hashes, starts = word_places(data, offsets, _WORD)
-        out: list[tuple[int, float, float] | None] = [None] * len(column)
+        out: list[tuple[str, float, float] | None] = [None] * len(column)
         if not len(hashes):
             return out
-        known = _known(hashes)
+        places = _known(hashes)
+        known = np.append(_known(VOCABULARY, NOTICES), -1)[places]
         text = np.searchsorted(offsets, starts, side="right") - 1
         line = np.searchsorted(np.flatnonzero(data == 0x0A), starts)
         heads = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])]))
@@ -135,10 +187,23 @@ class Matcher:
                     continue
                 cosine = self.cosines(hashes[a:b], known[a:b])
                 best = int(cosine.argmax())
-                if cosine[best] >= LEAST and (out[t] is None or cosine[best] > out[t][1]):
-                    out[t] = (best, float(cosine[best]), float((b - a) / words[t]))
+                if cosine[best] >= LEAST:
+                    out[t] = self._better(out[t], (TEMPLATES[best][0], float(cosine[best]), float((b - a) / words[t])))
+        upto = np.concatenate([[0], np.cumsum(words)])
+        for t, template in zip(*(x.tolist() for x in self._possible(places, text))):
+            a, b = upto[t], upto[t + 1]
+            stops = np.concatenate([[0], ends[np.searchsorted(ends, a, side="right"):np.searchsorted(ends, b, side="right")] - a])
+            sure = out[t][1] if out[t] and out[t][2] >= FILE_SHARE else 0.0
+            cosine, size = self._best_run(hashes[a:b], places[a:b], stops, template, sure)
+            if size:
+                out[t] = self._better(out[t], (LONG[template][0], cosine, float(size / words[t])))
         return out
 
+    @staticmethod
+    def _better(a: tuple[str, float, float] | None, b: tuple[str, float, float]) -> tuple[str, float, float]:
+        """The part that makes a licence file comes first, then the higher cosine, then the earlier one."""
+        return b if a is None or (b[2] >= FILE_SHARE, b[1]) > (a[2] >= FILE_SHARE, a[1]) else a
+
 
 def frequencies(docs: DataFrame, text: str = "text") -> tuple[dict[int, int], int]:
     """({vocabulary place: documents}, documents) over all rows; at most one row for each word of the templates."""
@@ -176,7 +241,7 @@ def scan(docs: DataFrame, key: str = "doc_id", path: str = "path", text: str = "
             found = sent.value.scan(batch.column(2))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1),
-                pa.array([f and TEMPLATES[f[0]][0] for f in found], pa.string()),
+                pa.array([f and f[0] for f in found], pa.string()),
                 pa.array([f and f[1] for f in found], pa.float64()), pa.array([f and f[2] for f in found], pa.float64()),
             ], names=["key", "path", "license", "score", "share"])
 

@@ -323,6 +323,26 @@ def test_licences_inherit_from_the_nearest_directory(spark):
                    5: (None, "none", None), 6: ("CC-BY-NC-4.0", "own", None), 7: (None, "none", None), 8: ("MIT", "inherited", 2)}
 
 
+def test_full_licence_texts_are_files(spark):
+    from sightline.llm.licence_texts import TEXTS
+
+    full = {}
+    for name, text in TEXTS:
+        full.setdefault(name, text)
+    headers = dict(TEXTS[-7:])
+    body = "\n".join(f"value{i} = compute{i}(first{i}, second{i})" for i in range(200))
+    rows = [(i, f"/{name}/LICENSE", "Copyright (c) 2019 Some Body\nAll rights reserved.\n\n" + text) for i, (name, text) in enumerate(full.items())]
+    rows += [(100 + i, f"/{name}/src/code.py", body) for i, name in enumerate(full)]
+    rows += [(200 + i, f"/headers/{name}.c", text + "\n" + body) for i, (name, text) in enumerate(headers.items())]
+    rows += [(300, "/opening/COPYING", "\n".join(full["GPL-3.0"].split("\n")[:20]))]
+    got = {r.doc_id: (r.license, r.basis, r.inherited_from) for r in
+           licences.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    for i, name in enumerate(full):
+        assert got[i] == (name, "file", None) and got[100 + i] == (name, "inherited", i)
+    assert [got[200 + i][0] for i in range(len(headers))] == list(headers)
+    assert got[300][0] == "GPL-3.0"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
