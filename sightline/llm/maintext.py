@@ -7,7 +7,9 @@ sample is read (``LABELLED`` pages, a documented parameter). A word's weight is
 the element around it and whether it is in a link, less one half; the weight of a tag is the one of a few values
 with the best word-level F1 on the labelled pages. Pages without such an element use weights learned with that mark
 hidden. A whole element that is never content (menu, header, footer, sidebar, notice, advert, form, script, style,
-reader comments; by tag, role or class) counts as a single tag and is left out of the region.
+reader comments; by tag, role or class) counts as a single tag and is left out of the region. Class and id are asked only of
+containers (``NAMED``), and inside the content mark only for reader comments, adverts and share bars; headings, paragraphs, code and
+formulas are left to the scores.
 
 Text of the region: character references decoded, white space inside a block turned into one space and trimmed, blocks
 joined by one newline in page order, empty blocks left out.
@@ -35,7 +37,7 @@ TAG_WEIGHTS = (-0.05, -0.2, -0.5, -1.0, -3.25)
 #: Elements by what they are in HTML.
 NEVER_CONTENT = frozenset(
     "head title script style noscript template nav header footer aside form button select option textarea input label "
-    "iframe object embed svg canvas audio video dialog menu math map".split())
+    "iframe object embed svg canvas audio video dialog menu map annotation annotation-xml".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -51,6 +53,15 @@ NEVER_NAMES = re.compile(
     r"cookie|cookies|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|"
     r"popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)s?(?=$|[\s_-])",
     re.IGNORECASE)
+#: Elements whose class and id are asked, and what is asked of them inside the content mark.
+NAMED = frozenset("div section ul ol table".split())
+NEVER_INSIDE = re.compile(
+    r"^(?:(?:post|article|page|entry|content|user|reader|blog|wp|google|inline|in-article|top|bottom|side)[_-])*"
+    r"(?:ad|ads|advert|advertisement|adsense|comments|commentlist|disqus|promoted|replies|respond|sponsored)"
+    r"(?:[_-](?:area|bar|box|container|form|list|section|slot|thread|unit|wrap|wrapper|\d+))*$|"
+    r"^(?:(?:social|post|article)[_-])?(?:share|sharing)(?:[_-](?:this|bar|box|buttons?|icons?|links?|list|tools?|widget))+$|"
+    r"^share$|^social[_-](?:share|sharing|bar|buttons?|icons?|links?|media)$",
+    re.IGNORECASE)
 #: Beginnings of class names that describe the layout around an element's content.
 LAYOUT = ("has-", "with-", "no-", "without-", "is-", "layout-")
 TOKEN = re.compile(
@@ -83,7 +94,7 @@ class Weights:
         return self.content.get(context, 0.25 if not context[2] else -0.25)
 
 
-def _never(tag: str, attrs: str, by_name: bool) -> bool:
+def _never(tag: str, attrs: str, by_name: bool, marked: bool) -> bool:
     if tag in NEVER_CONTENT:
         return True
     if not by_name or tag in ("html", "body") or not attrs or "=" not in attrs:
@@ -92,7 +103,8 @@ def _never(tag: str, attrs: str, by_name: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in NEVER_ROLES:
             return True
-        if name in ("class", "id") and any(NEVER_NAMES.search(t) for t in value.split() if not t.lower().startswith(LAYOUT)):
+        if tag in NAMED and name in ("class", "id") and any(
+                (NEVER_INSIDE if marked else NEVER_NAMES).search(t) for t in value.split() if not t.lower().startswith(LAYOUT)):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -174,8 +186,9 @@ def runs(page: str, by_name: bool = True) -> list[Run]:
             continue
         if tag in VOID or attrs.endswith("/"):
             continue
+        marked = any(t in MARKED for t in stack)
         stack.append(tag)
-        if not dropped and _never(tag, attrs, by_name):
+        if not dropped and _never(tag, attrs, by_name, marked):
             dropped = len(stack)
     return out
 

@@ -300,6 +300,24 @@ def test_main_text(spark):
     assert maintext.main_text("<div class='widget'><p>Only text of the page</p></div>", *learned) == "Only text of the page"
 
 
+def test_names_drop_only_containers_of_other_things(spark):
+    learned = maintext.learn([r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()])
+    page = """<html><body><div class="promo"><p>Subscribe to our other things today</p></div><article>
+<h2 id="related-work">Related work</h2><p>The first paragraph says <math><mi>x</mi></math> is a number that we all know quite well.</p>
+<section class="section-header"><p>A titled section has its own words that belong to the text.</p></section>
+<div class="share-price"><p>The share price rose by a tenth over the year in the table.</p></div>
+<section id="cookies"><p>How cookies are stored is what this part explains to readers.</p></section>
+<pre><code>a = 1 <span class="hljs-comment"># keep this comment</span></code></pre>
+<div class="social-history"><p>The social history of the town is told in the last part.</p></div>
+<div class="share-buttons"><p>Tell your friends</p></div><div class="ad-slot"><p>Buy now</p></div>
+<div class="comments-list"><p>First! great post</p></div></article></body></html>"""
+    got = maintext.main_text(page, *learned)
+    for kept in ("Related work", "says x is a", "titled section", "share price rose", "cookies are stored", "# keep this comment", "social history of"):
+        assert kept in got
+    for left_out in ("Tell your friends", "Buy now", "First!", "Subscribe"):
+        assert left_out not in got
+
+
 def test_region_is_the_best_contiguous_one():
     rng = np.random.default_rng(4)
     weights = maintext.Weights({(False, "p", False): 0.5, (False, "li", True): -0.5}, -0.3)
