@@ -251,7 +251,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
         more_rings, "id bigint, v binary, rings array<int>")
     rest = answers(settle(expanded, "expanded"))
     both = seen.select("query_id", "vec_id", "score").union(rest.select("query_id", "vec_id", "score"))
-    return highest(both).select("query_id", "rank", "vec_id", "score")
+    # An id with several vectors may have been seen in both rounds.
+    once = both.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return highest(once).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
