@@ -35,6 +35,9 @@ LOOSE = 0.4
 FILE_SHARE = 0.2
 #: Notices of so many words are wrapped; they are also compared with runs of lines.
 WRAPPED = 20
+#: Characters under which the registered query places a document in a higher directory.
+HIGHER = 400
+HIGHEST = 100
 #: Common public licence notices, by SPDX identifier.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -265,10 +268,16 @@ def scan(docs: DataFrame, key: str = "doc_id", path: str = "path", text: str = "
 
 
 def op9_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents lie at /source/language/hundreds of doc_id/doc_id, as the table has no path of its own."""
+    """The documents lie at /source/language/hundreds of doc_id/doc_id, as the table has no path of its own.
+
+    Short ones stand higher, as files that speak for a directory do: under ``HIGHER`` characters at /source/language, under
+    ``HIGHEST`` at /source.
+    """
     docs = table(spark, sf_dir, "documents")
-    parts = [F.coalesce(F.col("source"), F.lit("unknown")), F.coalesce(F.col("lang"), F.lit("unknown")),
-             F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")]
+    size = F.coalesce(F.length("text"), F.lit(HIGHER))
+    parts = [F.coalesce(F.col("source"), F.lit("unknown")),
+             F.when(size >= HIGHEST, F.coalesce(F.col("lang"), F.lit("unknown"))),
+             F.when(size >= HIGHER, F.floor(F.col("doc_id") / 100).cast("string")), F.col("doc_id").cast("string")]
     return scan(docs.withColumn("path", F.concat(F.lit("/"), F.concat_ws("/", *parts))))
 
 
