@@ -2,7 +2,8 @@
 
 A window of a document has as many words as a benchmark item (a shorter document is one window). Windows and items
 have SimHash fingerprints of 128 bits over their word shingles. A multi-index finds, for each window, all items of its
-size within Hamming distance ``RADIUS``: split into eight blocks of 16 bits, two such fingerprints have a block that
+size within Hamming distance ``RADIUS``; the second and later occurrences of a shingle count as shingles of their own, so that
+repeats weigh no more than others. Split into eight blocks of 16 bits, two such fingerprints have a block that
 differs in at most ``RADIUS // 8`` bits, and every item is filed under all such neighbours of its blocks. Candidates are
 verified exactly: the weighted Jaccard similarity of the shingles, weighted by how often they occur, is ``NEAR`` or
 more. At that similarity a fingerprint differs in 19 bits on average with a deviation of 4, so ``RADIUS`` is four
@@ -53,6 +54,46 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
+def _places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many equal ones are before each, first place of its kind in sorted order, sorted (kind, position) keys)."""
+    n = len(shingles)
+    order = np.argsort(shingles, kind="stable")
+    head = np.searchsorted(shingles[order], shingles[order])
+    before, kind = np.empty(n, np.int64), np.empty(n, np.int64)
+    before[order], kind[order] = np.arange(n) - head, head
+    return before, kind, head * (n + 1) + order
+
+
+def _occurrence(shingles: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return shingles ^ (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def numbered(shingles: np.ndarray) -> np.ndarray:
+    """(shingle, occurrence number) pairs as one number each; first occurrences are the shingles themselves."""
+    return _occurrence(shingles, _places(shingles)[0])
+
+
+def window_sums(shingles: np.ndarray, span: int) -> np.ndarray:
+    """Sums of the signs of the numbered shingles of every window of ``span`` shingles."""
+    before, kind, keys = _places(shingles)
+    n = len(shingles)
+    if not before.any():
+        sums = np.concatenate([np.zeros((1, 128), np.int32), np.cumsum(signs(shingles), axis=0, dtype=np.int32)])
+        return sums[span:] - sums[:-span]
+
+    def count(at: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Shingles equal to the ones at ``at`` before position ``limit``."""
+        return np.searchsorted(keys, kind[at] * (n + 1) + limit) - kind[at]
+
+    # The window moves on by one: the last number of the shingle that leaves goes, the next of the one that enters comes.
+    out = np.arange(n - span)
+    into = out + span
+    gone = _occurrence(shingles[out], count(out, into) - before[out] - 1)
+    come = _occurrence(shingles[into], before[into] - count(into, out + 1))
+    first = signs(numbered(shingles[:span])).sum(axis=0, dtype=np.int32, keepdims=True)
+    return np.cumsum(np.concatenate([first, signs(come) - signs(gone)]), axis=0, dtype=np.int32)
+
+
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two multisets."""
     x, n = np.unique(a, return_counts=True)
@@ -70,7 +111,7 @@ class ItemIndex:
         self.known = np.unique(np.concatenate(shingles))
         self.table = np.zeros(1 << 20, dtype=bool)
         self.table[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.prints = np.concatenate([fingerprints(signs(s).sum(axis=0, keepdims=True)) for s in shingles])
+        self.prints = np.concatenate([fingerprints(signs(numbered(s)).sum(axis=0, keepdims=True)) for s in shingles])
         self.lengths = np.unique(sizes)
         near, self.keys, self.items = _near_masks(), [], []
         rank = np.searchsorted(self.lengths, sizes).astype(np.int64)
@@ -132,8 +173,7 @@ class ItemIndex:
                 cuts = np.flatnonzero(np.diff(own) > span) + 1
                 for run in np.split(own, cuts):
                     low, high = run[0], run[-1] + span
-                    sums = np.concatenate([np.zeros((1, 128), np.int32), np.cumsum(signs(shingles[low:high]), axis=0, dtype=np.int32)])
-                    prints = fingerprints(sums[run - low + span] - sums[run - low])
+                    prints = fingerprints(window_sums(shingles[low:high], span)[run - low])
                     for w, i in zip(*(x.tolist() for x in self.candidates(prints, rank))):
                         score = weighted_similarity(shingles[run[w]:run[w] + span], self.shingles[i])
                         if score >= NEAR and (i not in best or score > best[i][0]):
