@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "simple8b", "sharding", "secrets", "jaccard", "decontaminate", "maintext", "pivots", "toxicity", "licences", "simhash", "collocations")
+MODULES = ("bpe", "simple8b", "sharding", "secrets", "jaccard", "decontaminate", "maintext", "pivots", "toxicity", "licences", "simhash", "collocations", "prefixtrie")
 
 
 def llm_queries():
