@@ -37,6 +37,7 @@ TOP = 2000
 UNKNOWN = "und"
 MAP_BITS = 1 << 27
 SALTS = 16
+LEVELS = 32  # of score, an octave
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -236,13 +237,18 @@ def scored(phrases: DataFrame, covered: int = COVERED) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, least: int = LEAST, bits: int = 64) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of every language.
 
-    Ranks are first taken among a share of a language's phrases, then among the at most ``SALTS`` * ``top`` that are left.
+    Counts by level of score (at most ``LEVELS`` * 21 a language) tell the level below which no phrase can be among them. What is
+    left is ranked among a share of a language's phrases, then among the at most ``SALTS`` * ``top`` that remain.
     """
     phrases = settle(frequent_phrases(docs, text, lang, least, bits), "phrases")
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = Window.partitionBy("lang", "salt").orderBy(*best)
-    left = scored(phrases).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn(
-        "place", F.row_number().over(salted)).filter(F.col("place") <= top)
+    levelled = settle(scored(phrases).withColumn("level", F.floor(F.log2(F.col("score") + 1) * LEVELS)), "scored")
+    upward = Window.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = settle(levelled.groupBy("lang", "level").agg(F.count("*").alias("held")).withColumn(
+        "above", F.coalesce(F.sum("held").over(upward), F.lit(0))).filter(F.col("above") < top).groupBy("lang").agg(F.min("level").alias("cut")), "cuts")
+    left = levelled.join(cuts, "lang").filter(F.col("level") >= F.col("cut")).withColumn(
+        "salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= top)
     ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("bigint")).filter(F.col("rank") <= top)
     totals = phrases.filter("size = 0").select("lang", F.col("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
