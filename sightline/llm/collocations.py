@@ -38,6 +38,7 @@ UNKNOWN = "und"
 MAP_BITS = 1 << 27
 SALTS = 16
 LEVELS = 32  # of score, an octave
+CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -159,7 +160,7 @@ def _counted(plain: DataFrame, size: int, maps: dict[int, np.ndarray], bits: int
     shared = plain.sparkSession.sparkContext.broadcast(maps)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", CHUNK):
             words = Words(batch.column(0), batch.column(1), bits)
             at, prints = words.frequent_runs(size, shared.value)
             found, first, count = np.unique(prints, return_index=True, return_counts=True)
@@ -184,7 +185,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "size", "phrase", "n"]
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", CHUNK):
             words = Words(batch.column(0), batch.column(1), bits)
             totals = np.bincount(words.lang, minlength=len(words.langs))
             yield pa.RecordBatch.from_arrays([
