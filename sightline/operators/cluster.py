@@ -7,16 +7,18 @@ The pair matrix is never built.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.scalar import one_row
 from sightline.operators.fidelity import FEATURES
+from sightline.operators.prefix import BUCKET_ROWS, STRIPE_ROWS, pair_products, value_sums
 from sightline.operators.ranks import quantiles_from_runs, running_sums
 from sightline.session import settle
 
@@ -116,92 +118,73 @@ def centre_means(labelled: DataFrame, columns: tuple[str, ...] = FEATURES) -> Da
     return labelled.groupBy("k", "c").agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns])
 
 
-def bisecting_labels(scaled: DataFrame, k: int, rate: str = "m_rate", seed: int = 1, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """k groups by hierarchical splitting on the scaled features, numbered by falling mean rate."""
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled)
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="raw").fit(rows)
-    raw = model.transform(rows).select("id", "raw", rate)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_rate"), "raw")
-    ranks = raw.groupBy("raw").agg(F.avg(rate).alias("mean_rate")).withColumn("grp", F.row_number().over(order))
-    return raw.join(ranks.select("raw", "grp"), "raw").select("id", "grp")
+# ---- quality of a clustering ----------------------------------------------------------------------------
 
+def weighted_labels(labelled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Distinct tuples with their weight ``w`` and their cluster for every k, as sorted (k, c); equal tuples have equal labels."""
+    counted = labelled.groupBy(*columns, "k", "c").agg(F.count("*").alias("w"))
+    return counted.groupBy(*columns).agg(F.max("w").alias("w"), F.sort_array(F.collect_list(F.struct("k", "c"))).alias("labels"))
 
-# ---- quality of a clustering ----------------------------------------------------------------------------
 
-def silhouette_by_k(labelled: DataFrame, k_max: int, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+def silhouette_by_k(labelled: DataFrame, columns: tuple[str, ...] = FEATURES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Mean silhouette of each k under the Gower dissimilarity; 0 for singletons and for one cluster.
 
-    The mean dissimilarity of an individual to every cluster comes from running counts and sums per
-    cluster along each feature's distinct values.
+    The sum of dissimilarities from a value to all members of a cluster, for all clusters of all k at once, is one wide row per
+    feature and distinct value (``value_sums``). A tuple adds up the rows of its six values, and counts as often as
+    there are individuals with it.
     """
-    slots = range(1, k_max + 1)
-    parted = labelled.filter("k > 1").select("id", "k", "c", *columns)
-    counted = _long(parted, ["id", "k", "c"], columns).groupBy("feature", "k", "v").agg(
-        *[F.sum(F.when(F.col("c") == j, 1).otherwise(0)).alias(f"w{j}") for j in slots]
-    ).withColumns({f"s{j}": F.col(f"w{j}") * F.col("v") for j in slots})
-    runs = running_sums(counted, ["feature", "k"], "v", [f"{x}{j}" for j in slots for x in "ws"])
-    # One row per feature, k and distinct value: bounded by the calendar. Its written size lets Spark choose the join.
-    parts = settle(runs.select("feature", "k", "v", F.array(*[
-        _distance_sum(F.col("v"), *[F.col(f"{x}{j}_{y}") for y in ("run", "all") for x in "ws"]) for j in slots
-    ]).alias("part")), "silhouette-parts")
-    wide = parted
+    tuples = settle(weighted_labels(labelled, columns), "tuples")
+    sizes = {(r.k, r.c): r.size for r in tuples.select("w", F.explode("labels").alias("l")).groupBy("l.k", "l.c").agg(
+        F.sum("w").alias("size")).collect()}  # one row a cluster: k (k + 1) / 2 for k clusters
+    slots = sorted(sizes)
+    parts = settle(value_sums(tuples, slots, columns, bucket_rows), "value-sums")
+    wide = tuples
     for f in columns:
-        own = parts.filter(F.col("feature") == f).select("k", F.col("v").alias(f), F.col("part").alias(f"d_{f}"))
-        wide = wide.join(own, ["k", f])
-    sums = wide.select("id", "k", "c", *[
-        (reduce(lambda a, b: a + b, [F.col(f"d_{f}")[j - 1] for f in columns]) / F.lit(float(len(columns)))).alias(f"d{j}")
-        for j in slots
-    ])
-    sizes = labelled.groupBy("k").agg(
-        F.array(*[F.count(F.when(F.col("c") == j, 1)) for j in slots]).alias("sizes")
-    )
-    means = F.zip_with("sums", "sizes", lambda d, n: F.try_divide(d, n.cast("double")))
-    scored = (
-        sums.select("k", "c", F.array(*[f"d{j}" for j in slots]).alias("sums")).join(sizes, "k")
-        .select("k", "c", F.element_at("sums", F.col("c")).alias("own"),
-                (F.element_at("sizes", F.col("c")) - 1).cast("double").alias("others"), means.alias("means"))
-        .select("k", F.try_divide("own", "others").alias("a"),
-                F.array_min(F.transform("means", lambda m, i: F.when(i + 1 != F.col("c"), m))).alias("b"))
-    )
-    width = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    whole = labelled.filter("k = 1").select("k").distinct().withColumn("silhouette", F.lit(0.0))
-    return scored.groupBy("k").agg(F.avg(width).alias("silhouette")).union(whole)
+        own = parts.filter(F.col("feature") == f).select(F.col("v").alias(f), F.col("sums").alias(f"d_{f}"))
+        wide = wide.join(own, f)
+    size = np.array([sizes[s] for s in slots], dtype=np.float64)
+    blocks = {k: [i for i, s in enumerate(slots) if s[0] == k] for k in sorted({k for k, _ in slots})}
+    numbers = {s: i for i, s in enumerate(slots)}
+
+    def work(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            total = sum(batch.column(i).flatten().to_numpy().reshape(n, len(slots)) for i in range(2, 2 + len(columns))) / float(len(columns))
+            w = batch.column(0).to_numpy().astype(np.float64)
+            labels = batch.column(1).flatten()
+            of = np.array([numbers[s] for s in zip(labels.field("k").to_pylist(), labels.field("c").to_pylist())]).reshape(n, len(blocks))
+            out = []
+            for place, (k, block) in enumerate(blocks.items()):
+                own, row = of[:, place], np.arange(n)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    a = total[row, own] / (size[own] - 1)
+                    means = total / size
+                    means[row, own] = np.inf
+                    b = means[:, block].min(axis=1)
+                    width = (b - a) / np.maximum(a, b)
+                width[(size[own] == 1) | ~np.isfinite(width)] = 0.0
+                out.append((k, float((w * width).sum()), float(w.sum())))
+            yield pa.RecordBatch.from_pylist([{"k": k, "s": s, "n": m} for k, s, m in out], schema=schema)
+
+    kind = labelled.schema["k"].dataType.simpleString()
+    schema = pa.schema([("k", pa.int64() if kind == "bigint" else pa.int32()), ("s", pa.float64()), ("n", pa.float64())])
+    rows = wide.select("w", "labels", *[f"d_{f}" for f in columns]).mapInArrow(work, f"k {kind}, s double, n double")
+    return rows.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 # ---- squared dissimilarities ------------------------------------------------------------------------------
 
-def feature_codes(scaled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Dense code (from 0) of every distinct value of every feature, with the number of codes."""
-    values = _long(scaled, ["id"], columns).groupBy("feature", "v").agg(F.lit(1).cast("bigint").alias("w"))
-    runs = running_sums(values, ["feature"], "v", ["w"])
-    return runs.select("feature", "v", (F.col("w_run") - 1).alias("code"), F.col("w_all").alias("size"))
-
-
-def _feature_pairs(scaled: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Each individual once per pair of features; x is the one with fewer codes."""
-    coded = _long(scaled, ["id"], columns).join(feature_codes(scaled, columns), ["feature", "v"])
-    own = coded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("size", "feature", "v", "code"))).alias("own"))
-    last = len(columns) - 1
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda i: F.transform(
-        F.sequence(i + 1, F.lit(last)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    at = own.select("id", "own", F.explode(pairs).alias("p"))
-    x, y = F.col("own")[F.col("p.i")], F.col("own")[F.col("p.j")]
-    return at.select(
-        "id", F.concat_ws("*", x["feature"], y["feature"]).alias("pair"),
-        x["v"].alias("x"), x["code"].alias("code"), F.ceil(F.log2(x["size"])).alias("levels"), y["v"].alias("y"),
-    )
-
-
 def absolute_products(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sum over unordered pairs of |x_i - x_j| |y_i - y_j| within ``keys``, without the pairs.
 
     Two different codes of x part at exactly one bit: they agree above it, and there the smaller has
     0 and the larger 1. So each row enters one node per bit, and within a node every 1-row meets all
     0-rows. With the node ordered by y, running counts and sums of the 0-rows give that meeting in
-    closed form. The work is rows times bits, and rows that share (x, y) are counted together.
+    closed form. The work is rows times bits. Rows carry a weight ``w``; ``levels`` is the number of bits of ``code``.
     """
-    counted = rows.groupBy(*keys, "levels", "code", "x", "y").agg(F.count("*").alias("w"))
-    bits = counted.select("*", F.explode(F.sequence(F.lit(0), (F.col("levels") - 1).cast("int"))).alias("bit")).filter("levels > 0")
+    bits = rows.select("*", F.explode(F.sequence(F.lit(0), (F.col("levels") - 1).cast("int"))).alias("bit")).filter("levels > 0")
     scale = F.pow(F.lit(2.0), F.col("bit"))
     above = F.floor(F.col("code") / scale)
     placed = bits.withColumns({"node": F.floor(above / 2), "upper": (above % 2) == 1})
@@ -225,16 +208,47 @@ def absolute_products(rows: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(F.sum(below - over).alias("products"))
 
 
-def within_squares(scaled: DataFrame, labelled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+def feature_products(labelled: DataFrame, columns: tuple[str, ...] = FEATURES, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """Sum of |x_i - x_j| |y_i - y_j| over the unordered pairs of every (k, c), for each pair of features.
+
+    Distinct cells (x, y) meet in stripes of x of about ``stripe_rows`` tuples. Inside a stripe the products come from two-dimensional
+    running sums in one task; between stripes, of which there is one on small tables, from ``absolute_products`` over the bits of
+    the stripe number.
+    """
+    tuples = settle(labelled.groupBy("k", "c", *columns).agg(F.count("*").alias("w")), "weighted")
+    bits = max(0, math.ceil(math.log2(max(1, tuples.count() / stripe_rows))))
+    cuts = [i / 2 ** bits for i in range(1, 2 ** bits)]
+    borders = tuples.approxQuantile(list(columns), cuts, 0.25 / 2 ** bits) if bits else [[] for _ in columns]
+
+    def stripe(f: str, found: list[float]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(b) for b in found]), lambda b: b < F.col(f))) if found else F.lit(0)
+
+    pairs = [F.struct(F.lit(f"{columns[i]}*{columns[j]}").alias("pair"), F.col(columns[i]).alias("x"), F.col(columns[j]).alias("y"),
+                      stripe(columns[i], borders[i]).alias("code"))
+             for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    cells = tuples.select("k", "c", "w", F.explode(F.array(*pairs)).alias("p")).select("k", "c", "w", "p.*")
+    kinds = ", ".join(f"{f} {cells.schema[f].dataType.simpleString()}" for f in ("k", "c", "pair"))
+
+    def met(group: pa.Table) -> pa.Table:
+        x, y, w = (group.column(n).to_numpy().astype(np.float64) for n in ("x", "y", "w"))
+        return group.slice(0, 1).select(["k", "c", "pair"]).append_column("products", pa.array([pair_products(x, y, w)]))
+
+    inside = cells.groupBy("k", "c", "pair", "code").applyInArrow(met, f"{kinds}, products double")
+    if bits:
+        between = absolute_products(cells.withColumn("levels", F.lit(bits)), ["k", "c", "pair"])
+        inside = inside.unionByName(between)
+    return inside.groupBy("k", "c", "pair").agg(F.sum("products").alias("products"))
+
+
+def within_squares(labelled: DataFrame, columns: tuple[str, ...] = FEATURES, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
     """Per (k, c): size and the sum of squared Gower dissimilarities over its unordered pairs.
 
     The square expands into products of feature differences: equal features give plain sums of
-    squares, different ones ``absolute_products``.
+    squares, different ones ``feature_products``.
     """
     same = labelled.groupBy("k", "c").agg(F.count("*").alias("size"), reduce(lambda a, b: a + b, [
         F.count("*") * F.sum(F.col(f) * F.col(f)) - F.sum(f) * F.sum(f) for f in columns]).alias("own"))
-    pairs = labelled.select("id", "k", "c").join(_feature_pairs(scaled, columns), "id")
-    cross = absolute_products(pairs, ["k", "c", "pair"]).groupBy("k", "c").agg(F.sum("products").alias("cross"))
+    cross = feature_products(labelled, columns, stripe_rows).groupBy("k", "c").agg(F.sum("products").alias("cross"))
     both = same.withColumn("cross", F.lit(0.0)).unionByName(
         cross.select("k", "c", F.lit(0).cast("bigint").alias("size"), F.lit(0.0).alias("own"), "cross")
     )
@@ -242,9 +256,9 @@ def within_squares(scaled: DataFrame, labelled: DataFrame, columns: tuple[str, .
     return both.groupBy("k", "c").agg(F.sum("size").alias("size"), square.alias("sum_d2"))
 
 
-def wss_by_k(scaled: DataFrame, labelled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+def wss_by_k(labelled: DataFrame, columns: tuple[str, ...] = FEATURES, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
     """Within sum of squares: over clusters, squared dissimilarities of its pairs over its size."""
-    squares = within_squares(scaled, labelled, columns)
+    squares = within_squares(labelled, columns, stripe_rows)
     return squares.groupBy("k").agg(F.sum(F.col("sum_d2") / F.col("size")).alias("wss"))
 
 
@@ -253,34 +267,95 @@ def pair_totals(scaled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataF
     whole = scaled.withColumns({"k": F.lit(1), "c": F.lit(1)})
     sums = gower_sums(scaled, columns).agg((F.sum("sum_d") / 2).alias("sum_d"))
     n = F.col("size")
-    return within_squares(scaled, whole, columns).select(
+    return within_squares(whole, columns).select(
         F.floor(n * (n - 1) / 2).alias("n_pairs"), sums.scalar().alias("sum_d"), "sum_d2"
     )
 
 
 # ---- projection -------------------------------------------------------------------------------------------
 
-def _pca(z: DataFrame, columns: tuple[str, ...]):
-    rows = VectorAssembler(inputCols=list(columns), outputCol="x").transform(z.fillna(0.0, list(columns)))
-    return rows, PCA(k=len(columns), inputCol="x", outputCol="pc").fit(rows)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def jacobi(matrix: Column, size: int, sweeps: int = 10) -> Column:
+    """Eigenvalues ``a`` (the diagonal of a flat matrix) and eigenvectors ``v`` (flat, by column) of a symmetric flat ``size`` x ``size`` array.
+
+    A fixed number of cyclic sweeps of Jacobi rotations, as one fold over the rotations.
+    """
+    steps = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for _ in range(sweeps) for p in range(size) for q in range(p + 1, size)])
+    unit = F.array(*[F.lit(1.0 if i % (size + 1) == 0 else 0.0) for i in range(size * size)])
+
+    def at(x: Column, i: Column, j: Column) -> Column:
+        return F.get(x, i * size + j)
+
+    def turned(x: Column, p: Column, q: Column, c: Column, s: Column, rows: bool) -> Column:
+        def cell(v: Column, n: Column) -> Column:
+            i, j = F.floor(n / size).cast("int"), n % size
+            line = i if rows else j
+            at_p = at(x, p, j) if rows else at(x, i, p)
+            at_q = at(x, q, j) if rows else at(x, i, q)
+            return F.when(line == p, c * at_p - s * at_q).when(line == q, s * at_p + c * at_q).otherwise(v)
+
+        return F.transform(x, cell)
+
+    def tangent(state: Column, p: Column, q: Column) -> Column:
+        off = at(state["a"], p, q)
+        tau = F.try_divide(at(state["a"], q, q) - at(state["a"], p, p), 2 * off)
+        return let(tau, lambda u: F.coalesce(F.when(u < 0, -1.0).otherwise(1.0) / (F.abs(u) + F.sqrt(1 + u * u)), F.lit(0.0)))
+
+    def merge(state: Column, step: Column) -> Column:
+        p, q = step["p"], step["q"]
+
+        def applied(cs: Column) -> Column:
+            c, s = cs["c"], cs["s"]
+            half = turned(state["a"], p, q, c, s, rows=False)
+            return F.struct(let(half, lambda x: turned(x, p, q, c, s, rows=True)).alias("a"), turned(state["v"], p, q, c, s, rows=False).alias("v"))
+
+        return let(tangent(state, p, q), lambda t: let(
+            F.struct((1 / F.sqrt(1 + t * t)).alias("c"), (t / F.sqrt(1 + t * t)).alias("s")), applied))
+
+    return F.aggregate(steps, F.struct(matrix.alias("a"), unit.alias("v")), merge)
+
+
+def principal_components(z: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(component, loadings, explained): all components of standardized features, by falling variance.
+
+    The covariance matrix is one aggregate. The sign of a component is the one that makes its largest loading positive, the first of
+    equally large ones. A NULL (constant) feature counts as 0 throughout.
+    """
+    n = len(columns)
+    filled = z.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
+    cov = filled.agg(F.array(*[F.covar_samp(a, b) for a in columns for b in columns]).alias("m"))
+    found = settle(cov.select(jacobi(F.col("m"), n).alias("e")), "eigen")
+    value = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
+        (-F.get("e.a", j * (n + 1))).alias("minus"), j.alias("j"),
+        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("e.v", i * n + j)).alias("raw")))
+    each = found.select(F.posexplode(F.array_sort(value)).alias("place", "x"),
+                        F.aggregate(value, F.lit(0.0), lambda a, x: a - x["minus"]).alias("total"))
+    top = F.array_max(F.transform("x.raw", lambda w: F.abs(w)))
+    lead = F.get(F.filter("x.raw", lambda w: F.abs(w) >= top - 1e-9), F.lit(0))
+    return each.select((F.col("place") + 1).alias("component"),
+                       F.transform("x.raw", lambda w: F.when(lead < 0, -w).otherwise(w)).alias("loadings"),
+                       F.try_divide(-F.col("x.minus"), F.col("total")).alias("explained"))
 
 
 def pca_scores(z: DataFrame, keep: int = 2, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """First principal component scores of standardized features; the sign of a component is free."""
-    rows, model = _pca(z, columns)
-    scores = F.slice(vector_to_array("pc"), 1, keep)
-    return model.transform(rows).select("id", scores.alias("pc")).select(
-        "id", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(keep)]
-    )
+    """First principal component scores of standardized features."""
+    all_ = one_row(principal_components(z, columns).filter(F.col("component") <= keep),
+                   p=F.array_sort(F.collect_list(F.struct("component", "loadings"))))
+    with_ = z.withColumn("p", all_["p"])
+    return with_.select("id", *[
+        reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) * F.col("p")[j]["loadings"][i] for i, c in enumerate(columns)]).alias(f"pc{j + 1}")
+        for j in range(keep)])
 
 
 def pca_loadings(z: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """Loadings and explained variance share of every component."""
-    _, model = _pca(z, columns)
-    share, weights = model.explainedVariance.toArray(), model.pc.toArray()
-    rows = [(c, i + 1, float(weights[f][i]), float(share[i])) for f, c in enumerate(columns) for i in range(len(columns))]
-    schema = "feature string, component int, loading double, explained double"
-    return z.sparkSession.createDataFrame(rows, schema)
+    named = F.transform("loadings", lambda w, i: F.struct(F.get(F.array(*[F.lit(c) for c in columns]), i).alias("feature"), w.alias("loading")))
+    rows = principal_components(z, columns).select("component", "explained", F.explode(named).alias("l"))
+    return rows.select("l.feature", "component", "l.loading", "explained")
 
 
 def corr_matrix(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.operators import cluster as cl
+from sightline.operators import hierarchy as hy
 from sightline.operators.fidelity import FEATURES, fidelity_features
 from sightline.plans import views  # noqa: F401  (oracle views)
 from sightline.plans.registry import q, query, r, view
@@ -45,6 +46,7 @@ view("labels", f"""
       SELECT a.id, b.k, b.c, round({_D}, 9) AS d,
              row_number() OVER (PARTITION BY a.id, b.k ORDER BY round({_D}, 9), b.c) AS rn
       FROM scaled a, centres b) WHERE rn = 1""", "scaled centres")
+view("tuples", f"SELECT min(id) AS cluster, CAST(count(*) AS DOUBLE) AS w, {', '.join(FEATURES)} FROM scaled GROUP BY ALL", "scaled")
 view("labels3", f"SELECT id, c, d FROM labels WHERE k = {K_STUDY}", "labels")
 
 
@@ -90,7 +92,7 @@ def wss_by_k(spark, sf):
     scaled = _scaled(spark, sf)
     centres = settle(cl.quantile_centres(scaled, list(range(1, K_MAX + 1))), "centres")
     labelled = settle(cl.assign_nearest(scaled, centres), "labels")
-    return cl.wss_by_k(scaled, labelled).withColumn("wss", r("wss", 5))
+    return cl.wss_by_k(labelled).withColumn("wss", r("wss", 5))
 
 
 @query("silhouette_by_k", f"""
@@ -103,7 +105,7 @@ def wss_by_k(spark, sf):
             ON m.k = l.k AND m.i = l.id) GROUP BY k""", "pairs labels")
 def silhouette_by_k(spark, sf):
     labelled = settle(_labelled(spark, sf, list(range(1, K_MAX + 1))), "labels")
-    return cl.silhouette_by_k(labelled, K_MAX).withColumn("silhouette", r("silhouette"))
+    return cl.silhouette_by_k(labelled).withColumn("silhouette", r("silhouette"))
 
 
 @query("assign_nearest", f"SELECT id, c, {q('d')} AS d FROM labels3", "labels3")
@@ -130,21 +132,90 @@ def corr_matrix(spark, sf):
     return cl.corr_matrix(_features(spark, sf)).withColumn("corr", r("corr"))
 
 
-@query("cluster_labels")
+_C = ", ".join(FEATURES)
+_ORDERS = " UNION ALL ".join(f"SELECT cluster AS a, lead(cluster) OVER (ORDER BY {c}, cluster) AS b FROM c" for c in FEATURES)
+_COST = f"x.w * y.w / (x.w + y.w) * (({' + '.join(f'abs(x.{c} - y.{c})' for c in FEATURES)}) / CAST(6 AS DOUBLE)) ** 2"
+
+
+@query("cluster_labels", f"""
+    , merges AS (
+      SELECT 0 AS round, cluster AS member, cluster, w, {_C} FROM tuples
+      UNION ALL (
+        WITH c AS (SELECT DISTINCT cluster, w, {_C} FROM merges),
+        p AS (SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi FROM ({_ORDERS}) WHERE b IS NOT NULL),
+        d AS (SELECT lo, hi, {_COST} AS cost FROM p JOIN c x ON x.cluster = lo JOIN c y ON y.cluster = hi),
+        best AS (SELECT lo, hi, cost FROM (SELECT lo AS e, lo, hi, cost FROM d UNION ALL SELECT hi, lo, hi, cost FROM d)
+                 QUALIFY row_number() OVER (PARTITION BY e ORDER BY cost, lo, hi) = 1),
+        mutual AS (SELECT lo, hi, cost FROM best GROUP BY ALL HAVING count(*) = 2),
+        chosen AS (SELECT lo, hi FROM mutual
+                   QUALIFY row_number() OVER (ORDER BY cost, lo, hi) <= (SELECT count(*) FROM c) - {K_STUDY}),
+        made AS (SELECT lo, hi, x.w + y.w AS w, {', '.join(f'(x.w * x.{c} + y.w * y.{c}) / (x.w + y.w) AS {c}' for c in FEATURES)}
+                 FROM chosen JOIN c x ON x.cluster = lo JOIN c y ON y.cluster = hi),
+        named AS (SELECT lo AS e, * FROM made UNION ALL SELECT hi, * FROM made)
+        SELECT s.round + 1, s.member, coalesce(n.lo, s.cluster), coalesce(n.w, s.w), {', '.join(f'coalesce(n.{c}, s.{c})' for c in FEATURES)}
+        FROM merges s LEFT JOIN named n ON n.e = s.cluster WHERE (SELECT count(*) FROM c) > {K_STUDY})),
+    last AS (SELECT member, cluster FROM merges WHERE round = (SELECT max(round) FROM merges)),
+    ranks AS (SELECT cluster, row_number() OVER (ORDER BY round(sum(w * m_rate) / sum(w), 9) DESC, cluster) AS grp
+              FROM last JOIN (SELECT cluster AS member, w, m_rate FROM tuples) USING (member) GROUP BY cluster)
+    SELECT s.id, CAST(r.grp AS INT) AS grp FROM scaled s JOIN tuples t USING ({_C}) JOIN last l ON l.member = t.cluster
+    JOIN ranks r ON r.cluster = l.cluster""", "scaled tuples")
 def cluster_labels(spark, sf):
-    return cl.bisecting_labels(_scaled(spark, sf), K_STUDY)
-
-
-@query("pca_scores")
+    """Hierarchical groups under the Gower dissimilarity with the Ward criterion, from weighted distinct tuples."""
+    return hy.hierarchical_labels(_scaled(spark, sf), K_STUDY)
+
+
+# Jacobi rotations on the correlation matrix, one a step, over the pairs of features in turn.
+_N, _SWEEPS = len(FEATURES), 10
+_PQ = [(p, q) for p in range(_N) for q in range(p + 1, _N)]
+view("z", "SELECT id, " + ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 0) AS {c}" for c in FEATURES) + " FROM features",
+     "features")
+_TURN = "list_transform(range({n}), lambda i: CASE {line} WHEN p THEN c * {x}[{at_p} + 1] - s * {x}[{at_q} + 1] WHEN q THEN s * {x}[{at_p} + 1] + c * {x}[{at_q} + 1] ELSE {x}[i + 1] END)"
+_COLS = dict(n=_N * _N, line=f"i % {_N}", at_p=f"(i // {_N}) * {_N} + p", at_q=f"(i // {_N}) * {_N} + q")
+_ROWS = dict(n=_N * _N, line=f"i // {_N}", at_p=f"p * {_N} + i % {_N}", at_q=f"q * {_N} + i % {_N}")
+_PCA = f"""
+    , pq AS (SELECT row_number() OVER () - 1 AS j, p, q FROM (VALUES {', '.join(str(x) for x in _PQ)}) AS v(p, q)),
+    spin AS (
+      SELECT CAST(0 AS BIGINT) AS step, [{', '.join(f'covar_samp({a}, {b})' for a in FEATURES for b in FEATURES)}] AS a,
+             [{', '.join(f'CAST({1 if i % (_N + 1) == 0 else 0} AS DOUBLE)' for i in range(_N * _N))}] AS v FROM z
+      UNION ALL
+      SELECT step + 1, {_TURN.format(x='a1', **_ROWS)}, v1 FROM (
+        SELECT *, {_TURN.format(x='a', **_COLS)} AS a1, {_TURN.format(x='v', **_COLS)} AS v1 FROM (
+          SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s FROM (
+            SELECT step, a, v, p, q, CASE WHEN a[p * {_N} + q + 1] = 0 THEN 0 ELSE
+              CASE WHEN tau < 0 THEN -1 ELSE 1 END / (abs(tau) + sqrt(1 + tau * tau)) END AS t FROM (
+              SELECT step, a, v, p, q, (a[q * {_N + 1} + 1] - a[p * {_N + 1} + 1]) / nullif(2 * a[p * {_N} + q + 1], 0) AS tau
+              FROM spin JOIN pq ON pq.j = step % {len(_PQ)} WHERE step < {_SWEEPS * len(_PQ)}))))),
+    eigen AS (SELECT j, a[j * {_N + 1} + 1] AS value, list_transform(range({_N}), lambda i: v[i * {_N} + j + 1]) AS raw
+      FROM spin, (SELECT range AS j FROM range({_N})) WHERE step = {_SWEEPS * len(_PQ)}),
+    pcs AS (SELECT row_number() OVER (ORDER BY value DESC, j) AS component, value / sum(value) OVER () AS explained,
+      CASE WHEN list_filter(raw, lambda w: abs(w) >= list_max(list_transform(raw, lambda u: abs(u))) - 1e-9)[1] < 0
+           THEN list_transform(raw, lambda w: -w) ELSE raw END AS loadings FROM eigen)"""
+
+
+def _score_sql(keep: int) -> str:
+    return _PCA + " SELECT id, " + ", ".join(
+        q(" + ".join(f"z.{c} * (SELECT loadings[{i + 1}] FROM pcs WHERE component = {j + 1})" for i, c in enumerate(FEATURES))) + f" AS pc{j + 1}"
+        for j in range(keep)) + " FROM z"
+
+
+def _scores(spark, sf, keep):
+    out = cl.pca_scores(settle(cl.standardize(_features(spark, sf)), "standardized"), keep)
+    return out.select("id", *[r(f"pc{j + 1}").alias(f"pc{j + 1}") for j in range(keep)])
+
+
+@query("pca_scores", _score_sql(_N), "z")
 def pca_scores(spark, sf):
-    return cl.pca_scores(cl.standardize(_features(spark, sf)), keep=len(FEATURES))
+    return _scores(spark, sf, _N)
 
 
-@query("top_components")
+@query("top_components", _score_sql(2), "z")
 def top_components(spark, sf):
-    return cl.pca_scores(cl.standardize(_features(spark, sf)), keep=2)
+    return _scores(spark, sf, 2)
 
 
-@query("pca_loadings")
+@query("pca_loadings", _PCA + f"""
+    SELECT unnest([{', '.join(repr(c) for c in FEATURES)}]) AS feature, CAST(component AS INT) AS component,
+           unnest(list_transform(loadings, lambda w: {q('w')})) AS loading, {q('explained')} AS explained FROM pcs""", "z")
 def pca_loadings(spark, sf):
-    return cl.pca_loadings(cl.standardize(_features(spark, sf)))
+    out = cl.pca_loadings(settle(cl.standardize(_features(spark, sf)), "standardized"))
+    return out.select("feature", "component", r("loading").alias("loading"), r("explained").alias("explained"))

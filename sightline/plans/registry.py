@@ -57,4 +57,5 @@ def oracle(sql: str, views: list[str]) -> str:
     if not ordered:
         return sql
     body = ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in ordered)
-    return f"WITH {body}\n{sql}"
+    more = sql.lstrip().startswith(",")  # further steps, perhaps recursive ones, follow the views
+    return f"WITH {'RECURSIVE ' if more else ''}{body}\n{sql}"

@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import cluster as cl
+from sightline.operators import hierarchy as hy
 from sightline.operators.fidelity import FEATURES
+from sightline.operators.prefix import pair_products
 
 K = 3
 
@@ -41,11 +43,12 @@ def test_pair_totals(table, labelled):
     assert (row.n_pairs, row.sum_d, row.sum_d2) == (4005, pytest.approx(upper.sum()), pytest.approx((upper**2).sum()))
 
 
-def test_wss_and_silhouette(table, labelled):
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_wss_and_silhouette(table, labelled, rows):
     scaled, labels = labelled
     d = table[1]
-    wss = {r.k: r.wss for r in cl.wss_by_k(scaled, labels).collect()}
-    sil = {r.k: r.silhouette for r in cl.silhouette_by_k(labels, K).collect()}
+    wss = {r.k: r.wss for r in cl.wss_by_k(labels, stripe_rows=rows).collect()}
+    sil = {r.k: r.silhouette for r in cl.silhouette_by_k(labels, bucket_rows=rows).collect()}
     assert wss[1] == pytest.approx((d[np.triu_indices(90, 1)] ** 2).sum() / 90) and sil[1] == 0.0
     c = np.array([r.c for r in labels.filter(F.col("k") == K).orderBy("id").collect()])
     expected, widths = 0.0, []
@@ -66,13 +69,55 @@ def test_constant_feature_scales_to_zero_and_standardizes_to_null(table):
     assert cl.standardize(table[0]).filter(f"{FEATURES[2]} IS NOT NULL").count() == 0
 
 
-def test_bisecting_groups_are_ranked_by_rate(table):
+def test_hierarchical_groups_are_ranked_by_rate(table):
     scaled = cl.range_scale(table[0]).cache()
-    out = cl.bisecting_labels(scaled, K).join(scaled, "id").groupBy("grp").agg(F.avg("m_rate").alias("r")).orderBy("grp").collect()
-    assert [r.grp for r in out] == sorted(r.grp for r in out)
+    labels = {r.id: r.grp for r in hy.hierarchical_labels(scaled, K).collect()}
+    out = scaled.join(hy.hierarchical_labels(scaled, K), "id").groupBy("grp").agg(F.avg("m_rate").alias("r")).orderBy("grp").collect()
+    assert [r.grp for r in out] == [1, 2, 3] and len({labels[i] for i in range(30)}) == 1
     assert [r.r for r in out] == sorted((r.r for r in out), reverse=True)
 
 
+def test_rounds_as_spark_jobs_and_in_one_task_agree(table):
+    scaled = cl.range_scale(table[0]).cache()
+    want = {tuple(r) for r in hy.hierarchical_labels(scaled, K).collect()}
+    assert {tuple(r) for r in hy.hierarchical_labels(scaled, K, tail=1).collect()} == want
+    assert {tuple(r) for r in hy.hierarchical_labels(scaled, K, tail=25).collect()} == want
+
+
+def test_separate_groups_are_found(spark):
+    rng = np.random.default_rng(4)
+    centre = np.array([[.1] * 6, [.5] * 6, [.9] * 6])
+    x = np.concatenate([c + rng.uniform(-.05, .05, (n, 6)) for c, n in zip(centre, (20, 70, 40))])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id bigint, " + ", ".join(f"{c} double" for c in FEATURES))
+    got = {r.id: r.grp for r in hy.hierarchical_labels(df, 3).collect()}
+    assert [got[i] for i in range(130)] == [3] * 20 + [2] * 70 + [1] * 40
+
+
+def test_few_and_no_tuples(spark):
+    schema = "id bigint, " + ", ".join(f"{c} double" for c in FEATURES)
+    two = spark.createDataFrame([(1, *[.5] * 6), (2, *[.5] * 6), (3, *[.7] * 6)], schema)
+    assert {tuple(r) for r in hy.hierarchical_labels(two, 3).collect()} == {(1, 2), (2, 2), (3, 1)}
+    assert hy.hierarchical_labels(two.limit(0), 3).count() == 0
+
+
+def test_pair_products():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 130, 700):
+        x, y, w = np.round(rng.random(n), 2), np.round(rng.random(n), 1), rng.integers(1, 9, n).astype(float)
+        want = (w[:, None] * w * np.abs(x[:, None] - x) * np.abs(y[:, None] - y)).sum() / 2
+        assert pair_products(x, y, w) == pytest.approx(want)
+
+
+def test_components_against_numpy(table):
+    z = cl.standardize(table[0]).fillna(0.0, list(FEATURES))
+    raw = np.array([tuple(r) for r in z.select(*FEATURES).collect()])
+    value, vector = np.linalg.eigh(np.cov(raw.T))
+    found = cl.principal_components(z).orderBy("component").collect()
+    for r, v, w in zip(found, value[::-1], vector.T[::-1]):
+        w = w * np.sign(w[np.abs(w).argmax()])
+        assert r.explained == pytest.approx(v / value.sum(), abs=1e-9) and np.allclose(r.loadings, w, atol=1e-7)
+
+
 def test_scores_reproduce_the_distances(table):
     """All components together are a rotation: they keep squared distances of the standardized data."""
     z = cl.standardize(table[0]).fillna(0.0, list(FEATURES)).cache()
