@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.scalar import one_row
 from sightline.operators.fidelity import FEATURES
-from sightline.operators.prefix import BUCKET_ROWS, STRIPE_ROWS, pair_products, value_sums
+from sightline.operators.prefix import BUCKET_ROWS, STRIPE_ROWS, bucket_of, pair_products, value_sums
 from sightline.operators.ranks import quantiles_from_runs, running_sums
 from sightline.session import settle
 
@@ -57,7 +57,7 @@ def _long(df: DataFrame, keep: list[str], columns: tuple[str, ...] = FEATURES) -
 def _value_runs(long: DataFrame) -> DataFrame:
     """Distinct values per feature with counts, sums and their running totals."""
     values = long.groupBy("feature", "v").agg(F.count("*").alias("w")).withColumn("s", F.col("w") * F.col("v"))
-    return running_sums(values, ["feature"], "v", ["w", "s"])
+    return running_sums(settle(values, "values"), ["feature"], "v", ["w", "s"])
 
 
 def _distance_sum(v: Column, w_run: Column, s_run: Column, w_all: Column, s_all: Column) -> Column:
@@ -220,22 +220,27 @@ def feature_products(labelled: DataFrame, columns: tuple[str, ...] = FEATURES, s
     cuts = [i / 2 ** bits for i in range(1, 2 ** bits)]
     borders = tuples.approxQuantile(list(columns), cuts, 0.25 / 2 ** bits) if bits else [[] for _ in columns]
 
-    def stripe(f: str, found: list[float]) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(b) for b in found]), lambda b: b < F.col(f))) if found else F.lit(0)
-
-    pairs = [F.struct(F.lit(f"{columns[i]}*{columns[j]}").alias("pair"), F.col(columns[i]).alias("x"), F.col(columns[j]).alias("y"),
-                      stripe(columns[i], borders[i]).alias("code"))
-             for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    cells = tuples.select("k", "c", "w", F.explode(F.array(*pairs)).alias("p")).select("k", "c", "w", "p.*")
-    kinds = ", ".join(f"{f} {cells.schema[f].dataType.simpleString()}" for f in ("k", "c", "pair"))
+    last = len(columns) - 1
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), bucket_of(F.col(c), sorted(set(b))).alias("code"))
+                                for i, (c, b) in enumerate(zip(columns[:last], borders))])).alias("s")
+    cells = tuples.select("k", "c", "w", *columns, sides).select("k", "c", "w", *columns, "s.*")
+    kinds = ", ".join(f"{f} {cells.schema[f].dataType.simpleString()}" for f in ("k", "c"))
 
     def met(group: pa.Table) -> pa.Table:
-        x, y, w = (group.column(n).to_numpy().astype(np.float64) for n in ("x", "y", "w"))
-        return group.slice(0, 1).select(["k", "c", "pair"]).append_column("products", pa.array([pair_products(x, y, w)]))
+        side = group.column("side")[0].as_py()
+        w, *x = (group.column(n).to_numpy().astype(np.float64) for n in ("w", *columns[side:]))
+        one = group.slice(0, 1).select(["k", "c"])
+        return pa.concat_tables([one.append_column("pair", pa.array([f"{columns[side]}*{columns[side + j]}"])).append_column(
+            "products", pa.array([pair_products(x[0], x[j], w)])) for j in range(1, len(x))])
 
-    inside = cells.groupBy("k", "c", "pair", "code").applyInArrow(met, f"{kinds}, products double")
+    inside = cells.groupBy("k", "c", "side", "code").applyInArrow(met, f"{kinds}, pair string, products double")
     if bits:
-        between = absolute_products(cells.withColumn("levels", F.lit(bits)), ["k", "c", "pair"])
+        other = F.explode(F.filter(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(c).alias("f"), F.col(c).alias("y")) for j, c in enumerate(columns)]),
+                                   lambda o: o["j"] > F.col("side"))).alias("o")
+        x, f = (F.get(F.array(*[g(c) for c in columns]), F.col("side")) for g in (F.col, F.lit))
+        pairs = cells.select("k", "c", "w", "code", x.alias("x"), f.alias("f"), other).select(
+            "k", "c", "w", "code", "x", F.concat_ws("*", "f", "o.f").alias("pair"), F.col("o.y").alias("y"), F.lit(bits).alias("levels"))
+        between = absolute_products(pairs, ["k", "c", "pair"])
         inside = inside.unionByName(between)
     return inside.groupBy("k", "c", "pair").agg(F.sum("products").alias("products"))
 

@@ -43,7 +43,7 @@ def _adjacent(clusters: DataFrame, feature: str, columns: tuple[str, ...], parts
     ranged = settle(clusters.repartitionByRange(parts, feature, "cluster").withColumn("part", F.spark_partition_id()), "ordered")
     one = F.struct("cluster", "w", *columns)
     inside = ranged.select(one.alias("a"), F.lead(one).over(Window.partitionBy("part").orderBy(feature, "cluster")).alias("b"))
-    ends = ranged.groupBy("part").agg(*[f(F.struct(feature, "cluster", "w", *columns)).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
+    ends = ranged.groupBy("part").agg(*[f(F.struct(F.col(feature).alias("at"), "cluster", "w", *columns)).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
     over = Window.partitionBy(F.lit(0)).orderBy("part")
     fields = ("cluster", "w", *columns)
     border = ends.select("last", F.lead("first").over(over).alias("next")).filter("next IS NOT NULL")

@@ -14,7 +14,7 @@ from sightline.session import settle
 BUCKET_ROWS = 20_000
 MAX_BUCKETS = 1024
 STRIPE_ROWS = 500_000
-DENSE = 128
+DENSE = 32
 
 
 def pair_products(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -30,27 +30,26 @@ def pair_products(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     signed = w.sum() * (w * x * y).sum() - (w * x).sum() * (w * y).sum()
     order = np.argsort(x, kind="stable")
     x, y, w = x[order], y[order], w[order]
-    rank = np.empty(n, dtype=np.int64)
-    rank[np.argsort(y, kind="stable")] = np.arange(n)
-    rising, run = 0.0, DENSE
-    for lo in range(0, n, DENSE):
-        a, b, c = x[lo:lo + DENSE], y[lo:lo + DENSE], w[lo:lo + DENSE]
-        dx, dy = a[:, None] - a[None, :], b[:, None] - b[None, :]
-        rising += float((c[:, None] * c[None, :] * np.where((dx > 0) & (dy > 0), dx * dy, 0.0)).sum())
-    place = np.arange(n)
+    by_y = np.argsort(y, kind="stable")
+    short = -(-n // DENSE) * DENSE
+    a, b, c = (np.pad(v, (0, short - n)).reshape(-1, DENSE) for v in (x, y, w))
+    dx, dy = a[:, :, None] - a[:, None, :], b[:, :, None] - b[:, None, :]
+    rising, run = float(((c[:, :, None] * c[:, None, :]) * (np.maximum(dx, 0) * np.maximum(dy, 0))).sum()), DENSE
     while run < n:
-        pair, right = place // (2 * run), (place // run) % 2 == 1
-        line = np.argsort(pair * n + rank, kind="stable")
-        left = np.where(right[line], 0.0, w[line])
+        pair = by_y // (2 * run)
+        order = np.argsort(pair.astype(np.uint16) if n < 1 << 16 else pair, kind="stable")
+        line, pair = by_y[order], pair[order]
+        right = (line // run) % 2 == 1
+        left = np.where(right, 0.0, w[line])
         xs, ys = x[line], y[line]
-        first = np.searchsorted(pair[line], np.arange(int(pair[-1]) + 1))
+        first = np.searchsorted(pair, np.arange(int(pair[-1]) + 1))[pair]
         sums = []
         for term in (left, left * xs, left * ys, left * xs * ys):
             total = np.concatenate([[0.0], np.cumsum(term)])
-            sums.append(total[1:] - total[first][pair[line]])
+            sums.append((total[1:] - total[first])[right])
         one, sx, sy, sxy = sums
-        met = xs * ys * one - ys * sx - xs * sy + sxy
-        rising += float((w[line] * met)[right[line]].sum())
+        xs, ys = xs[right], ys[right]
+        rising += float((w[line[right]] * (xs * ys * one - ys * sx - xs * sy + sxy)).sum())
         run *= 2
     return 2 * rising - signed
 

@@ -5,23 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.session import settle
+
 BUCKETS = 1024
+BUCKET_ROWS = 20_000
 SKETCH_ACCURACY = 10000
 RANK_IN_FULL = 10000
 
 
+def bucketed(df: DataFrame, keys: list[str], order: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds ``bucket``: ranges of ``order`` within ``keys`` cut at its sketched quantiles.
+
+    There are enough cuts for about ``rows`` rows a bucket if one group had all rows, ``BUCKETS`` at most; values packed into a
+    small part of the range are cut like others, as the cuts follow the rows and not the range. ``df`` is read three times.
+    """
+    cuts = min(BUCKETS, -(-df.count() // rows))
+    if cuts < 2:
+        return df.withColumn("bucket", F.lit(0))
+    at = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    borders = settle(df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, at, SKETCH_ACCURACY)).alias("borders")), "borders")
+    # A value's bucket is the number of borders below it, found by halving: borders ascend.
+    steps = F.sequence(F.lit(cuts.bit_length() - 1), F.lit(0), F.lit(-1))
+    place = F.aggregate(steps, F.lit(0), lambda a, i: F.when(
+        F.get("borders", (a + F.shiftleft(F.lit(1), i) - 1).cast("int")) < F.col(order), a + F.shiftleft(F.lit(1), i)).otherwise(a))
+    return df.join(borders, keys).withColumn("bucket", place).drop("borders")
+
+
 def running_sums(
-    df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int | Column = BUCKETS
+    df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: Column | None = None, rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` within ``keys``, plus the group totals.
 
-    ``order`` must lie in [0, 1] and be unique within the keys (group equal values first). The
-    interval is cut into equal buckets; bucket totals (at most ``buckets`` + 1 rows per group) give
-    the carry into each bucket, so a window never spans a whole group. ``buckets`` may be a column
-    that depends on the keys, to cut small groups less finely. Output adds ``<c>_run`` and ``<c>_all``
-    for each summed column.
+    ``order`` must be unique within the keys (group equal values first). It is cut into buckets at its quantiles (``bucketed``); bucket
+    totals give the carry into each bucket, so a window never spans a whole group. ``buckets``, a column that depends on the keys, asks
+    for as many equal cuts of [0, 1] instead, for very many small groups. Output adds ``<c>_run`` and ``<c>_all`` for each summed column.
     """
-    cut = df.withColumn("bucket", F.floor(F.col(order) * buckets).cast("int"))
+    if buckets is None:
+        cut = bucketed(df, keys, order, rows)
+    else:
+        cut = df.withColumn("bucket", F.floor(F.col(order) * buckets).cast("int"))
     group = Window.partitionBy(*keys)
     carry = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
