@@ -8,7 +8,6 @@ The pair matrix is never built.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.scalar import one_row
+from sightline.functions.scalar import let, one_row
 from sightline.operators.fidelity import FEATURES
 from sightline.operators.prefix import BUCKET_ROWS, STRIPE_ROWS, bucket_of, pair_products, value_sums
 from sightline.operators.ranks import quantiles_from_runs, running_sums
@@ -279,11 +278,6 @@ def pair_totals(scaled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataF
 
 # ---- projection -------------------------------------------------------------------------------------------
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def jacobi(matrix: Column, size: int, sweeps: int = 10) -> Column:
     """Eigenvalues ``a`` (the diagonal of a flat matrix) and eigenvectors ``v`` (flat, by column) of a symmetric flat ``size`` x ``size`` array.
 

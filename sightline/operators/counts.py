@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from sightline.functions.scalar import one_row, ratio_or_zero
+from sightline.session import settle
 
 
 def seen_by_month(sightings: DataFrame) -> DataFrame:
@@ -80,16 +81,15 @@ def cluster_profile(features: DataFrame, labels: DataFrame, group: str = "grp")
 def factor_codes(df: DataFrame, column: str) -> DataFrame:
     """Level codes of a string column in sorted order, from 1; NULL has no code.
 
-    Distinct levels are numbered inside the levels of one beginning, and the counts of the beginnings give the carry, so no
-    task or array holds all levels.
+    Distinct levels are range partitioned at sampled splitters and numbered inside their range; the counts of the ranges, of which
+    there are as many as shuffle partitions, give the carry. So no task holds all levels, whatever their beginnings are.
     """
-    start = F.substring(column, 1, 3).alias("start")
-    levels = df.select(column).filter(F.col(column).isNotNull()).distinct().select(column, start)
-    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    carry = levels.groupBy("start").agg(F.count("*").alias("n")).select(
-        "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carry"))
-    own = F.row_number().over(Window.partitionBy("start").orderBy(column))
-    coded = levels.join(carry, "start").select(column, (own + F.col("carry")).cast("int").alias(f"{column}_code"))
+    levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    ranged = settle(levels.repartitionByRange(column).withColumn("range", F.spark_partition_id()), "levels")
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carry"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(column))
+    coded = ranged.join(carry, "range").select(column, (own + F.col("carry")).cast("int").alias(f"{column}_code"))
     return df.join(coded, column, "left").select(*df.columns, f"{column}_code")
 
 

@@ -91,15 +91,24 @@ def dense_months(days: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+def day_bits(days: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, bits): for each individual a string of 0 and 1 over the survey days in order, as long as the calendar."""
+    calendar = occasions(days).select("sdate", (F.col("occ") - 1).alias("place"))
+    length = one_row(calendar, n=F.count("*"))
+    seen = days.select("id", "sdate").distinct().join(calendar, "sdate").groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    # Each sighting is the zeros since the one before, and a one; the rest of the calendar is zeros.
+    ones = F.transform("places", lambda p, i: F.concat(
+        F.repeat(F.lit("0"), p - F.coalesce(F.get("places", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    bits = F.rpad(F.coalesce(F.array_join(ones, ""), F.lit("")), length["n"].cast("int"), F.lit("0"))
+    return ids.select("id").join(seen, "id", "left").select("id", bits.alias("bits"))
+
+
 def dense_days(days: DataFrame, ids: DataFrame) -> DataFrame:
     """The complete matrix: every individual on every survey day with a 0/1 indicator.
 
-    As in ``dense_months``, each id generates its own row of days from a calendar array (at most one
-    entry per day of the study).
+    Rows are generated from the bit string of their individual, where it is: only the sightings are shuffled, never the matrix.
     """
     calendar = one_row(occasions(days), all=F.array_sort(F.collect_list("sdate")))
-    full = ids.select("id", F.explode(calendar["all"]).alias("sdate"))
-    seen = days.select("id", "sdate").distinct().withColumn("hit", F.lit(1))
-    return full.join(seen, ["id", "sdate"], "left").select(
-        "id", "sdate", F.coalesce("hit", F.lit(0)).alias("observed")
-    )
+    marks = F.transform(F.split("bits", ""), lambda b: b.cast("int"))
+    each = day_bits(days, ids).select("id", F.explode(F.arrays_zip(calendar["all"].alias("sdate"), marks.alias("observed"))).alias("d"))
+    return each.select("id", F.col("d.sdate").alias("sdate"), F.col("d.observed").alias("observed"))

@@ -6,19 +6,22 @@ square cell, so a point only meets the geometry of its own band or cell; nothing
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.scalar import one_row
 from sightline.operators.ranks import is_small
+from sightline.session import settle
 
 # The coordinate reference system of the published sightings, in km. It is a label on
 # the coordinates; nothing is reprojected.
 CRS = "+proj=utm +zone=32 +datum=WGS84 +units=km +no_defs +ellps=WGS84 +towgs84=0,0,0"
 
-LOCAL_SEGMENTS = 16
+CANDIDATES = 32
+LEVELS = 10
+SHARE = 16
 SPAN = 4096
 LOCAL_EDGES = 100_000
 FAN = 8
@@ -149,93 +152,81 @@ def _segment_distance(px: Column, py: Column, seg: dict[str, Column]) -> Column:
     return F.hypot(px - x1 - t * dx, py - y1 - t * dy)
 
 
-def _squared_distance_to(segment) -> Column:
-    """Squared distance from (x, y) to a segment with known ends."""
-    x1, y1, x2, y2 = (float(segment[k]) for k in SEGMENT)
-    dx, dy = x2 - x1, y2 - y1
-    px, py = F.col("x") - F.lit(x1), F.col("y") - F.lit(y1)
-    if dx == dy == 0:
-        return px * px + py * py
-    t = F.least(F.greatest((px * F.lit(dx) + py * F.lit(dy)) / F.lit(dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-    return F.pow(px - t * F.lit(dx), F.lit(2.0)) + F.pow(py - t * F.lit(dy), F.lit(2.0))
-
-
-def _columns() -> dict[str, Column]:
-    return {k: F.col(k) for k in SEGMENT}
+def _known_segments(segments: DataFrame, line: str) -> DataFrame:
+    """Different segments whose four coordinates are finite numbers, with the smallest line of each; others are not part of any line."""
+    known = F.lit(True)
+    for c in SEGMENT:
+        known = known & F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(float("inf")))
+    return segments.select(line, *[F.col(c).cast("double").alias(c) for c in SEGMENT]).filter(known).groupBy(*SEGMENT).agg(F.min(line).alias(line))
 
 
-def segment_candidates(segments: DataFrame, line: str, xmin: float, ymin: float, side: float, rounds: int) -> DataFrame:
-    """For every cell of a square lattice, the segments that may be nearest to some point in it.
+def segment_cells(
+    segments: DataFrame, line: str, xmin: float, ymin: float, side: float, most: int = CANDIDATES, levels: int = LEVELS
+) -> DataFrame:
+    """(level, cx, cy, candidates): the cells of an adaptive lattice with the segments that may be nearest to some point in them.
 
-    The lattice is refined ``rounds`` times by FAN x FAN. A segment stays with a cell if its distance
-    to the centre is at most the least such distance plus the cell's diagonal; any other segment is
-    farther than the nearest one from every point of the cell.
+    The square is one cell of level 0. A cell with more than ``most`` candidates is cut into FAN x FAN cells of the next level, others
+    stay, so the lattice is fine only where segments are dense. A segment stays with a cell if its distance to the centre is at most
+    the least such distance plus the cell's diagonal; any other is farther than the nearest one from every point of the
+    cell. Cutting ends when the cells still to cut list more than ``SHARE`` times all segments, or at the last level: cells far from a dense
+    bundle of segments see all of it at nearly one distance. What is left uncut keeps its candidates, so the result never depends on it.
     """
-    found = segments.select(line, *SEGMENT, F.lit(0).alias("cx"), F.lit(0).alias("cy"))
-    for level in range(1, rounds + 1):
-        size = side / FAN ** level
+    one = F.struct(line, *SEGMENT)
+    active = settle(segments.select(line, *SEGMENT, F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy")), "cells")
+    leaves, budget = [], SHARE * active.count()
+    for level in range(levels + 1):
+        counted = settle(active.groupBy("cx", "cy").agg(F.count("*").alias("held")), "counts")
+        crowded = counted.filter(F.col("held") > most)
+        listed = crowded.agg(F.sum("held")).first()[0] or 0
+        full = crowded.filter(F.lit(level < levels and listed <= budget)).select("cx", "cy")
+        settled = active.join(full, ["cx", "cy"], "left_anti")
+        leaves.append(settled.groupBy("cx", "cy").agg(F.collect_list(one).alias("candidates")).select(
+            F.lit(level).alias("level"), "cx", "cy", "candidates"))
+        if not listed or level == levels or listed > budget:
+            break
+        size = side / FAN ** (level + 1)
         child = F.explode(F.sequence(F.lit(0), F.lit(FAN * FAN - 1))).alias("child")
-        split = found.select(line, *SEGMENT, "cx", "cy", child).select(
-            line, *SEGMENT,
-            (F.col("cx") * FAN + F.col("child") % FAN).cast("int").alias("cx"),
-            (F.col("cy") * FAN + F.floor(F.col("child") / FAN)).cast("int").alias("cy"),
-        )
+        split = active.join(full, ["cx", "cy"], "left_semi").select(line, *SEGMENT, "cx", "cy", child).select(
+            line, *SEGMENT, (F.col("cx") * FAN + F.col("child") % FAN).alias("cx"), (F.col("cy") * FAN + F.floor(F.col("child") / FAN)).alias("cy"))
         centre = [F.lit(o) + (F.col(c) + 0.5) * F.lit(size) for o, c in ((xmin, "cx"), (ymin, "cy"))]
-        measured = split.withColumn("d", _segment_distance(*centre, _columns()))
+        measured = split.withColumn("d", _segment_distance(*centre, {k: F.col(k) for k in SEGMENT}))
         best = measured.groupBy("cx", "cy").agg(F.min("d").alias("best"))
-        reach = F.col("best") + F.lit(size * 2 ** 0.5 * (1 + 1e-9))
-        found = measured.join(best, ["cx", "cy"]).filter(F.col("d") <= reach).drop("d", "best")
-    return found
-
+        reach = F.col("best") + F.lit(size * 2 ** 0.5 * (1 + 1e-9) + 1e-12 * side)
+        active = settle(measured.join(best, ["cx", "cy"]).filter(F.col("d") <= reach).drop("d", "best"), "cells")
+    return reduce(DataFrame.union, leaves)
 
-def _rounds(segments: int) -> int:
-    """Refinements of the lattice for about as many cells as segments, so the candidates of a cell stay few."""
-    return max(1, math.ceil(math.log(max(segments, 1)) / math.log(FAN * FAN)))
 
-
-def nearest_line(
-    points: DataFrame, segments: DataFrame, key: str, line: str = "line_id", rounds: int | None = None, local: int = LOCAL_SEGMENTS
-) -> DataFrame:
+def nearest_line(points: DataFrame, segments: DataFrame, key: str, line: str = "line_id", most: int = CANDIDATES) -> DataFrame:
     """Distance from each point to the nearest line, and which line it is.
 
-    Up to ``local`` segments (checked by a limited read) become constants of one expression, so every
-    point is measured where it is in generated code. Beyond that, distinct places meet only the candidates of
-    their lattice cell, whose number of cells grows with the segments. Both ways give every point one row: equal distances go to
-    the smallest line, and a point with a null coordinate, or no segment at all, has NULL for both.
+    Every point meets the one cell of the adaptive lattice that holds it and measures the few candidates of that cell where it is; with
+    few segments the whole square is that cell. Equal distances go to the smallest line. A point with a null or infinite coordinate,
+    or without any segment, has NULL for both; segments with a null or infinite end do not count.
     """
-    few = sorted(segments.select(line, *SEGMENT).limit(local + 1).collect(), key=lambda s: s[line])
+    def number(c: str) -> Column:
+        return F.when(F.abs(F.col(c).cast("double")) < F.lit(float("inf")), F.col(c).cast("double"))
+
+    known = _known_segments(segments, line)
     kind = segments.schema[line].dataType
     nothing = {"dist_obs": F.lit(None).cast("double"), line: F.lit(None).cast(kind)}
-    if not few:
+    both = F.when(number("x").isNotNull() & number("y").isNotNull(), F.lit(1))
+    box = points.agg(*[f(F.when(both == 1, number(c))) for c in "xy" for f in (F.min, F.max)]).first()
+    if box[0] is None or known.isEmpty():
         return points.withColumns(nothing)
-    if len(few) <= local:
-        squares = [f"near_{i}" for i in range(len(few))]
-        measured = points.withColumns({c: _squared_distance_to(s) for c, s in zip(squares, few)})
-        least = F.least(*squares) if len(squares) > 1 else F.col(squares[0])
-        which = F.lit(None)
-        for c, s in reversed(list(zip(squares, few))):
-            which = F.when(F.col(c) == F.col("near"), F.lit(s[line])).otherwise(which)
-        return measured.withColumn("near", least).withColumns(
-            {"dist_obs": F.sqrt("near"), line: which.cast(kind)}
-        ).drop("near", *squares)
-    places = points.select("x", "y").filter("x IS NOT NULL AND y IS NOT NULL").distinct()
-    box = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if box[0] is None:
-        return points.withColumns(nothing)
-    if rounds is None:
-        rounds = _rounds(segments.count())
     xmin, ymin = float(box[0]), float(box[2])
     side = max(float(box[1]) - xmin, float(box[3]) - ymin) or 1.0
-    cells = FAN ** rounds
-    number = {
-        c: F.least(F.floor((F.col(v) - o) / F.lit(side / cells)), F.lit(cells - 1)).cast("int")
-        for c, v, o in (("cx", "x", xmin), ("cy", "y", ymin))
-    }
-    near = F.struct(_segment_distance(F.col("x"), F.col("y"), _columns()).alias("d"), F.col(line)).alias("near")
-    best = (
-        places.withColumns(number)
-        .join(segment_candidates(segments, line, xmin, ymin, side, rounds), ["cx", "cy"])
-        .select("x", "y", near).groupBy("x", "y").agg(F.min("near").alias("near"))
-    )
-    found = best.select("x", "y", F.col("near.d").alias("dist_obs"), F.col(f"near.{line}").alias(line))
-    return points.join(found, ["x", "y"], "left").select(*points.columns, "dist_obs", line)
+    cells = settle(segment_cells(known, line, xmin, ymin, side, most), "segment-cells")
+    present = sorted(r.level for r in cells.select("level").distinct().collect())  # at most LEVELS + 1
+
+    def at(c: str, low: float, level: int) -> Column:
+        count = FAN ** level
+        return F.least(F.floor((number(c) - low) / F.lit(side / count)), F.lit(count - 1)).cast("bigint")
+
+    places = [F.struct(F.lit(v).alias("level"), at("x", xmin, v).alias("cx"), at("y", ymin, v).alias("cy")) for v in present]
+    near = F.array_min(F.transform("candidates", lambda s: F.struct(
+        _segment_distance(F.col("x").cast("double"), F.col("y").cast("double"), {k: s[k] for k in SEGMENT}).alias("d"), s[line].alias("line"))))
+    held = points.select(F.struct(*points.columns).alias("row"), both.alias("known"), *[c for c in ("x", "y")])
+    met = held.filter("known = 1").select("row", "x", "y", F.explode(F.array(*places)).alias("at")).select("row", "x", "y", "at.*").join(
+        cells, ["level", "cx", "cy"]).select("row", near.alias("near"))
+    found = met.select("row.*", F.col("near.d").alias("dist_obs"), F.col("near.line").alias(line))
+    return found.unionByName(held.filter("known IS NULL").select("row.*").withColumns(nothing))

@@ -5,8 +5,8 @@ The random spatial field of the study is not modelled; the intensity is log-line
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ DISTANCE_LIMIT, KNOTS = 7.0, 5
 SOCIAL_TENTHS, FERRY_TENTHS = (-40, 30), (0, 70)
 
 DRAWS_IN_ONE_GROUP = 100_000
+NEWTON_STEPS = 25
 BAND = {"m": 0.5, "q1": 0.025, "q2": 0.975}
 QUARTILES = {"m": 0.5, "q25": 0.25, "q75": 0.75}
 
@@ -80,22 +81,38 @@ def pp_loglik(points: DataFrame, quadrature: DataFrame, params: list[tuple[float
     return at_points.join(integral, ["b0", "b1"]).withColumn("loglik", F.col("points") - F.col("integral"))
 
 
-def poisson_intensity_fit(cells: DataFrame) -> DataFrame:
-    """Intercept and depth slope from cell counts with log(exposure x detection) as offset. One row.
+def poisson_intensity_fit(points: DataFrame, quadrature: DataFrame, steps: int = NEWTON_STEPS, tolerance: float = 1e-11) -> DataFrame:
+    """Intercept and depth slope that maximise the joint point-process likelihood of all sources. One row.
 
-    ``cells`` holds n, depth and offset per cell and source: points are counted before the fit.
+    ``points`` holds the observed points with ``depth``, ``quadrature`` the integration rows of every source (area cells, or transect
+    steps times distance knots) with ``w``, ``depth`` and ``log_g``, the log detection. The points enter by their number and their sum of
+    depths; every Newton step is one aggregate over the quadrature, whatever its size, and steps end when the score equations hold to
+    ``tolerance`` of the number of points. ``score0`` and ``score1`` are what is left of them, ``n_fitted`` is the integral.
     """
-    rows = VectorAssembler(inputCols=["depth"], outputCol="features").transform(
-        cells.withColumn("n", F.col("n").cast("double"))
-    )
-    fit = GeneralizedLinearRegression(
-        family="poisson", link="log", labelCol="n", offsetCol="offset", featuresCol="features"
-    ).fit(rows)
-    totals = fit.transform(rows).agg(F.sum("n").alias("n_points"), F.sum("prediction").alias("n_fitted"))
-    return totals.select(
-        F.lit(float(fit.intercept)).alias("intercept"), F.lit(float(fit.coefficients[0])).alias("beta_depth"),
-        "n_points", "n_fitted",
-    )
+    seen = points.agg(F.count("*").alias("n"), F.coalesce(F.sum("depth"), F.lit(0.0)).alias("depth")).first()
+    rows = quadrature.select("w", "depth", "log_g")
+
+    def sums(b0: float, b1: float) -> tuple[float, float, float]:
+        rate = F.col("w") * F.exp(log_intensity(F.col("depth"), b0, b1) + F.col("log_g"))
+        found = rows.agg(F.sum(rate), F.sum(rate * F.col("depth")), F.sum(rate * F.col("depth") * F.col("depth"))).first()
+        return tuple(float(v or 0.0) for v in found)
+
+    kind = "intercept double, beta_depth double, n_points bigint, n_fitted double, score0 double, score1 double"
+    whole = sums(0.0, 0.0)
+    if not seen["n"] or not whole[0]:
+        return points.sparkSession.createDataFrame([(None, None, seen["n"], None, None, None)], kind)
+    b0, b1 = math.log(seen["n"] / whole[0]), 0.0
+    for _ in range(steps):
+        s0, s1, s2 = sums(b0, b1)
+        g0, g1, det = seen["n"] - s0, seen["depth"] - s1, s0 * s2 - s1 * s1
+        if max(abs(g0), abs(g1)) <= tolerance * seen["n"]:
+            break
+        if det <= 1e-12 * s0 * s2:  # depth does not vary: the intercept alone
+            b0 += g0 / s0
+            continue
+        b0, b1 = b0 + (s2 * g0 - s1 * g1) / det, b1 + (s0 * g1 - s1 * g0) / det
+    s0, s1, _ = sums(b0, b1)
+    return points.sparkSession.createDataFrame([(b0, b1, seen["n"], s0, seen["n"] - s0, seen["depth"] - s1)], kind)
 
 
 def binned_intensity(points: DataFrame, cells: DataFrame, area: float, per_unit: float = 4.0) -> DataFrame:

@@ -1,24 +1,23 @@
 """Model table over detection, return and entry specifications.
 
 Each part has a closed-form maximum-likelihood fit on counts (binomial or multinomial proportions);
-detection by log(effort) is a binomial GLM on the same counts. The three partial log-likelihoods are
+detection by log(effort) is a logit-linear fit by Newton steps on the same counts. The three partial log-likelihoods are
 added, so the table ranks specifications; it is not the full POPAN likelihood.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.scalar import one_row, xlogy
+from sightline.functions.scalar import let, one_row, xlogy
 
 # Specification numbers of each part, in the order they enter a model name.
 DETECT = {1: "~1", 2: "~log(effort)", 3: "~time"}
 RETURN = {1: "~1", 2: "~time", 3: "~group"}
 ENTRY = {1: "~1", 2: "~time", 3: "~group"}
 
+NEWTON_STEPS = 25
 CELL = ("spec", "t", "grp", "k", "n", "p", "loglik")
 
 
@@ -104,23 +103,53 @@ def part_fit(cells: DataFrame, part: str) -> DataFrame:
     )
 
 
+def binomial_newton(cells: DataFrame, keys: list[str], steps: int = NEWTON_STEPS) -> DataFrame:
+    """Logit-linear fits k of n ~ intercept + slope x, one for each key, all in one pass.
+
+    ``cells`` holds the keys and x, k, n; a key has as many cells as there are occasions (times groups), which meet as one short array.
+    A fixed number of Newton steps from the pooled rate runs as a fold over that array. Returns the keys, npar, loglik,
+    intercept and slope; a covariate without variation has slope 0 and one parameter. Fits that run off to infinity are NULL.
+    """
+    x, k, n = F.col("x").cast("double"), F.col("k").cast("double"), F.col("n").cast("double")
+    held = cells.filter("n > 0").groupBy(*keys).agg(
+        F.sum(k).alias("k"), F.sum(n).alias("n"), (F.sum(n * x) / F.sum(n)).alias("mean"), (F.min(x) < F.max(x)).alias("varies"),
+        F.collect_list(F.struct(x.alias("x"), k.alias("k"), n.alias("n"))).alias("cells"))
+
+    def total(term) -> Column:
+        return F.aggregate("cells", F.lit(0.0), lambda a, cell: a + term(cell))
+
+    def step(at: Column, _: Column) -> Column:
+        def rate(cell: Column) -> Column:
+            return 1 / (1 + F.exp(-(at["a"] + at["b"] * (cell["x"] - F.col("mean")))))
+
+        def part(term) -> Column:
+            return total(lambda cell: term(cell, cell["x"] - F.col("mean"), rate(cell)))
+
+        sums = F.struct(part(lambda c, d, p: c["k"] - c["n"] * p).alias("ga"), part(lambda c, d, p: (c["k"] - c["n"] * p) * d).alias("gb"),
+                        part(lambda c, d, p: c["n"] * p * (1 - p)).alias("aa"), part(lambda c, d, p: c["n"] * p * (1 - p) * d).alias("ab"),
+                        part(lambda c, d, p: c["n"] * p * (1 - p) * d * d).alias("bb"))
+
+        def moved(s: Column) -> Column:
+            det = s["aa"] * s["bb"] - s["ab"] * s["ab"]
+            da = F.when(F.col("varies"), F.try_divide(s["bb"] * s["ga"] - s["ab"] * s["gb"], det)).otherwise(F.try_divide(s["ga"], s["aa"]))
+            db = F.when(F.col("varies"), F.try_divide(s["aa"] * s["gb"] - s["ab"] * s["ga"], det)).otherwise(0.0)
+            return F.struct((at["a"] + da).alias("a"), (at["b"] + db).alias("b"))
+
+        return let(sums, moved)
+
+    start = F.struct(F.log(F.try_divide(F.col("k"), F.col("n") - F.col("k"))).alias("a"), F.lit(0.0).alias("b"))
+    fit = held.withColumn("fit", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
+    logit = lambda cell: F.col("fit.a") + F.col("fit.b") * (cell["x"] - F.col("mean"))
+    loglik = total(lambda cell: cell["k"] * logit(cell) - cell["n"] * F.log1p(F.exp(logit(cell))))
+    return fit.select(*keys, F.when(F.col("varies"), 2).otherwise(1).cast("bigint").alias("npar"), loglik.alias("loglik"),
+                      (F.col("fit.a") - F.col("fit.b") * F.col("mean")).alias("intercept"), F.col("fit.b").alias("slope"))
+
+
 def detect_effort_fit(counts: DataFrame, effort: DataFrame) -> DataFrame:
-    """Detection ~log(effort): binomial GLM on the occasion counts. One row."""
+    """Detection ~log(effort) on the occasion counts. One row."""
     cells = detect_cells(counts).join(effort, "t").select(
-        "k", "n", (F.col("k") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("weight"),
-        F.log(F.col("effort").cast("double")).alias("log_effort"),
-    )
-    rows = VectorAssembler(inputCols=["log_effort"], outputCol="x").transform(cells)
-    fit = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="x", labelCol="rate", weightCol="weight"
-    ).fit(rows)
-    rate, k, rest = F.col("prediction"), F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
-    return fit.transform(rows).agg(
-        F.sum(xlogy(k, rate) + xlogy(rest, F.lit(1.0) - rate)).alias("loglik")
-    ).select(
-        F.lit("p").alias("part"), F.lit(2).alias("spec"), F.lit(2).cast("bigint").alias("npar"), "loglik",
-        F.lit(float(fit.intercept)).alias("intercept"), F.lit(float(fit.coefficients[0])).alias("slope"),
-    )
+        F.lit("p").alias("part"), F.lit(2).alias("spec"), F.log(F.col("effort").cast("double")).alias("x"), "k", "n")
+    return binomial_newton(cells, ["part", "spec"])
 
 
 def model_compare(spark: SparkSession, parts: DataFrame, n_captures: Column, c_hat: Column) -> DataFrame:

@@ -25,9 +25,8 @@ def bucketed(df: DataFrame, keys: list[str], order: str, rows: int = BUCKET_ROWS
     at = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     borders = settle(df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, at, SKETCH_ACCURACY)).alias("borders")), "borders")
     # A value's bucket is the number of borders below it, found by halving: borders ascend.
-    steps = F.sequence(F.lit(cuts.bit_length() - 1), F.lit(0), F.lit(-1))
-    place = F.aggregate(steps, F.lit(0), lambda a, i: F.when(
-        F.get("borders", (a + F.shiftleft(F.lit(1), i) - 1).cast("int")) < F.col(order), a + F.shiftleft(F.lit(1), i)).otherwise(a))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(cuts.bit_length()))])
+    place = F.aggregate(halves, F.lit(0), lambda a, h: F.when(F.get("borders", a + h - 1) < F.col(order), a + h).otherwise(a))
     return df.join(borders, keys).withColumn("bucket", place).drop("borders")
 
 

@@ -85,6 +85,11 @@ def _links(spark, sf, by=(), period="quarter", marks=("WM",)):
     return settle(cap.link_counts(caps, list(by)), "links")
 
 
+def _ranked_links(spark, sf):
+    """Link counts over ranked occasions, as the tests of fit ask for."""
+    return settle(cap.link_counts(cap.rank_occasions(fx.captures(spark, sf))), "links")
+
+
 def _counts(spark, sf):
     return cap.full_counts(_links(spark, sf))
 
@@ -112,6 +117,18 @@ def _with_se(spark, sf):
     return ab.with_group_se(gross, cov), ab.total_with_covariance(gross, cov)
 
 
+def _abundance(spark, sf, captures, years):
+    """Estimates at ranked occasions, corrected by the mark rate of the year that ``years`` reads from their period."""
+    links = settle(cap.link_counts(captures, ["bucket"]), "links")
+    est = ab.jolly_seber(cap.full_counts(cap.narrow(links))).filter("n_hat IS NOT NULL").select("t", "n_hat")
+    reps = ab.jackknife_counts(cap.full_counts(links, ["bucket"]), [], BUCKETS)
+    se = ab.jolly_seber(reps, ["bucket"]).groupBy("t").agg(F.sqrt(F.var_pop("n_hat") * F.lit(float(BUCKETS - 1))).alias("se"))
+    yearly = ct.distinct_individuals(fx.sightings(spark, sf)).filter("m IS NULL AND y IS NOT NULL")
+    dated = captures.select("t", "period").distinct().withColumn("y", (years(F.col("period")) + fx.FIRST_YEAR).cast("int"))
+    joined = est.join(se, "t").join(dated, "t").join(yearly.select("y", "n", "theta"), "y")
+    return ab.mark_rate_correct(joined, "n_hat", "se", F.col("theta"), F.col("n"))
+
+
 # ---- histories and counts -------------------------------------------------------------------------
 
 @query("resight_links", "SELECT id, t, prev, nxt AS next FROM links_wm", "links_wm")
@@ -195,7 +212,7 @@ def _register_gof(name):
 
     @query(f"gof_test{name}", sql, "links_wm")
     def gof_test(spark, sf):
-        tables = gof.gof_tables(_links(spark, sf)).filter((F.col("test") == name) & (F.expr("a + b + c + d") > 0))
+        tables = gof.gof_tables(_ranked_links(spark, sf)).filter((F.col("test") == name) & (F.expr("a + b + c + d") > 0))
         return tables.drop("test").withColumn("chi2", r("chi2"))
 
 
@@ -209,14 +226,14 @@ view("gof_all", _GOF_ALL, "links_wm")
 
 @query("gof_summary", f"SELECT test, {q('chi2')} AS chi2, dof FROM gof_all", "gof_all")
 def gof_summary(spark, sf):
-    return gof.gof_summary(_links(spark, sf)).select("test", r("chi2").alias("chi2"), "dof")
+    return gof.gof_summary(_ranked_links(spark, sf)).select("test", r("chi2").alias("chi2"), "dof")
 
 
 @query("c_hat", f"""
     SELECT {q('sum(chi2)')} AS chi2, CAST(sum(dof) AS BIGINT) AS dof, {q('sum(chi2) / sum(dof)')} AS c_hat FROM gof_all""",
        "gof_all")
 def c_hat(spark, sf):
-    return gof.c_hat(_links(spark, sf)).select(r("chi2").alias("chi2"), "dof", r("c_hat").alias("c_hat"))
+    return gof.c_hat(_ranked_links(spark, sf)).select(r("chi2").alias("chi2"), "dof", r("c_hat").alias("c_hat"))
 
 
 # ---- abundance -------------------------------------------------------------------------------------
@@ -260,6 +277,67 @@ def gross_by_group_intervals(spark, sf):
     return _gross_of(settle(cap.link_counts(_gapped(spark, sf), ["grp"]), "links")).select("grp", r("n_gross").alias("n_gross"))
 
 
+_NTOT = "(est / theta)"
+_SETOT = f"sqrt({_NTOT} * {_NTOT} * ((se / est) * (se / est) + (1 - theta) / (n * theta)))"
+
+
+def _corrected_sql(source: str, keep: str) -> str:
+    return f"""SELECT {keep}, {q('n_tot')} AS n_tot, {q('se_tot')} AS se_tot,
+        {q(f'exp({Z95!r} * sqrt(ln(1 + (se_tot / n_tot) * (se_tot / n_tot))))')} AS c_tot
+        FROM (SELECT *, {_NTOT} AS n_tot, {_SETOT} AS se_tot FROM ({source}))"""
+
+
+_GOF_GAPPED = _gof_sql("gapped")
+view("gof_gapped", " UNION ALL ".join(
+    f"SELECT '{k}' AS test, sum(chi2) AS chi2, CAST(sum(dof) AS BIGINT) AS dof FROM ({s})" for k, s in _GOF_GAPPED.items()), "links_gapped")
+
+
+def _gapped_links(spark, sf, by=()):
+    captures = _gapped(spark, sf).withColumn("bucket", F.pmod("id", F.lit(BUCKETS)).cast("int"))
+    return settle(cap.link_counts(captures, list(by)), "links")
+
+
+@query("gof_tables_intervals", " UNION ALL ".join(
+    f"SELECT '{k}' AS test, t, a, b, c, d, {q('chi2')} AS chi2, dof FROM ({s}) WHERE a + b + c + d > 0" for k, s in _GOF_GAPPED.items()), "links_gapped")
+def gof_tables_intervals(spark, sf):
+    """The four tests where quarters are unsampled: the next occasion is the next sampled one."""
+    tables = gof.gof_tables(_gapped_links(spark, sf)).filter("a + b + c + d > 0")
+    return tables.select("test", "t", "a", "b", "c", "d", r("chi2").alias("chi2"), "dof")
+
+
+@query("c_hat_intervals", f"""
+    SELECT {q('sum(chi2)')} AS chi2, CAST(sum(dof) AS BIGINT) AS dof, {q('sum(chi2) / sum(dof)')} AS c_hat FROM gof_gapped""", "gof_gapped")
+def c_hat_intervals(spark, sf):
+    return gof.c_hat(_gapped_links(spark, sf)).select(r("chi2").alias("chi2"), "dof", r("c_hat").alias("c_hat"))
+
+
+_count_views("gappedrep", _REPLICATES.format("captures_gapped"), "rep, grp", "captures_gapped")
+_count_views("gappedwholerep", _REPLICATES.format("captures_gapped"), "rep", "captures_gapped")
+
+
+@query("jackknife_vcv_intervals", f"""
+    SELECT a.grp AS g_i, b.grp AS g_j, {q(f'covar_pop(a.n_gross, b.n_gross) * {BUCKETS - 1}')} AS cov
+    FROM gross_gappedrep a JOIN gross_gappedrep b ON a.rep = b.rep GROUP BY 1, 2""", "gross_gappedrep")
+def jackknife_vcv_intervals(spark, sf):
+    return _covariance_of(_gapped_links(spark, sf, ["grp", "bucket"])).withColumn("cov", r("cov"))
+
+
+@query("abundance_by_occasion_intervals", _corrected_sql(f"""
+    SELECT j.t, p.period, CAST(y.y AS INT) AS y, j.n_hat AS est, s.se, y.theta, y.n FROM js_gapped j
+    JOIN (SELECT DISTINCT t, period FROM captures_gapped) p ON p.t = j.t
+    JOIN (SELECT t, sqrt(var_pop(n_hat) * {BUCKETS - 1}) AS se FROM js_gappedwholerep GROUP BY t) s ON s.t = j.t
+    JOIN (SELECT year(sdate) AS y, count(DISTINCT id) AS n,
+                 CAST(count(DISTINCT CASE WHEN mark_level = 'WM' THEN id END) AS DOUBLE) / count(DISTINCT id) AS theta
+          FROM sightings GROUP BY 1) y ON y.y = 1995 + (p.period - 1) // 4
+    WHERE j.n_hat IS NOT NULL""", "t, period, y, " + q("est") + " AS est, " + q("se") + " AS se"),
+       "js_gapped js_gappedwholerep captures_gapped sightings")
+def abundance_by_occasion_intervals(spark, sf):
+    """Corrected abundance at ranked quarters; the year of an occasion is that of its period, not of its rank."""
+    captures = settle(_gapped(spark, sf).withColumn("bucket", F.pmod("id", F.lit(BUCKETS)).cast("int")), "captures")
+    return _abundance(spark, sf, captures, lambda period: F.floor((period - 1) / 4)).select(
+        "t", "period", "y", r("n_hat").alias("est"), *[r(c).alias(c) for c in ("se", "n_tot", "se_tot", "c_tot")])
+
+
 @query("between_counts_skipping", "SELECT grp, t, n, z FROM counts_skipping", "counts_skipping")
 def between_counts_skipping(spark, sf):
     """Grouped counts where whole occasions are missing and numbers do not start at 1."""
@@ -325,16 +403,6 @@ def ci_table(spark, sf):
     return ab.ci_table(groups, total, rates, GROUP_LABELS)
 
 
-_NTOT = "(est / theta)"
-_SETOT = f"sqrt({_NTOT} * {_NTOT} * ((se / est) * (se / est) + (1 - theta) / (n * theta)))"
-
-
-def _corrected_sql(source: str, keep: str) -> str:
-    return f"""SELECT {keep}, {q('n_tot')} AS n_tot, {q('se_tot')} AS se_tot,
-        {q(f'exp({Z95!r} * sqrt(ln(1 + (se_tot / n_tot) * (se_tot / n_tot))))')} AS c_tot
-        FROM (SELECT *, {_NTOT} AS n_tot, {_SETOT} AS se_tot FROM ({source}))"""
-
-
 @query("mark_rate_correct", _corrected_sql("""
     SELECT pos, n_gross AS est, se, t.theta, t.n FROM intervals,
       (SELECT count(DISTINCT id) AS n,
@@ -358,18 +426,9 @@ def mark_rate_correct(spark, sf):
     WHERE j.n_hat IS NOT NULL""", "t, y, " + q("est") + " AS est, " + q("se") + " AS se"),
        "js_month js_monthrep sightings")
 def abundance_by_occasion(spark, sf):
-    links = _links(spark, sf, ["bucket"], period="month")
-    est = ab.jolly_seber(cap.full_counts(cap.narrow(links))).filter("n_hat IS NOT NULL").select("t", "n_hat")
-    reps = ab.jackknife_counts(cap.full_counts(links, ["bucket"]), [], BUCKETS)
-    se = ab.jolly_seber(reps, ["bucket"]).groupBy("t").agg(
-        F.sqrt(F.var_pop("n_hat") * F.lit(float(BUCKETS - 1))).alias("se")
-    )
-    yearly = ct.distinct_individuals(fx.sightings(spark, sf)).filter("m IS NULL AND y IS NOT NULL")
-    joined = est.join(se, "t").withColumn("y", (F.floor((F.col("t") - 1) / 12) + fx.FIRST_YEAR).cast("int"))
-    out = ab.mark_rate_correct(
-        joined.join(yearly.select("y", "n", "theta"), "y"), "n_hat", "se", F.col("theta"), F.col("n")
-    )
-    return out.select("t", "y", r("n_hat").alias("est"), *[r(c).alias(c) for c in ("se", "n_tot", "se_tot", "c_tot")])
+    captures = fx.captures(spark, sf, period="month").withColumn("bucket", F.pmod("id", F.lit(BUCKETS)).cast("int"))
+    out = _abundance(spark, sf, settle(cap.rank_occasions(captures), "captures"), lambda period: F.floor((period - 1) / 12))
+    return out.select(F.col("period").alias("t"), "y", r("n_hat").alias("est"), *[r(c).alias(c) for c in ("se", "n_tot", "se_tot", "c_tot")])
 
 
 # ---- model table -------------------------------------------------------------------------------------
@@ -452,9 +511,29 @@ def _effort(spark, sf, months_per_occasion):
     ).agg(F.sum("n").alias("effort"))
 
 
-@query("detect_effort_model")
+view("effort_cells", """
+    SELECT c.t, c.s AS k, c.s + c.z AS n, ln(CAST(e.effort AS DOUBLE)) AS x FROM counts_wm c JOIN (
+      SELECT ((y - 1995) * 12 + m - 1) // 3 + 1 AS t, sum(n) AS effort FROM effort_days GROUP BY 1) e ON e.t = c.t WHERE c.s + c.z > 0""",
+     "counts_wm effort_days")
+# Newton steps of a logit line from the pooled rate; "q" is the detection rate of a cell at the current line.
+_NEWTON = f"""
+    , newton AS (
+      SELECT 0 AS step, ln(sum(k) / CAST(sum(n) - sum(k) AS DOUBLE)) AS a, CAST(0 AS DOUBLE) AS b FROM effort_cells
+      UNION ALL
+      SELECT step + 1, a + (bb * ga - ab * gb) / (aa * bb - ab * ab), b + (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (
+        SELECT step, a, b, sum(k - n * q) AS ga, sum((k - n * q) * x) AS gb, sum(n * q * (1 - q)) AS aa,
+               sum(n * q * (1 - q) * x) AS ab, sum(n * q * (1 - q) * x * x) AS bb
+        FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS q FROM newton, effort_cells) GROUP BY step, a, b) WHERE step < {models.NEWTON_STEPS}),
+    line AS (SELECT a, b FROM newton WHERE step = {models.NEWTON_STEPS}),
+    fit_effort AS (SELECT 2 AS spec, CAST(2 AS BIGINT) AS npar, a, b, (
+      SELECT sum(k * (a + b * x) - n * ln(1 + exp(a + b * x))) FROM effort_cells) AS ll FROM line)"""
+
+
+@query("detect_effort_model", _NEWTON + f"""
+    SELECT 'p' AS part, spec, npar, {q('ll')} AS loglik, {q('a', 5)} AS intercept, {q('b', 5)} AS slope FROM fit_effort""", "effort_cells")
 def detect_effort_model(spark, sf):
-    return models.detect_effort_fit(_counts(spark, sf), _effort(spark, sf, 3))
+    fit = models.detect_effort_fit(_counts(spark, sf), _effort(spark, sf, 3))
+    return fit.select("part", "spec", "npar", r("loglik").alias("loglik"), *[r(c, 5).alias(c) for c in ("intercept", "slope")])
 
 
 def _compare(spark, sf, effort):
@@ -471,7 +550,7 @@ def _compare(spark, sf, effort):
         fit = models.detect_effort_fit(whole, _effort(spark, sf, 3))
         parts = parts.unionByName(fit.select("part", "spec", "npar", "loglik"))
     parts = settle(parts, "parts")
-    fit = settle(gof.c_hat(whole_links), "c-hat")
+    fit = settle(gof.c_hat(_ranked_links(spark, sf)), "c-hat")
     n, c = one_row(whole, n=F.sum("n")), one_row(fit, c=F.max("c_hat"))
     out = models.model_compare(spark, parts, n["n"], c["c"])
     scores = ("deviance", "aicc", "qaicc", "delta", "weight")
@@ -479,26 +558,30 @@ def _compare(spark, sf, effort):
 
 
 _KP = "a.npar + b.npar + c.npar"
-view("scored", f"""
+_SCORED = f"""
     SELECT *, deviance + 2 * npar + 2.0 * npar * (npar + 1) / (n - npar - 1) AS aicc,
            deviance / ch + 2 * (npar + 1) + 2.0 * (npar + 1) * (npar + 2) / (n - npar - 2) AS qaicc FROM (
       SELECT 'Mod' || a.spec || b.spec || c.spec AS model, {_KP} AS npar, -2 * (a.ll + b.ll + c.ll) AS deviance,
              CAST((SELECT count(*) FROM captures_wm) AS DOUBLE) AS n, (SELECT sum(chi2) / sum(dof) FROM gof_all) AS ch
-      FROM (SELECT spec, count(*) AS npar, sum(loglik) AS ll FROM fit_p GROUP BY spec) a,
+      FROM (SELECT spec, count(*) AS npar, sum(loglik) AS ll FROM fit_p GROUP BY spec /*more*/) a,
            (SELECT spec, count(*) AS npar, sum(loglik) AS ll FROM fit_phi GROUP BY spec) b,
            (SELECT spec, CASE spec WHEN 1 THEN 1 WHEN 2 THEN count(*) - 1 ELSE count(DISTINCT grp) END AS npar,
-                   sum(loglik) AS ll FROM fit_pent GROUP BY spec) c)""", "captures_wm gof_all fit_p fit_phi fit_pent")
-
-
-@query("model_compare", f"""
+                   sum(loglik) AS ll FROM fit_pent GROUP BY spec) c)"""
+_SCORED_NEEDS = "captures_wm gof_all fit_p fit_phi fit_pent"
+view("scored", _SCORED, _SCORED_NEEDS)
+_RANKED = f"""
     SELECT model, npar, CAST(row_number() OVER (ORDER BY qaicc, model) AS INT) AS model_rank, {q('deviance')} AS deviance,
            {q('aicc')} AS aicc, {q('qaicc')} AS qaicc, {q('qaicc - min(qaicc) OVER ()')} AS delta, {q('w / sum(w) OVER ()')} AS weight
-    FROM (SELECT *, exp(-0.5 * (qaicc - min(qaicc) OVER ())) AS w FROM scored)""", "scored")
+    FROM (SELECT *, exp(-0.5 * (qaicc - min(qaicc) OVER ())) AS w FROM {{}})"""
+
+
+@query("model_compare", _RANKED.format("scored"), "scored")
 def model_compare(spark, sf):
     return _compare(spark, sf, effort=False)
 
 
-@query("model_compare_effort")
+@query("model_compare_effort", _NEWTON + ", scored27 AS (" + _SCORED.replace(
+    "/*more*/", "UNION ALL SELECT spec, npar, ll FROM fit_effort") + ")" + _RANKED.format("scored27"), f"effort_cells {_SCORED_NEEDS}")
 def model_compare_effort(spark, sf):
     return _compare(spark, sf, effort=True)
 

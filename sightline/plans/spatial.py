@@ -375,20 +375,44 @@ def pp_loglik(spark, sf):
     return stacked.withColumn("loglik", r("loglik", 4))
 
 
-@query("poisson_intensity_fit")
+_SEEN = {
+    "social": "SELECT d.depth FROM thin_social t JOIN depths d ON d.event_id = t.event_id JOIN inside i ON i.event_id = t.event_id",
+    "ferry": "SELECT d.depth FROM thin_ferry t JOIN depths d ON d.event_id = t.event_id WHERE t.dist_obs <= 7",
+}
+view("quadrature", f"""SELECT CAST(4 AS DOUBLE) AS w, depth, {_G_SOCIAL} AS log_g FROM (
+      SELECT c.z AS depth, coalesce(s.z, 0) AS surf FROM cells c LEFT JOIN social_grid s ON s.ix = c.ix AND s.iy = c.iy)
+    UNION ALL SELECT t.w, coalesce(g.z, 0), -0.5 * power(t.dist_obs / 2, 2) FROM ({_transect_sql('ferry_segments', 1.0)}) t
+      LEFT JOIN depth_grid g ON g.ix = CAST(floor(t.x / 2) AS INT) AND g.iy = CAST(floor(t.y / 2) AS INT)""",
+     "cells social_grid ferry_segments depth_grid")
+_FIT_SQL = f"""
+    , seen AS (SELECT count(*) AS n, sum(depth) AS sd FROM ({' UNION ALL '.join(_SEEN.values())})),
+    newton AS (
+      SELECT 0 AS step, ln(any_value(n) / sum(w * exp(log_g))) AS b0, CAST(0 AS DOUBLE) AS b1 FROM quadrature, seen
+      UNION ALL
+      SELECT step + 1, b0 + (s2 * (n - s0) - s1 * (sd - s1)) / (s0 * s2 - s1 * s1), b1 + (s0 * (sd - s1) - s1 * (n - s0)) / (s0 * s2 - s1 * s1)
+      FROM (SELECT step, b0, b1, sum(m) AS s0, sum(m * depth) AS s1, sum(m * depth * depth) AS s2
+            FROM (SELECT *, w * exp(b0 + b1 * depth + log_g) AS m FROM newton, quadrature) GROUP BY step, b0, b1), seen
+      WHERE step < {it.NEWTON_STEPS}),
+    last AS (SELECT b0, b1 FROM newton WHERE step = {it.NEWTON_STEPS}),
+    fitted AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(m) AS s0, sum(m * depth) AS s1
+               FROM (SELECT *, w * exp(b0 + b1 * depth + log_g) AS m FROM last, quadrature))
+    SELECT {q('b0')} AS intercept, {q('b1')} AS beta_depth, n AS n_points, {q('s0')} AS n_fitted, {q('n - s0')} AS score0, {q('sd - s1')} AS score1
+    FROM fitted, seen"""
+
+
+@query("poisson_intensity_fit", _FIT_SQL, "thin_social thin_ferry depths inside quadrature")
 def poisson_intensity_fit(spark, sf):
-    cells = _distance_to_ferry(spark, _surf(spark, _area_cells(spark).withColumnRenamed("z", "depth")), "cell")
-    area = F.log(F.lit(STEP * STEP))
-    sources = {
-        "social": (_thin_social(spark, sf), detect.log_detect_social(F.col("surf"), detect.SOCIAL_SCALE, 0.0)),
-        "ferry": (_thin_ferry(spark, sf), detect.log_detect_ferry(F.col("dist_obs"), detect.FERRY_SIGMA)),
-    }
-    rows = ct.stack_labelled({
-        name: cells.join(_cell_counts(spark, pts), ["ix", "iy"], "left").fillna(0, ["n"])
-        .select("n", "depth", (area + g).alias("offset"))
-        for name, (pts, g) in sources.items()
-    }, "source")
-    return it.poisson_intensity_fit(settle(rows, "cell-counts"))
+    """Both sources at once: area cells for the social points, transect steps times distance knots for the ferry points."""
+    g_social = detect.log_detect_social(F.col("surf"), detect.SOCIAL_SCALE, 0.0)
+    g_ferry = detect.log_detect_ferry(F.col("dist_obs"), detect.FERRY_SIGMA)
+    seen = _depth(spark, _inside_area(spark, _thin_social(spark, sf))).select("depth").unionByName(
+        _depth(spark, _thin_ferry(spark, sf).filter(F.col("dist_obs") <= it.DISTANCE_LIMIT)).select("depth"))
+    area = _surf(spark, _area_cells(spark).withColumnRenamed("z", "depth")).select(
+        F.lit(STEP * STEP).alias("w"), "depth", g_social.alias("log_g"))
+    track = _depth(spark, it.quadrature_transect(_ferries(spark), 1.0)).select("w", "depth", g_ferry.alias("log_g"))
+    fit = it.poisson_intensity_fit(seen, settle(area.unionByName(track), "quadrature"))
+    return fit.select("n_points", *[r(c).alias(c) for c in ("intercept", "beta_depth", "n_fitted")], *[
+        (r(c) + 0.0).alias(c) for c in ("score0", "score1")])
 
 
 @query("binned_intensity", f"""

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from sightline.functions.scalar import na_to_zero, one_row, round_half_even
 from sightline.functions.normal import norm_quantile
 from sightline.operators import calendar, counts, fidelity
-from sightline.operators.ranks import group_quantiles
+from sightline.operators.ranks import group_quantiles, quantiles_from_runs, running_sums
 from sightline.plans import views  # noqa: F401  (oracle views)
 from sightline.plans.registry import q, query, r
-from sightline.session import shared_path
+from sightline.session import settle, shared_path
 from sightline.sources import fixtures as fx
 from sightline.sources import tables as tb
 
@@ -501,6 +501,29 @@ def fn_factor(spark, sf):
     return counts.factor_codes(fx.points(spark, sf).select("event_id", "stype"), "stype")
 
 
+@query("fn_factor_ids", """
+    SELECT o_orderkey, name, CAST(dense_rank() OVER (ORDER BY name) AS INT) AS name_code FROM (
+      SELECT o_orderkey, 'individual-' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS name FROM orders)""")
+def fn_factor_ids(spark, sf):
+    """Codes of many text ids with one long common beginning."""
+    name = F.concat(F.lit("individual-"), F.lpad(F.col("o_custkey").cast("string"), 12, "0")).alias("name")
+    return counts.factor_codes(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", name), "name")
+
+
+_PACKED = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
+
+
+@query("packed_quantiles", " UNION ALL ".join(f"""
+    SELECT l_returnflag AS flag, CAST({p} AS DOUBLE) AS p, round(quantile_cont(l_extendedprice / CAST(1000000000000 AS DOUBLE), {p}), 12) AS quantile
+    FROM lineitem GROUP BY 1""" for p in _PACKED))
+def packed_quantiles(spark, sf):
+    """Exact quantiles from running sums of values that fill a ten-millionth of [0, 1]."""
+    price = (F.col("l_extendedprice") / F.lit(1e12)).alias("v")
+    values = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), price).groupBy("flag", "v").agg(F.count("*").alias("w"))
+    runs = running_sums(settle(values, "values"), ["flag"], "v", ["w"], rows=4000)
+    return quantiles_from_runs(runs, ["flag"], "v", "w", _PACKED).withColumn("quantile", F.round("quantile", 12))
+
+
 @query("fn_norm_quantile", f"""
     SELECT id, tot, {q(f'tot - {Z95!r} * sqrt(CAST(tot AS DOUBLE))')} AS lower, {q(f'tot + {Z95!r} * sqrt(CAST(tot AS DOUBLE))')} AS upper
     FROM (SELECT DISTINCT id, tot FROM sightings)""", "sightings")

@@ -65,26 +65,39 @@ def test_polygon_with_repeated_keys_and_null_places(frame, local):
     assert nothing.count() == 0
 
 
-@pytest.mark.parametrize("local", [16, 0])
-def test_nearest_line_edge_cases(frame, local):
+@pytest.mark.parametrize("most", [32, 1])
+def test_nearest_line_edge_cases(frame, most):
     lines = [(9, 0.0, 1.0, 4.0, 1.0), (3, 0.0, -1.0, 4.0, -1.0), (5, 30.0, 30.0, 31.0, 30.0)]
     points = [(1, 2.0, 0.0), (1, 30.0, 29.0), (2, None, 1.0), (3, 1.0, None), (4, 2.0, 0.0), (4, 2.0, 0.0)]
-    out = geo.nearest_line(frame(points, PTS), frame(lines, SEGS), "id", local=local)
+    out = geo.nearest_line(frame(points, PTS), frame(lines, SEGS), "id", most=most)
     assert out.columns == ["id", "x", "y", "dist_obs", "line_id"]
     got = sorted(((r.id, r.dist_obs, r.line_id) for r in out.collect()), key=str)
     assert got == sorted([(1, 1.0, 3), (1, 1.0, 5), (2, None, None), (3, None, None), (4, 1.0, 3), (4, 1.0, 3)], key=str)
-    empty = geo.nearest_line(frame(points, PTS), frame([], SEGS), "id", local=local)
+    empty = geo.nearest_line(frame(points, PTS), frame([], SEGS), "id", most=most)
     assert empty.count() == len(points) and empty.filter("dist_obs IS NOT NULL OR line_id IS NOT NULL").count() == 0
 
 
-def test_candidates_of_a_cell_stay_few_as_segments_grow(frame):
-    most = []
-    for n in (40, 4000):
-        rng = random.Random(n)
-        lines = [(i, x, y, x + 0.1, y) for i in range(n) for x, y in [(rng.uniform(0, 100), rng.uniform(0, 100))]]
-        found = geo.segment_candidates(frame(lines, SEGS), "line_id", 0.0, 0.0, 100.0, geo._rounds(n))
-        most.append(found.groupBy("cx", "cy").count().agg(F.avg("count")).first()[0])
-    assert most[1] < 2 * most[0] + 8
+@pytest.mark.parametrize("most", [32, 1])
+def test_null_ends_and_tiny_distances(frame, most):
+    """The same rows however fine the lattice: a segment without an end does not count, squares need not underflow."""
+    lines = [(1, None, 0.0, 5.0, 5.0), (4, 0.0, None, 1.0, 1.0), (2, 0.0, 3e-160, 1.0, 3e-160), (3, 0.0, -1e-160, 1.0, -1e-160),
+             *((10 + i, 5.0 + i, 5.0, 6.0 + i, 5.0) for i in range(20))]
+    points = [(1, 0.5, 0.0), (2, 5.0, -2.0), (3, float("nan"), 0.0), (4, float("inf"), 1.0), (5, 24.0, 6.0)]
+    got = {r.id: (r.dist_obs, r.line_id) for r in geo.nearest_line(frame(points, PTS), frame(lines, SEGS), "id", most=most).collect()}
+    assert got == {1: (1e-160, 3), 2: (pytest.approx(math.hypot(4, 2)), 2), 3: (None, None), 4: (None, None), 5: (1.0, 28)}
+
+
+def test_lattice_follows_packed_segments_within_its_bound(frame):
+    rng = random.Random(1)
+    far = [(i, x, y, x + 0.1, y) for i in range(60) for x, y in [(rng.uniform(0, 100), rng.uniform(0, 100))]]
+    packed = [(100 + i, x, y, x + 0.001, y) for i in range(1500) for x, y in [(rng.uniform(0, 1), rng.uniform(0, 1))]]
+    cells = geo.segment_cells(frame(far + packed, SEGS), "line_id", 0.0, 0.0, 100.0)
+    sizes = cells.select("level", F.size("candidates").alias("n")).collect()
+    assert len({r.level for r in sizes}) > 1 and sum(r.n for r in sizes) < 64 * geo.SHARE * 1560
+    points = [(i, rng.uniform(0, 2), rng.uniform(0, 2)) for i in range(60)] + [(60, 99.0, 99.0), (61, 0.0, 100.0)]
+    got = {r.id: r.dist_obs for r in geo.nearest_line(frame(points, PTS), frame(far + packed, SEGS), "id").collect()}
+    for p in points:
+        assert got[p[0]] == pytest.approx(min(distance(p, s) for s in far + packed), abs=1e-9)
 
 
 def test_overlay_outside_the_grid_is_zero(spark, frame):
@@ -118,9 +131,17 @@ def test_transect_weights_integrate_the_strip(frame):
 
 
 def test_fit_recovers_a_known_intensity(frame):
-    cells = [(round(100 * math.exp(1 - 0.8 * d / 10 + 0.5)), d / 10, math.log(100.0) + 0.5) for d in range(-20, 21)]
-    out = it.poisson_intensity_fit(frame(cells, "n long, depth double, offset double")).first()
+    """Points placed as the intensity exp(1 - 0.8 depth) asks, under a detection of exp(-1/2) in half the cells."""
+    cells = [(2.0, d / 10, -0.5 * (d % 2)) for d in range(-20, 21) for _ in range(3)]
+    points = [(d,) for w, d, g in cells for _ in range(round(4000 * w * math.exp(1 - 0.8 * d + g) / 40))]
+    quadrature = frame([(100 * w, d, g) for w, d, g in cells], "w double, depth double, log_g double")
+    out = it.poisson_intensity_fit(frame(points, "depth double"), quadrature).first()
     assert out.intercept == pytest.approx(1.0, abs=0.01) and out.beta_depth == pytest.approx(-0.8, abs=0.01)
+    assert abs(out.score0) < 1e-6 and abs(out.score1) < 1e-6 and out.n_fitted == pytest.approx(out.n_points)
+    none = it.poisson_intensity_fit(frame([], "depth double"), quadrature).first()
+    assert none.n_points == 0 and none.intercept is None
+    flat = it.poisson_intensity_fit(frame([(1.0,)] * 30, "depth double"), frame([(10.0, 1.0, 0.0)] * 2, "w double, depth double, log_g double")).first()
+    assert flat.intercept == pytest.approx(math.log(1.5)) and flat.beta_depth == 0.0
 
 
 def test_seeded_thinning_is_a_subset(spark):

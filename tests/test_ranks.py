@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators.ranks import bounded_quantiles, group_quantiles, quantiles_from_runs, running_sums
+from sightline.operators.ranks import bounded_quantiles, bucketed, group_quantiles, quantiles_from_runs, running_sums
 
 PROBS = {"lo": 0.0, "a": 0.025, "m": 0.5, "b": 0.975, "hi": 1.0}
 
@@ -26,7 +26,7 @@ def test_group_quantiles_equal_percentile(values):
 
 def test_running_sums_and_quantiles_from_runs(spark, values):
     unit = values.filter("g = 0").groupBy((F.col("v") / 105).alias("u")).agg(F.count("*").alias("w")).withColumn("g", F.lit(0))
-    runs = running_sums(unit, ["g"], "u", ["w"], buckets=16)
+    runs = running_sums(unit, ["g"], "u", ["w"], rows=500)
     rows = runs.orderBy("u").collect()
     assert np.array_equal(np.cumsum([r.w for r in rows]), [r.w_run for r in rows])
     assert {r.w_all for r in rows} == {60000}
@@ -35,3 +35,13 @@ def test_running_sums_and_quantiles_from_runs(spark, values):
     whole = np.repeat([r.u for r in rows], [r.w for r in rows])
     for p in probs:
         assert got[p] == pytest.approx(np.quantile(whole, p), abs=1e-12)
+
+
+def test_packed_values_spread_over_buckets(spark):
+    """Nearly all values in a millionth of the range: no bucket holds much more than its share."""
+    u = F.when(F.col("id") < 9900, 0.5 + F.col("id") / 1e12).otherwise(F.col("id") / 1e4)
+    df = spark.range(10000).select(F.lit(1).alias("g"), u.alias("u"), F.lit(1).alias("w")).cache()
+    sizes = [r["count"] for r in bucketed(df, ["g"], "u", rows=500).groupBy("bucket").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 600 and sum(sizes) == 10000
+    rows = running_sums(df, ["g"], "u", ["w"], rows=500).orderBy("u").collect()
+    assert [r.w_run for r in rows] == list(range(1, 10001))
