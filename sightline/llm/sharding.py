@@ -117,11 +117,10 @@ def plan_shards(rows: DataFrame, shards: int = SHARDS) -> ShardPlan:
 
 
 def _celled(ranged: DataFrame, cells: list[int]) -> DataFrame:
-    many = {i: c for i, c in enumerate(cells) if c > 1}
-    count = F.lit(1)
-    for i, c in many.items():
-        count = F.when(F.col("range") == i, F.lit(c)).otherwise(count)
-    return ranged.withColumn("cell", F.pmod(F.xxhash64("key", F.lit(11)), count).cast("int") if many else F.lit(0))
+    if max(cells) == 1:
+        return ranged.withColumn("cell", F.lit(0))
+    count = F.get(F.lit(cells), F.col("range"))  # one array literal, however many ranges have several cells
+    return ranged.withColumn("cell", F.pmod(F.xxhash64("key", F.lit(11)), count).cast("int"))
 
 
 def _placed(rows: DataFrame, plan: ShardPlan) -> DataFrame:
