@@ -34,7 +34,7 @@ from sightline.llm.common import SHINGLE, mix, shingles_of, table, text_chunks,
 NEAR = 0.8
 RADIUS = 36
 BLOCKS = 8
-MAX_ITEMS = 20_000
+MAX_ITEMS = 1_200  # of one block: an item is filed 20 000 times, 240 kB, in the index of every worker
 INDEXED = 500
 SEGMENT = 4096
 
