@@ -17,6 +17,7 @@ component are null; repeated rows each give a row; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -26,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import mix, settle, shingles_of, table, text_chunks, word_hashes
+from sightline.llm.spread import join_spread
 
 NEAR, OF = 80, 100
 TILE = 1024
 CENTRAL_ROUNDS = 4
 CELL_ENTRIES = 1_000_000
 FILTER_BITS = 1 << 24
-NAME_BYTES = 6  # of a signature, besides its cell; chance equality only costs a comparison
+NAME_BYTES = 5  # of a signature, besides its cell; chance equality only costs a comparison
+CHUNK = 2 << 20
 SETS = "set bigint, n bigint"
 
 
@@ -52,6 +55,20 @@ def cells_of_band(band: np.ndarray) -> np.ndarray:
     return np.where(top <= 64, top // 2, top // 4) + 2
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: a worker serves many tasks, and what one has used adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
+    yield from text_chunks(batches, "text", CHUNK)
+    give_back()
+
+
 def text_sets(column: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     hashes, first = shingles_of(*word_hashes(column))
@@ -133,7 +150,7 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = plain.schema["key"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
+        for batch in _chunks(batches):
             sets = text_sets(batch.column(3))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64())],
@@ -149,7 +166,7 @@ def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
+        for batch in _chunks(batches):
             sets = [s for s in text_sets(batch.column(0)) if len(s)]
             if not sets:
                 continue
@@ -201,7 +218,10 @@ def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
         tile, owner, hub = tile[order], owner[order], hub[order]
         new = np.ones(len(tile), dtype=bool)
         new[1:] = (tile[1:] != tile[:-1]) | (owner[1:] != owner[:-1])
-        return pa.table({"tile": tile[new].view(np.int64), "set": owner[new], "hub": hub[new]})
+        out = pa.table({"tile": tile[new].view(np.int64), "set": owner[new], "hub": hub[new]})
+        del found, owner, hub, tile, order, new
+        give_back()
+        return out
 
     return docs.select(docs[text].alias("text")).mapInArrow(
         emit, "cell bigint, found binary, members binary, parts binary").groupBy("cell").applyInArrow(
@@ -246,7 +266,7 @@ def _contents(docs: DataFrame, key: str, text: str, wanted: DataFrame, bits: boo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(shared.value, np.uint8)
-        for batch in text_chunks(batches, "text"):
+        for batch in _chunks(batches):
             p = batch.column(0).to_numpy()
             hit = (marked[p // 8] >> (p % 8).astype(np.uint8)) & 1
             sets = [s for s in text_sets(batch.column(1).filter(pa.array(hit.astype(bool)))) if len(s)] if hit.any() else []
@@ -446,8 +466,9 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     full, empty = _labelled(docs, key, text)
+    full = settle(full.select("key", "n", "label"), "labelled")
     ids = full.groupBy("label").agg(F.min("key").alias("component_id"))
-    out = full.join(ids, "label").select("key", "n", "component_id")
+    out = join_spread(full, ids, ["label"]).select("key", "n", "component_id")
     return out.union(empty.select("key", "n", F.col("key").alias("component_id"))).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
