@@ -19,6 +19,7 @@ HEADLINE = (
     "fidelity_features", "mark_rate", "mean_gap", "jolly_seber", "c_hat", "gross_by_group",
     "point_grid_join", "nearest_line", "point_in_polygon", "thin_ferry",
     "curve_band_social", "pixel_median", "pixel_rwpci", "lloyd_step", "silhouette_by_k",
+    "wss_by_k", "pair_join", "cluster_labels", "poisson_intensity_fit",
 )
 
 
