@@ -8,8 +8,10 @@ lower bounds. Queries first look into the annuli with the smallest bounds until
 then a bound, and the queries expand to all annuli whose bound does not exceed it. Bounds are widened by a rounding
 slack and ties are kept, so the result is exact and equal scores go to the smaller id.
 
-Rows of an annulus are packed into blocks of at most ``BLOCK_ROWS`` vectors, and so are the queries, so that a task
-multiplies one block of queries with one block of vectors and emits at most ``K`` rows for each of its queries.
+Rows of an annulus are packed into blocks of about ``BLOCK_ROWS`` vectors, and so are the queries, so that a task
+multiplies one block of queries with one block of vectors and emits at most ``K`` rows for each of its queries. Blocks meet in tiles of
+``TILE`` by ``TILE`` blocks of an annulus: an annulus of any size spreads over as many join keys as it has tiles, and a block is sent once for
+every tile of its row or column. Components are kept in the smallest of 2, 4 or 8 bytes that the largest of them fits.
 
 Defined cases: rows whose id or vector is null, or whose vector holds a null, NaN or infinite component, take no part; vectors
 shorter than the longest count as padded with zeros; repeated (id, vector) rows count once, and a query's own rows, all
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,7 @@ PIVOTS = 32
 ANNULI = 16
 BLOCK_ROWS = 2048
 QUERY_ROWS = 512
+TILE = 16
 
 
 def quantised(vector: Column) -> Column:
@@ -46,14 +50,19 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & ~bad
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), dtype=np.int64)
-    for i, v in enumerate(column):
-        v = v.values.to_numpy(zero_copy_only=False)
-        out[i, :len(v)] = v
+def _matrix(column: pa.Array, width: int, kind: type = np.int64) -> np.ndarray:
+    """The vectors as rows, padded with zeros."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), width), dtype=kind)
+    out[np.arange(width) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+def smallest_kind(largest: int) -> type:
+    """The smallest integer type that holds both ``largest`` and its negative."""
+    return next(t for t in (np.int16, np.int32, np.int64) if largest <= np.iinfo(t).max)
+
+
 def _lifted(m: np.ndarray, top: float) -> np.ndarray:
     """The vectors as points of one norm, whose square is ``top``."""
     x = m.astype(np.float64)
@@ -84,7 +93,7 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     largest = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
     if largest < 1 << 52:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+    return q.astype(np.int64) @ x.astype(np.int64).T
 
 
 def _best(scores: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,17 +133,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
 
     data = settle(ready(vectors), "vectors")
     norm = F.aggregate("v", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
-    facts = data.agg(F.max(F.size("v")).alias("width"), F.max(norm).alias("top")).first()
+    most = F.greatest(F.array_max("v"), -F.array_min("v"))
+    facts = data.agg(F.max(F.size("v")).alias("width"), F.max(norm).alias("top"), F.max(most).alias("most")).first()
     if facts["width"] is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    width, top = facts["width"], facts["top"]
+    width, top, kind = facts["width"], facts["top"], smallest_kind(facts["most"] or 0)
     picked = hashed_sample(data, F.xxhash64("id"), SAMPLE).orderBy("id", "v").select("v").toArrow().column("v").combine_chunks()
     pivots = fit_pivots(_lifted(_matrix(picked, width), top), PIVOTS)
     slack = 1e-6 * (1 + np.sqrt(top))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column(1), width)
+            m = _matrix(batch.column(1), width, kind)
             d = _distances(_lifted(m, top), pivots)
             own = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([
@@ -176,7 +186,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
 
     def first_rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _matrix(batch.column(1), width)
+            q = _matrix(batch.column(1), width, kind)
             low = bounds(q)
             order = np.argsort(low, axis=1, kind="stable")
             # One candidate more than k, as the query's own row may be among them.
@@ -186,30 +196,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
                 pa.array([order[i, :n].tolist() for i, n in enumerate(need)], pa.list_(pa.int32())),
             ], names=["id", "v", "rings"])
 
-    def query_blocks(df: DataFrame) -> DataFrame:
-        """(ring_no, query ids, query rows) by annulus, packed in blocks of about ``QUERY_ROWS``."""
+    numbers = F.broadcast(spark.createDataFrame(  # at most PIVOTS * ANNULI rows
+        [(i, a[0], a[1], -(-a[2] // (BLOCK_ROWS * TILE))) for i, a in enumerate(annuli)], "no int, pivot int, ring int, bands int"))
+
+    def tiled(df: DataFrame) -> DataFrame:
+        """Blocks of vectors next to blocks of queries that ask for their annulus, brought together by tile."""
         rows = df.select("id", "v", F.explode("rings").alias("no"))
-        many = rows.groupBy("no").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("parts"))
-        rows = rows.join(F.broadcast(many), "no").withColumn("qpart", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        # At most PIVOTS * ANNULI rows, whatever the input.
+        many = F.broadcast(rows.groupBy("no").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("qparts")))
+        rows = rows.join(many, "no").withColumn("qpart", F.pmod(F.xxhash64("id"), F.col("qparts")).cast("int"))
 
         def gather(group: pa.Table) -> pa.Table:
             ids = group.column("id").to_numpy()
             return pa.table({"no": group.column("no")[:1], "qpart": group.column("qpart")[:1],
                              "q_ids": pa.array([ids.tobytes()], pa.binary()), "q_rows": pa.array([b"".join(group.column("v").to_pylist())], pa.binary())})
 
-        return rows.select("id", "v", "no", "qpart").groupBy("no", "qpart").applyInArrow(
+        asking = rows.select("id", "v", "no", "qpart").groupBy("no", "qpart").applyInArrow(
             gather, "no int, qpart int, q_ids binary, q_rows binary")
-
-    numbers = spark.createDataFrame([(i, a[0], a[1]) for i, a in enumerate(annuli)], "no int, pivot int, ring int")
-    numbered = blocks.join(F.broadcast(numbers), ["pivot", "ring"]).select("no", "ids", "rows")
+        asking = asking.join(numbers, "no").select(
+            "no", F.floor(F.col("qpart") / TILE).cast("int").alias("column"), F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"),
+            "q_ids", "q_rows")
+        held = blocks.join(numbers, ["pivot", "ring"]).join(many, "no").select(
+            "no", F.floor(F.col("part") / TILE).cast("int").alias("band"),
+            F.explode(F.sequence(F.lit(0), F.floor((F.col("qparts") - 1) / TILE).cast("int"))).alias("column"), "ids", "rows")
+        return held.join(asking, ["no", "band", "column"]).select("ids", "rows", "q_ids", "q_rows")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for ids, rows, q_ids, q_rows in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                x = np.frombuffer(rows, np.int64).reshape(len(ids), width)
-                q = np.frombuffer(q_rows, np.int64).reshape(len(q_ids), width)
+                x = np.frombuffer(rows, kind).reshape(len(ids), width)
+                q = np.frombuffer(q_rows, kind).reshape(len(q_ids), width)
                 s = _scores(q, x)
                 first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                 if len(first) < len(ids):
@@ -222,8 +240,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
 
     def answers(df: DataFrame) -> DataFrame:
-        met = numbered.join(query_blocks(df), "no").select("ids", "rows", "q_ids", "q_rows")
-        found = met.mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
+        found = tiled(df).mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     def highest(df: DataFrame) -> DataFrame:
@@ -236,7 +253,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
 
     def more_rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, width)
+            q = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).reshape(batch.num_rows, width)
             done = batch.column(2).to_pylist()
             worst = batch.column(3).to_pylist()
             low = bounds(q)
