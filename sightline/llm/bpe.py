@@ -15,15 +15,17 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm.common import bytes_of, table, text_chunks
+from sightline.llm.common import bytes_of, give_back, kept_table, table, text_chunks
 from sightline.llm.tokens import IdTable
 
+CHUNK = 2 << 20
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -137,19 +139,19 @@ class PairIndex:
         return b"".join([held[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
-@cache
 def pair_index(path: str) -> PairIndex:
-    return PairIndex(path)
+    return kept_table(("pair index", path), lambda: PairIndex(path))
 
 
 def _apply(docs: DataFrame, key: str, text: str, path: str, columns: str, make) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pair_index(path)
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", CHUNK):
             ids, first = index.encode(batch.column(1))
             parts = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
             held = make(index, parts)
             yield pa.RecordBatch.from_arrays([batch.column(0), *held.values()], names=["key", *held])
+        give_back()
 
     plain = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = plain.schema["key"].dataType.simpleString()

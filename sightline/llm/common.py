@@ -6,8 +6,10 @@ bits with numpy over whole Arrow batches, so no step works word by word in Pytho
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from sightline.session import settle, shared_path
 
 __all__ = ["table", "settle", "shared_path", "text_chunks", "bytes_of", "word_hashes", "word_places", "shingles_of", "mix", "SHINGLE", "in_shuffle_partitions",
-           "hashed_sample"]
+           "hashed_sample", "give_back", "drop_kept", "kept_table"]
 
 SHINGLE = 5
 CHUNK_BYTES = 4 << 20
@@ -47,6 +49,32 @@ def hashed_sample(df: DataFrame, hash_: Column, limit: int) -> DataFrame:
     return drawn.filter(F.col("drawn_") < math.ceil(share * (1 << 30))).orderBy("drawn_").limit(limit).drop("drawn_")
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: a worker serves many tasks, and what one has used adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+_kept: dict[str, Any] = {}
+
+
+def drop_kept() -> None:
+    """Forget what earlier tasks have kept in this worker."""
+    _kept.clear()
+    give_back()
+
+
+def kept_table(name: Hashable, make: Callable[[], Any]) -> Any:
+    """A table that a worker keeps from task to task. It keeps one: workers serve all stages of a job, so that of another
+    operator is dropped first."""
+    if _kept.get("name") != name:
+        drop_kept()
+        _kept.update(name=name, table=make())
+    return _kept["table"]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

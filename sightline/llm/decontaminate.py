@@ -21,7 +21,6 @@ are ignored by ``matches`` and kept by ``clean``. The items are a query set: the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SHINGLE, mix, shingles_of, table, text_chunks, word_hashes
+from sightline.llm.common import SHINGLE, kept_table, mix, shingles_of, table, text_chunks, word_hashes
 
 NEAR = 0.8
 RADIUS = 36
@@ -181,8 +180,7 @@ class ItemIndex:
         return [(i, at, score) for i, (score, at) in sorted(best.items())]
 
 
-@lru_cache(maxsize=2)
-def _index(texts: tuple[str, ...]) -> tuple[ItemIndex, np.ndarray] | None:
+def _build(texts: tuple[str, ...]) -> tuple[ItemIndex, np.ndarray] | None:
     words, first = word_hashes(pa.array(texts, pa.string()))
     count = np.diff(first)
     held = np.flatnonzero(count)
@@ -193,6 +191,10 @@ def _index(texts: tuple[str, ...]) -> tuple[ItemIndex, np.ndarray] | None:
     return ItemIndex(count[held], [s[ends[i]:ends[i + 1]] for i, (s, ends) in zip(held.tolist(), own)]), held
 
 
+def _index(texts: tuple[str, ...]) -> tuple[ItemIndex, np.ndarray] | None:
+    return kept_table(("items", texts), lambda: _build(texts))
+
+
 def _text_matches(column: pa.Array, texts: tuple[str, ...]) -> Iterator[tuple[int, int, int, float]]:
     """(row, item, first word, similarity) for a batch of texts."""
     built = _index(texts)

@@ -17,7 +17,6 @@ component are null; repeated rows each give a row; other columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import math
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import mix, settle, shingles_of, table, text_chunks, word_hashes
+from sightline.llm.common import drop_kept, give_back, mix, settle, shingles_of, table, text_chunks, word_hashes
 from sightline.llm.spread import join_spread
 
 NEAR, OF = 80, 100
@@ -55,16 +54,8 @@ def cells_of_band(band: np.ndarray) -> np.ndarray:
     return np.where(top <= 64, top // 2, top // 4) + 2
 
 
-def give_back() -> None:
-    """Return freed memory of this worker to the system: a worker serves many tasks, and what one has used adds up."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    give_back()
+    drop_kept()
     yield from text_chunks(batches, "text", CHUNK)
     give_back()
 
