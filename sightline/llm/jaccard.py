@@ -3,7 +3,8 @@
 Sets of word shingles are banded by size so that two linked sets lie in one band or in neighbouring ones. Within a band
 the hash space is cut into more cells than two linked sets can differ in, so they agree wholly on some cell they both
 fill: equal cell contents form the tiles in which sets meet. Nothing depends on how frequent a shingle is, so a shared
-passage brings no candidates. Tiles are first joined as stars around their smallest, largest and most central sets; a tile whose sets are then in one
+passage brings few candidates; and linked sets agree on more than one cell, namely on all that their differences cannot
+touch, so a set that shares fewer cells than that with all others together leaves its tiles. Tiles are first joined as stars around their smallest, largest and most central sets; a tile whose sets are then in one
 component needs no further look. The others are cut by size into blocks of ``TILE`` sets, and block pairs of
 compatible sizes are compared. Bit counts of hashed bitmaps bound the overlap from above for every pair, and pairs that
 pass are verified by intersecting the sorted shingle arrays. The result is exact: no cap, no sampled candidates.
@@ -31,6 +32,8 @@ from sightline.llm.spread import join_spread
 NEAR, OF = 80, 100
 TILE = 1024
 CENTRAL_ROUNDS = 4
+STRONG_ROUNDS = 2
+GROUP_BYTES = 8 << 20  # of bitmaps compared in one call
 CELL_ENTRIES = 1_000_000
 FILTER_BITS = 1 << 24
 NAME_BYTES = 5  # of a signature, besides its cell; chance equality only costs a comparison
@@ -78,37 +81,60 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _in_cells(sets: list[np.ndarray], up: int) -> tuple[np.ndarray, ...]:
+    """Sets dealt to the cells of their own band (``up`` 0) or of the next (1).
+
+    (band, first cell of every set with a closing end, cell of every shingle, hash of every shingle, whether a cell is filled,
+    number of filled cells of every set, number of shingles in which a set there and one linked with it differ at most).
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    hashed = mix(np.concatenate(sets) ^ np.uint64(0x8CB92BA72F3D8DD7))
+    band = np.searchsorted(EDGES, sizes, side="right") - 1 + up
+    cells = cells_of_band(band)
+    base = np.concatenate([[0], np.cumsum(cells)])
+    slot = ((hashed >> np.uint64(32)) * cells[owner].astype(np.uint64)) >> np.uint64(32)
+    key = base[owner] + slot.astype(np.int64)
+    filled = np.bincount(key, minlength=base[-1]) > 0
+    most = np.minimum(EDGES[band + 1] - 1, sizes * OF // NEAR)
+    differ = (sizes + np.where(most < EDGES[band], np.maximum(most, sizes), most)) // 9
+    return band, base, key, hashed, filled, np.add.reduceat(filled.astype(np.int64), base[:-1]), differ
+
+
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(signature, place of its set) of every filled cell, in the set's own band and as smaller partner of the next.
 
     Where too many cells of a set are empty for the guarantee, its empty cells have signatures too.
     """
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    hashed = mix(flat ^ np.uint64(0x8CB92BA72F3D8DD7))
     out_s, out_o = [], []
     for up in (0, 1):
-        band = np.searchsorted(EDGES, sizes, side="right") - 1 + up
-        cells = cells_of_band(band)
-        base = np.concatenate([[0], np.cumsum(cells)])
-        slot = ((hashed >> np.uint64(32)) * cells[owner].astype(np.uint64)) >> np.uint64(32)
-        key = base[owner] + slot.astype(np.int64)
+        band, base, key, hashed, filled, count, differ = _in_cells(sets, up)
         total = np.zeros(base[-1], dtype=np.uint64)
         np.add.at(total, key, hashed)
-        filled = np.bincount(key, minlength=base[-1]) > 0
-        of = np.repeat(np.arange(len(sets)), cells)
-        most = np.minimum(EDGES[band + 1] - 1, sizes * OF // NEAR)
-        differ = (sizes + np.where(most < EDGES[band], np.maximum(most, sizes), most)) // 9
-        weak = np.add.reduceat(filled.astype(np.int64), base[:-1]) <= differ
+        of = np.repeat(np.arange(len(sets)), np.diff(base))
         number = (np.arange(base[-1]) - base[of]).astype(np.uint64)
-        kept = np.flatnonzero(filled | weak[of])
+        kept = np.flatnonzero(filled | (count <= differ)[of])
         label = mix(band[of[kept]].astype(np.uint64) << np.uint64(40) | number[kept])
         out_s.append(mix(total[kept] + label))
         out_o.append(of[kept])
     return np.concatenate(out_s), np.concatenate(out_o)
 
 
+def least_shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many signatures a set shares at least with any set that it is linked with.
+
+    Every differing shingle spoils one of its filled cells at most. Where empty cells have signatures too, the other set may
+    have none for them, so only one is sure.
+    """
+    least = np.zeros(len(sets), dtype=np.int64)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        held = [sets[i] for i in full]
+        own, above = (np.maximum(count - differ, 1) for *_, count, differ in (_in_cells(held, 0), _in_cells(held, 1)))
+        least[full] = np.minimum(own, above)
+    return least
+
+
 def bitmap(held: np.ndarray) -> bytes:
     """A hashed bitmap of a set, with 8 to 16 bits for each shingle."""
     width = max(256, 1 << (8 * len(held) - 1).bit_length())
@@ -135,7 +161,7 @@ def _text_hash(text: Column) -> Column:
 
 
 def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rid, th, set, n) of every row; ``rid`` and ``th`` are hashes of the key and of the text."""
+    """(key, rid, th, set, n, need) of every row; ``rid`` and ``th`` are hashes of the key and of the text."""
     plain = docs.select(
         docs[key].alias("key"), F.xxhash64(docs[key]).alias("rid"), _text_hash(docs[text]).alias("th"), docs[text].alias("text"))
     kind = plain.schema["key"].dataType.simpleString()
@@ -144,16 +170,16 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in _chunks(batches):
             sets = text_sets(batch.column(3))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64())],
-                names=["key", "rid", "th", "set", "n"])
+                [*batch.columns[:3], pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(least_shared(sets))],
+                names=["key", "rid", "th", "set", "n", "need"])
 
-    return plain.mapInArrow(work, f"key {kind}, rid bigint, th bigint, {SETS}")
+    return plain.mapInArrow(work, f"key {kind}, rid bigint, th bigint, {SETS}, need bigint")
 
 
 def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
-    """(tile, set, hub): sets that agree on a hash cell, with the smallest of them; no tiles of one set.
+    """(tile, set, shared): sets that agree on ``shared`` hash cells; no tiles of one set.
 
-    Equal member lists have one tile id, and are listed once for each partition of cells.
+    Equal member lists have one tile id.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +228,39 @@ def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
         tile = np.zeros(len(found), np.uint64)
         if len(head):
             tile = np.repeat(mix(np.add.reduceat(mix(owner.view(np.uint64)), head) + size.astype(np.uint64)), size)
-        hub = np.repeat(owner[head], size) if len(head) else owner
         many = np.repeat(size > 1, size)
-        tile, owner, hub = tile[many], owner[many], hub[many]
+        tile, owner = tile[many], owner[many]
         order = np.lexsort((owner, tile))
-        tile, owner, hub = tile[order], owner[order], hub[order]
+        tile, owner = tile[order], owner[order]
         new = np.ones(len(tile), dtype=bool)
         new[1:] = (tile[1:] != tile[:-1]) | (owner[1:] != owner[:-1])
-        out = pa.table({"tile": tile[new].view(np.int64), "set": owner[new], "hub": hub[new]})
-        del found, owner, hub, tile, order, new
+        shared = np.diff(np.append(np.flatnonzero(new), len(new)))
+        out = pa.table({"tile": tile[new].view(np.int64), "set": owner[new], "shared": shared})
+        del found, owner, tile, order, new, shared
         give_back()
         return out
 
     return docs.select(docs[text].alias("text")).mapInArrow(
         emit, "cell bigint, found binary, members binary, parts binary").groupBy("cell").applyInArrow(
-        meet, "tile bigint, set bigint, hub bigint")
+        meet, "tile bigint, set bigint, shared bigint").groupBy("tile", "set").agg(F.sum("shared").alias("shared"))
+
+
+def _strong(tiles: DataFrame, needs: DataFrame) -> DataFrame:
+    """The rows of (tile, set, shared, ...) whose sets share enough cells in all to be linked with any other there.
+
+    Linked sets are together in the tiles of all cells that they share, so both stay, whatever else leaves.
+    """
+    enough = tiles.groupBy("set").agg(F.sum("shared").alias("all")).join(needs, "set").filter("all >= need").select("set")
+    return settle(tiles.join(enough, "set", "left_semi"), "strong")
+
+
+def _with_hubs(tiles: DataFrame, needs: DataFrame) -> DataFrame:
+    """(tile, set, shared, hub): strong sets with the smallest of their tile; no tiles of one set."""
+    for _ in range(STRONG_ROUNDS):
+        left = _strong(tiles.select("tile", "set", "shared"), needs)
+        heads = left.groupBy("tile").agg(F.min("set").alias("hub"), F.max("set").alias("last")).filter("hub < last")
+        tiles = settle(join_spread(left, heads.select("tile", "hub"), ["tile"]), "tiles")
+    return tiles
 
 
 def _marks(wanted: DataFrame, on: list[str]) -> bytes:
@@ -349,8 +393,8 @@ def _crossing(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _named(tiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tile, set, label) of the tiles whose sets are in more than one component."""
-    named = tiles.select("tile", "set").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
+    """(tile, set, shared, label) of the tiles whose sets are in more than one component."""
+    named = tiles.select("tile", "set", "shared").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
         "label", F.coalesce("label", "set"))
     mixed = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tile")
     return named.join(mixed, "tile", "left_semi")
@@ -385,9 +429,20 @@ def _block_pairs(tiles: DataFrame, held: DataFrame) -> DataFrame:
     right = ranges.select("tile", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
     met = left.join(right, "tile").filter((F.col("i") <= F.col("j")) & (F.col("hi_i") * OF >= F.col("lo_j") * NEAR))
     sides = met.select("tile", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = placed.select("tile", "block", "set", "label").join(sides, ["tile", "block"]).join(held.select("set", "n", "bits"), "set")
+    sent = settle(placed.select("tile", "block", "set", "label", "n").join(sides, ["tile", "block"]), "sent")
+    groups = max(1, math.ceil(2 * (sent.agg(F.sum("n")).first()[0] or 0) / GROUP_BYTES))  # a bitmap has 1 to 2 bytes a shingle
+    rows = sent.join(held.select("set", "bits"), "set").withColumn("group", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(groups)))
 
     def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("tile", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        tile, i, j = (group.column(c).to_numpy() for c in ("tile", "i", "j"))
+        new = np.flatnonzero((tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        starts = [0, *new.tolist(), group.num_rows]
+        found = [meet_blocks(group.slice(a, b - a)) for a, b in zip(starts, starts[1:])]
+        out = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": out[0], "b": out[1]})
+
+    def meet_blocks(group: pa.Table) -> np.ndarray:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         block, label, n, ids = (group.column(c).to_numpy() for c in ("block", "label", "n", "set"))
         maps = folded(group.column("bits").to_pylist())
@@ -402,9 +457,9 @@ def _block_pairs(tiles: DataFrame, held: DataFrame) -> DataFrame:
             out_a.append(np.minimum(ids[r], ids[c]))
             out_b.append(np.maximum(ids[r], ids[c]))
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+        return np.stack([np.concatenate([none, *out_a]), np.concatenate([none, *out_b])])
 
-    return rows.groupBy("tile", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return rows.select("group", "tile", "i", "j", "block", "set", "label", "n", "bits").groupBy("group").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -413,7 +468,8 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     nodes = sets.filter("n > 0")
     entries = nodes.agg(F.sum("n")).first()[0] or 0
     cells = max(96, math.ceil(0.65 * entries / CELL_ENTRIES))
-    tiles = settle(_tiles(docs, text, cells), "tiles")
+    needs = settle(nodes.groupBy("set").agg(F.min("need").alias("need")), "needs")
+    tiles = _with_hubs(settle(_tiles(docs, text, cells), "tiles"), needs)
     edges = settle(tiles.filter("set != hub").select("set", "hub").distinct(), "edges")
     ends = edges.select("set").union(edges.select(F.col("hub").alias("set"))).distinct()
     wanted = settle(nodes.join(ends, "set", "left_semi").groupBy("set").agg(F.min("rid").alias("rid")), "wanted")
@@ -435,18 +491,24 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
             labels = components(links)
         return any_
 
+    def still_open(left: DataFrame) -> DataFrame:
+        """A missing link lies in tiles of several components, so sets that share too few cells in those leave them."""
+        for _ in range(STRONG_ROUNDS):
+            left = _strong(_named(left, labels), needs)
+        return settle(_named(left, labels), "open-tiles")
+
     for pick in (F.min, F.max):
         join_pairs(crossing.groupBy(F.col("set").alias("a"), "other").agg(pick("hub").alias("b")))
         crossing = settle(_crossing(edges, labels), "crossing")
     if not crossing.isEmpty():
         open_ = _sifted(tiles, crossing, ["set", "hub"]).select("tile").distinct()
-        left = _sifted(tiles.select("tile", "set"), settle(open_, "open"), ["tile"]).distinct()
+        left = _sifted(tiles.select("tile", "set", "shared"), settle(open_, "open"), ["tile"])
         degrees = settle(tiles.groupBy("set").agg(F.count("*").alias("degree")), "degrees")
-        left = settle(_named(left, labels), "open-tiles")
+        left = still_open(left)
         for _ in range(CENTRAL_ROUNDS):
             if left.isEmpty() or not join_pairs(_central(left, degrees)):
                 break
-            left = settle(_named(left, labels), "open-tiles")
+            left = still_open(left)
         if not left.isEmpty():
             join_pairs(_block_pairs(left, marks))
     full = nodes.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(

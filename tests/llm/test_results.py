@@ -386,3 +386,26 @@ def test_pipeline_stages(spark):
         docs = after
     run = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert run == {i: r.ids_sha256 for i, r in kept.items()}
+
+
+def test_linked_sets_share_the_cells_they_need():
+    rng = np.random.default_rng(7)
+    for size in (1, 2, 5, 9, 10, 31, 64, 65, 200, 1000):
+        for _ in range(20):
+            a = np.unique(rng.integers(1, 1 << 63, size).astype(np.uint64))
+            gone = int(rng.integers(0, len(a) // 5 + 1))
+            b = a[gone:]
+            more = rng.integers(1, 1 << 63, int(rng.integers(0, max(1, len(a) // 4)))).astype(np.uint64)
+            b = np.unique(np.concatenate([b, more]))
+            overlap = len(np.intersect1d(a, b))
+            if not jaccard.linked(overlap, len(a), len(b)):
+                continue
+            found, of = jaccard.signatures([a, b])
+            shared = len(np.intersect1d(found[of == 0], found[of == 1]))
+            assert shared >= jaccard.least_shared([a, b]).max() >= 1
+
+
+def test_needs_of_empty_sets():
+    none = np.zeros(0, np.uint64)
+    assert jaccard.least_shared([none, np.array([5], np.uint64), none]).tolist() == [0, 1, 0]
+    assert jaccard.least_shared([]).tolist() == []
