@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.operators import intensity as it
 from sightline.operators.ranks import bounded_quantiles, bucketed, group_quantiles, quantiles_from_runs, running_sums
+from sightline.sources import fixtures as fx
 
 PROBS = {"lo": 0.0, "a": 0.025, "m": 0.5, "b": 0.975, "hi": 1.0}
 
@@ -45,3 +47,49 @@ def test_packed_values_spread_over_buckets(spark):
     assert len(sizes) == 20 and max(sizes) <= 600 and sum(sizes) == 10000
     rows = running_sums(df, ["g"], "u", ["w"], rows=500).orderBy("u").collect()
     assert [r.w_run for r in rows] == list(range(1, 10001))
+
+
+def _below(plan, node):
+    """The subtrees of a printed plan whose top names ``node``."""
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*|")) for line in lines]
+    for i, line in enumerate(lines):
+        if node in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_values_of_draws_are_not_broadcast(spark, tmp_path):
+    """Each draw makes 71 values; Spark takes them for as small as the draws, and only the brackets may travel."""
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: ((F.col("id") * k % 89) / 89).cast("float"))
+    rows = spark.range(40000).select(F.col("id").alias("vec_id"), vector.alias("embedding"), F.lit(0).alias("label"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    draws = fx.draws(spark, str(tmp_path))
+    found = group_quantiles(it.curve_social(draws), ["i"], "value", it.BAND)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # joins are settled when the sizes before the explode are known
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        assert len(found.collect()) == 71
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    sent = list(_below(found._jdf.queryExecution().executedPlan().toString(), "BroadcastExchange"))
+    assert sent and not any("Generate" in s and "sequence" in s for s in sent)
+
+
+def test_brackets_narrow_to_the_wanted_ranks(spark, frame):
+    """Ties, infinities, NaN, negative numbers and tiny ones, in more groups than an object aggregate holds."""
+    inf, nan = float("inf"), float("nan")
+    odd = [-inf, -1e300, -3.5, -1e-9, -0.0, 0.0, 1e-12, 2.0, 2.0, 2.0, 7.25, 1e300, inf, nan]
+    rows = [(g, v) for g in range(150) for v in ([odd[(g + j) % 14] for j in range(g % 5 + 1)] if g % 3 else [g + j * j / 7 for j in range(40)])]
+    df = frame(rows + [(0, None)], "g int, v double")
+    want = {r.g: tuple(r)[1:] for r in bounded_quantiles(df, ["g"], "v", PROBS).select("g", *PROBS).collect()}
+    for bound in (0, 10, 10 ** 6):
+        got = {r.g: tuple(r)[1:] for r in group_quantiles(df, ["g"], "v", PROBS, rows=bound).select("g", *PROBS).collect()}
+        assert got.keys() == want.keys()
+        for g in want:
+            assert got[g] == pytest.approx(want[g], rel=1e-12, nan_ok=True)
+    whole = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") * 10 ** 15 - 10 ** 18).alias("v"))
+    got, want = ([tuple(r) for r in f.select("g", *PROBS).orderBy("g").collect()] for f in (
+        group_quantiles(whole, ["g"], "v", PROBS, rows=3), bounded_quantiles(whole, ["g"], "v", PROBS)))
+    assert got == want
