@@ -21,7 +21,8 @@ BETA0, BETA_DEPTH = -4.0, -1.0
 DISTANCE_LIMIT, KNOTS = 7.0, 5
 SOCIAL_TENTHS, FERRY_TENTHS = (-40, 30), (0, 70)
 
-DRAWS_IN_ONE_GROUP = 100_000
+DRAWS_IN_ONE_GROUP = 4_096
+CELL_BLOCKS = 64
 NEWTON_STEPS = 25
 BAND = {"m": 0.5, "q1": 0.025, "q2": 0.975}
 QUARTILES = {"m": 0.5, "q25": 0.25, "q75": 0.75}
@@ -132,17 +133,25 @@ def _spread(draws: DataFrame) -> DataFrame:
     return draws.repartition(tasks, "draw")
 
 
-def predict_draws(draws: DataFrame, pixels: DataFrame, n_cells: int) -> DataFrame:
+def predict_draws(draws: DataFrame, pixels: DataFrame, n_cells: int, blocks: int | None = None) -> DataFrame:
     """exp(b0 + b1 depth) for every draw and pixel.
 
     ``pixels`` holds cell (0 .. n_cells - 1) and depth, and may hold a ``field`` term. Each draw
-    generates the cell numbers, which then meet the pixel table by an equi-join.
+    generates the cell numbers, which then meet the pixel table, of at most ``n_cells`` rows, where they are. With ``blocks``, tasks
+    share the cells instead of the draws: one task sees all draws of a cell, so a count by cell moves one row a cell.
     """
     field = F.coalesce("field", F.lit(0.0)) if "field" in pixels.columns else F.lit(0.0)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).alias("cell")
     value = F.exp(log_intensity(F.col("depth"), F.col("b0"), F.col("b1")) + field)
-    expanded = _spread(draws.select("draw", "b0", "b1")).select("draw", "b0", "b1", cells)
-    return expanded.join(pixels, "cell").select("draw", "cell", value.alias("value"))
+    own = draws.select("draw", "b0", "b1")
+    if blocks is None:
+        spread, low, high = _spread(own), F.lit(0), F.lit(n_cells - 1)
+    else:
+        size = -(-n_cells // blocks)
+        numbers = F.explode(F.sequence(F.lit(0), F.lit((n_cells - 1) // size))).alias("block")
+        spread = own.select("*", numbers).repartitionByRange(blocks, "block")
+        low, high = F.col("block") * size, F.least((F.col("block") + 1) * size, F.lit(n_cells)) - 1
+    expanded = spread.select("draw", "b0", "b1", F.explode(F.sequence(low, high)).alias("cell"))
+    return expanded.join(F.broadcast(pixels), "cell").select("draw", "cell", value.alias("value"))
 
 
 def curve_social(draws: DataFrame) -> DataFrame:
@@ -165,7 +174,7 @@ def curve_ferry(draws: DataFrame) -> DataFrame:
 
 def over_draws(values: DataFrame, keys: list[str], probs: dict[str, float], draws: DataFrame) -> DataFrame:
     """Quantiles over draws. A group holds one value per draw: when the draws are few (checked) they
-    are ranked in one aggregation buffer, otherwise by the distributed form."""
+    are ranked in one aggregation buffer, otherwise by the distributed form, which moves counts instead of values."""
     if is_small(draws, DRAWS_IN_ONE_GROUP):
         return bounded_quantiles(values, keys, "value", probs)
     return group_quantiles(values, keys, "value", probs)

@@ -450,9 +450,9 @@ def predict_draws(spark, sf):
     return it.predict_draws(fx.draws(spark, sf), _pixels(spark, 20), 400).withColumn("value", r("value"))
 
 
-def _lattice_draws(spark, draws):
+def _lattice_draws(spark, draws, blocks=None):
     """Every draw on every pixel of the full lattice."""
-    return it.predict_draws(draws, _pixels(spark, LATTICE), LATTICE ** 2)
+    return it.predict_draws(draws, _pixels(spark, LATTICE), LATTICE ** 2, blocks)
 
 
 @query("predict_draws_lattice", f"""SELECT draw, count(*) AS n, {q('avg(value)')} AS m, {q('min(value)')} AS lo, {q('max(value)')} AS hi
@@ -465,7 +465,7 @@ def predict_draws_lattice(spark, sf):
 
 def _pixel_quantiles(spark, sf, probs):
     draws = fx.draws(spark, sf)
-    return it.over_draws(_lattice_draws(spark, draws), ["cell"], probs, draws)
+    return it.over_draws(_lattice_draws(spark, draws, it.CELL_BLOCKS), ["cell"], probs, draws)
 
 
 _PIXEL = "SELECT CAST(cell AS INT) AS cell, {} FROM (SELECT cell, exp(b0 + b1 * z) AS value FROM draws, cells200) GROUP BY cell"

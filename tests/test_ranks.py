@@ -93,3 +93,14 @@ def test_brackets_narrow_to_the_wanted_ranks(spark, frame):
     got, want = ([tuple(r) for r in f.select("g", *PROBS).orderBy("g").collect()] for f in (
         group_quantiles(whole, ["g"], "v", PROBS, rows=3), bounded_quantiles(whole, ["g"], "v", PROBS)))
     assert got == want
+
+
+def test_a_task_sees_all_draws_of_its_cells(spark):
+    """Counts by cell of ``blocks`` tasks have each cell once; values are those of draws spread over tasks."""
+    draws = spark.range(300).select(F.col("id").alias("draw"), (F.col("id") / 300).alias("b0"), (-F.col("id") / 900).alias("b1"))
+    pixels = spark.range(0, 103, 2).select(F.col("id").cast("int").alias("cell"), (F.col("id") / 7).alias("depth"))
+    blocked = it.predict_draws(draws, pixels, 103, 5)
+    held = blocked.withColumn("task", F.spark_partition_id()).select("cell", "task").distinct().groupBy("cell").count()
+    assert {r["count"] for r in held.collect()} == {1} and held.count() == 52
+    rows = [sorted(tuple(r) for r in f.collect()) for f in (blocked, it.predict_draws(draws, pixels, 103))]
+    assert rows[0] == rows[1] and len(rows[0]) == 300 * 52
