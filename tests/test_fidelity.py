@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from sightline.operators import calendar, counts, fidelity
 from sightline.sources import fixtures as fx
 from tests.conftest import SMALL
@@ -69,3 +71,14 @@ def test_month_without_marked_individuals(frame):
     out = counts.distinct_individuals(frame(rows, "id bigint, mark_level string, sdate date"))
     got = {(r.y, r.m): (r.n, r.n_wm, r.theta) for r in out.collect()}
     assert got == {(None, None): (2, 1, 0.5), (2017, None): (2, 1, 0.5), (2017, 1): (2, 1, 0.5), (2017, 2): (1, 0, 0.0)}
+
+
+def test_dense_days_spread_over_tasks(spark, frame, monkeypatch):
+    """However few bytes the sightings take, a task generates the days of a bounded number of individuals, whole ones."""
+    monkeypatch.setattr(fidelity, "IDS_IN_A_TASK", 20, raising=False)
+    days = frame([(i, D(2017, 1 + i % 12, 1 + j)) for i in range(400) for j in range(2)], "id bigint, sdate date")
+    dense = fidelity.dense_days(days, days.select("id").distinct()).withColumn("task", F.spark_partition_id())
+    held = dense.groupBy("id").agg(F.count_distinct("task").alias("tasks"), F.max("task").alias("task"), F.count("*").alias("n")).collect()
+    assert {(r.tasks, r.n) for r in held} == {(1, 24)} and len(held) == 400
+    counts = [sum(r.task == t for r in held) for t in {r.task for r in held}]
+    assert max(counts) <= 60 and len(counts) > 10
