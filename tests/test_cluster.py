@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,34 @@ def test_scores_reproduce_the_distances(table):
     pcs = np.array([tuple(r)[1:] for r in cl.pca_scores(z, len(FEATURES)).orderBy("id").collect()])
     raw = np.array([tuple(r)[1:] for r in z.orderBy("id").select("id", *FEATURES).collect()])
     assert ((pcs[0] - pcs[50]) ** 2).sum() == pytest.approx(((raw[0] - raw[50]) ** 2).sum())
+
+
+def test_products_of_stripes_equal_all_pairs(spark):
+    """Clusters of several sizes, one value of a feature in half the rows, weights: stripes in both directions give all pairs' products."""
+    rng = np.random.default_rng(5)
+    n = 900
+    x = np.round(rng.random((n, len(FEATURES))), 3)
+    x[: n // 2, 0], x[:, 5] = 0.25, np.round(x[:, 5] * 4) / 4
+    x = np.concatenate([x, x[:50]])
+    c = np.concatenate([rng.choice(3, n, p=[0.7, 0.27, 0.03]), np.zeros(50, int)])
+    df = spark.createDataFrame([(1, int(k), *map(float, v)) for k, v in zip(c, x)], "k int, c int, " + ", ".join(f"{f} double" for f in FEATURES))
+    tuples = df.groupBy("k", "c", *FEATURES).agg(F.count("*").alias("w"))
+    striped = cl._striped(tuples, FEATURES, 60).select("c", "span_time_rel", F.get("codes", F.lit(0)).alias("code"), F.size("codes").alias("n")).collect()
+    assert {r.n for r in striped if r.c == 2} == {0} and {r.n for r in striped if r.c < 2} == {6}
+    assert all(r.code % 2 == 1 for r in striped if r.n and r.span_time_rel == 0.25)  # the heavy value fills no stripe between borders
+    for rows in (60, 300, 10 ** 6):
+        got = {(r.c, r.pair): r.products for r in cl.feature_products(df, FEATURES, rows).collect()}
+        assert len(got) == 45
+        for (k, pair), products in got.items():
+            a, b = (x[c == k][:, FEATURES.index(f)] for f in pair.split("*"))
+            assert products == pytest.approx((np.abs(a[:, None] - a) * np.abs(b[:, None] - b)).sum() / 2, rel=1e-9)
+
+
+def test_pair_products_memory_does_not_grow_with_its_squares():
+    rng = np.random.default_rng(9)
+    x, y = rng.random(60_000), rng.random(60_000)
+    tracemalloc.start()
+    pair_products(x, y, np.ones(60_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 * 60_000  # 1300 bytes a row with all squares of the first step at once
