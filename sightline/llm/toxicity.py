@@ -314,7 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # ``wanted`` has at most 2 * SAMPLE rows, so it may be broadcast.
     rows = texts.join(F.broadcast(wanted), "key").select("text", "y").toArrow().to_pydict()
     held = list(zip(rows["y"], rows["text"]))
-    return train(sorted(t for y, t in held if y == 1), sorted(t for y, t in held if y == 0))
+    model = train(sorted(t for y, t in held if y == 1), sorted(t for y, t in held if y == 0))
+    del rows, held
+    give_back()  # the driver's process goes on for the rest of the job
+    return model
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
