@@ -38,15 +38,16 @@ def merge_cost(a: Column, b: Column, columns: tuple[str, ...]) -> Column:
     return a["w"] * b["w"] / (a["w"] + b["w"]) * (gower * gower)
 
 
-def _adjacent(clusters: DataFrame, feature: str, columns: tuple[str, ...], parts: int) -> DataFrame:
-    """(a, b): each cluster with the next one in the order of a feature and of the cluster number."""
-    ranged = settle(clusters.repartitionByRange(parts, feature, "cluster").withColumn("part", F.spark_partition_id()), "ordered")
-    one = F.struct("cluster", "w", *columns)
-    inside = ranged.select(one.alias("a"), F.lead(one).over(Window.partitionBy("part").orderBy(feature, "cluster")).alias("b"))
-    ends = ranged.groupBy("part").agg(*[f(F.struct(F.col(feature).alias("at"), "cluster", "w", *columns)).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
-    over = Window.partitionBy(F.lit(0)).orderBy("part")
+def _adjacent(clusters: DataFrame, columns: tuple[str, ...], parts: int) -> DataFrame:
+    """(a, b): each cluster with the next one in the order of each feature and of the cluster number; all features in one job."""
     fields = ("cluster", "w", *columns)
-    border = ends.select("last", F.lead("first").over(over).alias("next")).filter("next IS NOT NULL")
+    orders = [clusters.select(F.lit(i).alias("feature"), F.col(c).alias("at"), *fields).repartitionByRange(parts, "at", "cluster")
+              for i, c in enumerate(columns)]
+    ranged = settle(reduce(DataFrame.union, orders).withColumn("part", F.spark_partition_id()), "ordered")
+    one = F.struct(*fields)
+    inside = ranged.select(one.alias("a"), F.lead(one).over(Window.partitionBy("feature", "part").orderBy("at", "cluster")).alias("b"))
+    ends = ranged.groupBy("feature", "part").agg(*[f(F.struct("at", *fields)).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
+    border = ends.select("last", F.lead("first").over(Window.partitionBy("feature").orderBy("part")).alias("next")).filter("next IS NOT NULL")
     return inside.filter("b IS NOT NULL").union(border.select(*[
         F.struct(*[F.col(side)[c].alias(c) for c in fields]).alias(n) for side, n in (("last", "a"), ("next", "b"))]))
 
@@ -54,7 +55,7 @@ def _adjacent(clusters: DataFrame, feature: str, columns: tuple[str, ...], parts
 def merge_round(clusters: DataFrame, count: int, k: int, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """(cluster, into, w, features) of the clusters that merge in this round."""
     parts = max(2, -(-count // RANGE_ROWS))
-    pairs = reduce(DataFrame.union, [_adjacent(clusters, c, columns, parts) for c in columns])
+    pairs = _adjacent(clusters, columns, parts)
     swap = F.col("a.cluster") > F.col("b.cluster")
     ends = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     costed = ends.select("a", "b", F.struct(
@@ -81,8 +82,8 @@ def merged_rows(numbers: np.ndarray, weight: np.ndarray, features: np.ndarray, k
         pairs = []
         for x in f:
             line = live[np.lexsort((live, x[live]))]
-            pairs.append(np.sort(np.stack([line[:-1], line[1:]]), axis=0))
-        lo, hi = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            pairs.append(np.minimum(line[:-1], line[1:]) * len(numbers) + np.maximum(line[:-1], line[1:]))
+        lo, hi = np.divmod(np.unique(np.concatenate(pairs)), len(numbers))
         gower = np.zeros(len(lo))
         for i, x in enumerate(f):
             part = np.abs(x[lo] - x[hi])

@@ -156,3 +156,13 @@ def test_pair_products_memory_does_not_grow_with_its_squares():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 500 * 60_000  # 1300 bytes a row with all squares of the first step at once
+
+
+def test_neighbours_of_all_features_in_one_table(spark):
+    """Ties go by the cluster number, and ranges pass their outermost clusters on: each order has every step once."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((60, len(FEATURES))), 1)
+    df = spark.createDataFrame([(i, 1.0, *map(float, v)) for i, v in enumerate(x)], "cluster bigint, w double, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = sorted((r.a.cluster, r.b.cluster) for r in hy._adjacent(df, FEATURES, 5).collect())
+    orders = [np.lexsort((np.arange(60), v)).tolist() for v in x.T]
+    assert got == sorted(step for line in orders for step in zip(line, line[1:]))
