@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm.common import bytes_of, give_back, kept_table, table, text_chunks
+from sightline.llm.common import bytes_of, kept_table, table, text_chunks, tidy
 from sightline.llm.tokens import IdTable
 
 CHUNK = 2 << 20
@@ -151,11 +151,10 @@ def _apply(docs: DataFrame, key: str, text: str, path: str, columns: str, make)
             parts = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
             held = make(index, parts)
             yield pa.RecordBatch.from_arrays([batch.column(0), *held.values()], names=["key", *held])
-        give_back()
 
     plain = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = plain.schema["key"].dataType.simpleString()
-    return plain.mapInArrow(work, f"key {kind}, {columns}").withColumnRenamed("key", key)
+    return plain.mapInArrow(tidy(work), f"key {kind}, {columns}").withColumnRenamed("key", key)
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sightline.session import settle, shared_path
 
 __all__ = ["table", "settle", "shared_path", "text_chunks", "bytes_of", "word_hashes", "word_places", "shingles_of", "mix", "SHINGLE", "in_shuffle_partitions",
-           "hashed_sample", "give_back", "drop_kept", "kept_table"]
+           "hashed_sample", "give_back", "tidy", "drop_kept", "kept_table"]
 
 SHINGLE = 5
 CHUNK_BYTES = 4 << 20
@@ -57,6 +57,15 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives memory back at its end, when its own variables, the last batch among them, are gone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 _kept: dict[str, Any] = {}
 
 

@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SHINGLE, kept_table, mix, shingles_of, table, text_chunks, word_hashes
+from sightline.llm.common import SHINGLE, give_back, kept_table, mix, shingles_of, table, text_chunks, tidy, word_hashes
 
 NEAR = 0.8
 RADIUS = 36
 BLOCKS = 8
-MAX_ITEMS = 1_200  # of one block: an item is filed 20 000 times, 240 kB, in the index of every worker
-INDEXED = 500
+MAX_ITEMS = 1_200  # of one block: an item is filed 20 000 times, 80 kB, in the index of every worker
 SEGMENT = 4096
+PROBED = 1 << 18  # (window, item) pairs looked at in one step
+CHUNK = 2 << 20
 
 
 def _near_masks() -> np.ndarray:
@@ -112,20 +113,21 @@ class ItemIndex:
         self.table[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.prints = np.concatenate([fingerprints(signs(numbered(s)).sum(axis=0, keepdims=True)) for s in shingles])
         self.lengths = np.unique(sizes)
-        near, self.keys, self.items = _near_masks(), [], []
-        rank = np.searchsorted(self.lengths, sizes).astype(np.int64)
-        for part in range(0, len(sizes), INDEXED):
-            own = np.arange(part, min(part + INDEXED, len(sizes)), dtype=np.int32)
-            keys, items = [], []
-            for block in range(BLOCKS):
-                value = self.prints[own, block][:, None] ^ near
-                key = (rank[own][:, None] * BLOCKS + block) << 16 | value
-                order = np.argsort(key, axis=None)
-                keys.append(key.ravel()[order])
-                items.append(np.repeat(own, len(near))[order])
-            order = np.argsort(np.concatenate(keys), kind="stable")
-            self.keys.append(np.concatenate(keys)[order])
-            self.items.append(np.concatenate(items)[order])
+        near = _near_masks()
+        self.items = [np.flatnonzero(sizes == size) for size in self.lengths.tolist()]
+        self.keys = [self._filed(self.prints[own], near) for own in self.items]
+
+    @staticmethod
+    def _filed(prints: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """For each block the sorted (neighbour, place of the item among those of its size) entries, one number each."""
+        kind = np.uint32 if len(prints) <= 1 << 16 else np.uint64
+        bits = kind(np.dtype(kind).itemsize * 4)
+        out = np.empty((BLOCKS, len(prints) * len(near)), kind)
+        place = np.arange(len(prints), dtype=kind)[:, None]
+        for block in range(BLOCKS):
+            np.bitwise_or((prints[:, block, None] ^ near).astype(kind) << bits, place, out=out[block].reshape(len(prints), len(near)))
+            out[block].sort()
+        return out
 
     def has(self, shingles: np.ndarray) -> np.ndarray:
         """Which shingles occur in some item."""
@@ -136,20 +138,27 @@ class ItemIndex:
 
     def candidates(self, prints: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs of one size within ``RADIUS``."""
+        own, keys = self.items[rank], self.keys[rank]
+        bits = keys.dtype.type(keys.dtype.itemsize * 4)
+        low = keys.dtype.type((1 << int(bits)) - 1)
         windows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for keys, held in zip(self.keys, self.items):
+        step = max(1, PROBED // len(own))
+        for part in range(0, len(prints), step):
+            near = prints[part:part + step]
+            met = []
             for block in range(BLOCKS):
-                key = (rank * BLOCKS + block) << 16 | prints[:, block].astype(np.int64)
-                a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+                key = near[:, block].astype(keys.dtype) << bits
+                a, b = np.searchsorted(keys[block], key), np.searchsorted(keys[block], key | low, side="right")
                 count = b - a
-                w = np.repeat(np.arange(len(prints)), count)
+                w = np.repeat(np.arange(len(near)), count)
                 at = np.arange(len(w)) + np.repeat(a - (np.cumsum(count) - count), count)
-                windows.append(w)
-                items.append(held[at])
-        pairs = np.unique(np.concatenate(windows) * len(self.sizes) + np.concatenate(items))
-        w, i = pairs // len(self.sizes), pairs % len(self.sizes)
-        close = np.bitwise_count(prints[w] ^ self.prints[i]).sum(axis=1) <= RADIUS
-        return w[close], i[close]
+                met.append(w * len(own) + (keys[block][at] & low).astype(np.int64))
+            pairs = np.unique(np.concatenate(met))
+            w, i = pairs // len(own), own[pairs % len(own)]
+            close = np.bitwise_count(near[w] ^ self.prints[i]).sum(axis=1) <= RADIUS
+            windows.append(w[close] + part)
+            items.append(i[close])
+        return np.concatenate(windows), np.concatenate(items)
 
     def matches(self, shingles: np.ndarray, words: int, width: int) -> list[tuple[int, int, float]]:
         """(item, first word, similarity) of the best window of every item that a text holds.
@@ -192,7 +201,12 @@ def _build(texts: tuple[str, ...]) -> tuple[ItemIndex, np.ndarray] | None:
 
 
 def _index(texts: tuple[str, ...]) -> tuple[ItemIndex, np.ndarray] | None:
-    return kept_table(("items", texts), lambda: _build(texts))
+    def make() -> tuple[ItemIndex, np.ndarray] | None:
+        built = _build(texts)
+        give_back()
+        return built
+
+    return kept_table(("items", texts), make)
 
 
 def _text_matches(column: pa.Array, texts: tuple[str, ...]) -> Iterator[tuple[int, int, int, float]]:
@@ -232,7 +246,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, texts = sent.value
-            for batch in text_chunks(batches, "text"):
+            for batch in text_chunks(batches, "text", CHUNK):
                 found = list(_text_matches(batch.column(1), texts))
                 if found:
                     rows, item_at, start, score = zip(*found)
@@ -241,7 +255,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                         pa.array(start, pa.int64()), pa.array(score, pa.float64()),
                     ], names=["key", "item", "start_word", "similarity"])
 
-        part = plain.mapInArrow(work, schema)
+        part = plain.mapInArrow(tidy(work), schema)
         out = part if out is None else out.union(part)
     return out.withColumnsRenamed({"key": key, "item": item})
 
@@ -253,13 +267,13 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
         sent = docs.sparkSession.sparkContext.broadcast(texts)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in text_chunks(batches, text):
+            for batch in text_chunks(batches, text, CHUNK):
                 kept = np.ones(batch.num_rows, dtype=bool)
                 column = batch.column(batch.schema.get_field_index(text))
                 kept[[row for row, *_ in _text_matches(column, sent.value)]] = False
                 yield batch.filter(pa.array(kept))
 
-        out = out.mapInArrow(work, out.schema)
+        out = out.mapInArrow(tidy(work), out.schema)
     return out
 
 

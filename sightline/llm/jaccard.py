@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import drop_kept, give_back, mix, settle, shingles_of, table, text_chunks, word_hashes
+from sightline.llm.common import drop_kept, give_back, mix, settle, shingles_of, table, text_chunks, tidy, word_hashes
 from sightline.llm.spread import join_spread
 
 NEAR, OF = 80, 100
@@ -60,7 +60,6 @@ def cells_of_band(band: np.ndarray) -> np.ndarray:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     drop_kept()
     yield from text_chunks(batches, "text", CHUNK)
-    give_back()
 
 
 def text_sets(column: pa.Array) -> list[np.ndarray]:
@@ -173,7 +172,7 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 [*batch.columns[:3], pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(least_shared(sets))],
                 names=["key", "rid", "th", "set", "n", "need"])
 
-    return plain.mapInArrow(work, f"key {kind}, rid bigint, th bigint, {SETS}, need bigint")
+    return plain.mapInArrow(tidy(work), f"key {kind}, rid bigint, th bigint, {SETS}, need bigint")
 
 
 def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
@@ -241,7 +240,7 @@ def _tiles(docs: DataFrame, text: str, cells: int) -> DataFrame:
         return out
 
     return docs.select(docs[text].alias("text")).mapInArrow(
-        emit, "cell bigint, found binary, members binary, parts binary").groupBy("cell").applyInArrow(
+        tidy(emit), "cell bigint, found binary, members binary, parts binary").groupBy("cell").applyInArrow(
         meet, "tile bigint, set bigint, shared bigint").groupBy("tile", "set").agg(F.sum("shared").alias("shared"))
 
 
@@ -287,7 +286,7 @@ def _sifted(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
             hit = (marked[p // 8] >> (p % 8).astype(np.uint8)) & 1
             yield batch.filter(pa.array(hit.astype(bool))).select(range(batch.num_columns - 1))
 
-    return df.withColumn("place_", place).mapInArrow(work, df.schema).join(wanted.select(*on).distinct(), on, "left_semi")
+    return df.withColumn("place_", place).mapInArrow(tidy(work), df.schema).join(wanted.select(*on).distinct(), on, "left_semi")
 
 
 def _contents(docs: DataFrame, key: str, text: str, wanted: DataFrame, bits: bool) -> DataFrame:
@@ -311,7 +310,7 @@ def _contents(docs: DataFrame, key: str, text: str, wanted: DataFrame, bits: boo
                     pa.array([bitmap(s) if bits else _packed(s) for s in sets], pa.binary()),
                 ], names=["set", "n", "data"])
 
-    return rows.mapInArrow(work, f"{SETS}, data binary")
+    return rows.mapInArrow(tidy(work), f"{SETS}, data binary")
 
 
 def _packed(held: np.ndarray) -> bytes:
@@ -344,7 +343,7 @@ def _bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
         return marks.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("data").alias(f"bits_{c}"))
 
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(work, "a bigint, b bigint")
+        "a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidy(work), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -362,7 +361,7 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     def side(c: str) -> DataFrame:
         return contents.select(F.col("set").alias(c), F.col("data").alias(f"all_{c}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "all_a", "all_b").mapInArrow(work, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "all_a", "all_b").mapInArrow(tidy(work), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

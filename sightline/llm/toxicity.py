@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import drop_kept, give_back, mix, shingles_of, table, text_chunks, word_hashes
+from sightline.llm.common import drop_kept, give_back, mix, shingles_of, table, text_chunks, tidy, word_hashes
 
 SAMPLE = 4000
 LEAST_RATIO = 8.0
@@ -334,10 +334,8 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())],
                 names=["key", "held_out", "score", "predicted"])
-        del score
-        give_back()
 
-    return plain.mapInArrow(work, f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+    return plain.mapInArrow(tidy(work), f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -350,10 +348,8 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in text_chunks(batches, text):
             column = batch.column(batch.schema.get_field_index(text))
             yield batch.filter(pa.array([score(t or "") < threshold for t in column.to_pylist()], pa.bool_()))
-        del score
-        give_back()
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
 
 
 def op8_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
