@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm.common import bytes_of, kept_table, table, text_chunks, tidy
+from sightline.llm.common import bytes_of, give_back, kept_table, table, text_chunks, tidy
 from sightline.llm.tokens import IdTable
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20  # of text; arrays over its pre-tokens and ids take about 30 times as much
 
 
 def byte_letters() -> dict[int, str]:
@@ -140,7 +140,12 @@ class PairIndex:
 
 
 def pair_index(path: str) -> PairIndex:
-    return kept_table(("pair index", path), lambda: PairIndex(path))
+    def make() -> PairIndex:
+        index = PairIndex(path)
+        give_back()
+        return index
+
+    return kept_table(("pair index", path), make)
 
 
 def _apply(docs: DataFrame, key: str, text: str, path: str, columns: str, make) -> DataFrame:
