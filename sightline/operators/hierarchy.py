@@ -1,15 +1,15 @@
 """Hierarchical grouping of weighted feature tuples under the Gower dissimilarity, with the Ward criterion.
 
 Individuals with equal features are one tuple with a weight. A cluster is its weight and its mean features; joining two
-costs ``w1 w2 / (w1 + w2)`` times their squared Gower dissimilarity. Clusters that stand next to each other in the
-order of some feature are candidates, at most twelve for each cluster, so a round looks at rows in proportion to the clusters
-and never at all pairs. In a round every cluster names its cheapest candidate, and clusters that name each other merge; at
-least the cheapest pair of all does. Rounds go on until ``k`` clusters are left, and the last one merges only as many
-pairs, cheapest first, as that takes.
-
-While there are more than ``TAIL`` clusters a round is a Spark job: one range partitioning for each feature, whose borders pass
-the outermost clusters to each other. The rest of the rounds run over at most ``TAIL`` rows in one task, by the same arithmetic in the
-same order, so the result does not depend on where the change falls.
+costs ``w1 w2 / (w1 + w2)`` times their squared Gower dissimilarity. In a round every cluster names its cheapest partner among
+all others, and clusters that name each other merge; at least the cheapest pair of all does. Rounds go on until ``k`` clusters
+are left, and the last one merges only as many pairs, cheapest first, as that takes. The search for partners is exact but skips
+the clusters that a bound rules out (``partners.py``), so it does not form all pairs.
+
+While there are more than ``TAIL`` clusters a round is a Spark job. The neighbours in the order of each feature give every cluster
+a first partner, the other clusters of its block a better one, and it then asks those blocks that may still hold a cheaper one.
+The rest of the rounds run over at most ``TAIL`` rows in one task, by the same arithmetic in the same order, so the result does not
+depend on where the change falls.
 """
 
 from __future__ import annotations
@@ -22,15 +22,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.fidelity import FEATURES
+from sightline.operators.partners import CELLS, NOBODY, Leaves, box_bound, cheapest_partners, look_up
 from sightline.session import settle
 
 TAIL = 65_536
 RANGE_ROWS = 200_000
+BLOCK_ROWS = 8192
+BORDER_ROWS = 65_536
+ASK_ROWS = 65_536
 
 
 def weighted_tuples(scaled: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Distinct tuples as clusters: ``cluster`` is the smallest id, ``w`` the number of individuals."""
-    return scaled.groupBy(*columns).agg(F.min("id").alias("cluster"), F.count("*").cast("double").alias("w")).select("cluster", "w", *columns)
+    """Distinct tuples as clusters: ``cluster`` is the smallest id (the last number, if there is none), ``w`` the number of individuals."""
+    return scaled.groupBy(*columns).agg(F.coalesce(F.min("id"), F.lit(NOBODY)).alias("cluster"), F.count("*").cast("double").alias("w")).select("cluster", "w", *columns)
 
 
 def merge_cost(a: Column, b: Column, columns: tuple[str, ...]) -> Column:
@@ -52,17 +56,122 @@ def _adjacent(clusters: DataFrame, columns: tuple[str, ...], parts: int) -> Data
         F.struct(*[F.col(side)[c].alias(c) for c in fields]).alias(n) for side, n in (("last", "a"), ("next", "b"))]))
 
 
+def _seeded(pairs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(cluster, w, features, cost, partner): the cheapest of the neighbours of each cluster."""
+    sides = F.array(*[F.struct(F.col(x).alias("me"), F.col(y).alias("you")) for x, y in ("ab", "ba")])
+    each = pairs.select(F.explode(sides).alias("p")).select("p.*")
+    best = F.struct(merge_cost(F.col("me"), F.col("you"), columns).alias("cost"), F.col("you.cluster").alias("partner"))
+    return each.withColumn("best", best).groupBy("me.cluster").agg(F.first("me").alias("me"), F.min("best").alias("best")).select("me.*", "best.*")
+
+
+class Borders:
+    """A tree of cuts that puts clusters near each other into one block; ``rows`` (a row for each feature) only place the cuts."""
+
+    def __init__(self, rows: np.ndarray, blocks: int):
+        self.axis, self.cut, self.child = [], [], []
+        self._grow(rows, blocks)
+        self.axis, self.cut, self.child = np.array(self.axis), np.array(self.cut), np.array(self.child)
+
+    def _grow(self, rows: np.ndarray, blocks: int) -> int:
+        node = len(self.axis)
+        self.axis.append(-1)
+        self.cut.append(0.0)
+        self.child.append((node, node))
+        if blocks > 1 and rows.shape[1] > 1 and np.ptp(rows, axis=1).max() > 0:
+            axis = int(np.argmax(np.ptp(rows, axis=1)))
+            x = rows[axis]
+            cut = np.median(x)
+            if not (x < cut).any():
+                cut = x[x > cut].min()
+            less = x < cut
+            part = min(max(1, round(blocks * less.mean())), blocks - 1)
+            self.axis[node], self.cut[node] = axis, cut
+            self.child[node] = (self._grow(rows[:, less], part), self._grow(rows[:, ~less], blocks - part))
+        return node
+
+    def block(self, features: np.ndarray) -> np.ndarray:
+        at, every = np.zeros(features.shape[1], dtype=np.int64), np.arange(features.shape[1])
+        while (self.axis[at] >= 0).any():
+            right = features[np.maximum(self.axis[at], 0), every] >= self.cut[at]
+            at = self.child[at, right.astype(np.int64)]
+        return at
+
+
+def _arrays(rows: pa.Table | pa.RecordBatch, columns: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return rows.column("cluster").to_numpy(), rows.column("w").to_numpy(), np.stack([rows.column(c).to_numpy() for c in columns])
+
+
+def _blocked(clusters: DataFrame, count: int, columns: tuple[str, ...]) -> DataFrame:
+    """The clusters with the number of their block, of about ``BLOCK_ROWS`` rows each."""
+    blocks = min(-(-count // BLOCK_ROWS), BORDER_ROWS // 32)
+    placing = clusters.select(*columns).sample(min(1.0, BORDER_ROWS / count), seed=1).toArrow()  # borders only; every cluster has a block
+    borders = Borders(np.stack([placing.column(c).to_numpy() for c in columns]), blocks)
+
+    def put(batches):
+        for b in batches:
+            yield b.append_column("block", pa.array(borders.block(_arrays(b, columns)[2])))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clusters.schema.fields)
+    return clusters.mapInArrow(put, f"{fields}, block bigint")
+
+
+def cheapest(clusters: DataFrame, count: int, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(cluster, w, features, cost, partner): the cheapest partner of each cluster among all others, ties to the smallest number."""
+    parts = max(2, -(-count // RANGE_ROWS))
+    blocked = settle(_blocked(settle(_seeded(_adjacent(clusters, columns, parts), columns), "seeded"), count, columns), "blocked")
+    boxes = blocked.groupBy("block").agg(F.min("w"), *[f(c) for f in (F.min, F.max) for c in columns]).orderBy("block").toArrow()
+    block, light, *sides = [c.to_numpy() for c in boxes.columns]
+    low, high = np.stack(sides[:len(columns)]), np.stack(sides[len(columns):])
+    tasks = len(block)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocked.schema.fields)
+    found = "cluster bigint, cost double, partner bigint"
+
+    def inside(rows: pa.Table) -> pa.Table:
+        leaves = Leaves(*_arrays(rows, columns))
+        leaves.start(rows.column("cost").to_numpy(), rows.column("partner").to_numpy())
+        look_up(leaves, leaves)
+        for name, values in zip(("cost", "partner"), leaves.found()):
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values))
+        return rows
+
+    def route(batches):
+        step = max(1, CELLS // tasks)
+        for b in (part.slice(i, step) for part in batches for i in range(0, part.num_rows, step)):
+            _, w, f = _arrays(b, columns)
+            bound = box_bound(w[:, None], f[:, :, None], f[:, :, None], light, low[:, None], high[:, None])
+            row, to = np.nonzero((bound <= b.column("cost").to_numpy()[:, None]) & (b.column("block").to_numpy()[:, None] != block))
+            asked = b.take(pa.array(row))
+            yield asked.set_column(asked.schema.get_field_index("block"), "block", pa.array(block[to]))
+
+    def across(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return asked.select(["cluster", "cost", "partner"])
+        ask = Leaves(*_arrays(asked, columns))
+        cost, partner = asked.column("cost").to_numpy(), asked.column("partner").to_numpy()
+        ask.start(cost, partner)
+        look_up(ask, Leaves(*_arrays(rows, columns)))
+        least, who = ask.found()
+        better = np.flatnonzero((least < cost) | (who != partner))
+        return pa.table({"cluster": asked.column("cluster").to_numpy()[better], "cost": least[better], "partner": who[better]})
+
+    own = settle(blocked.repartition(tasks, "block").groupBy("block").applyInArrow(inside, schema), "own")
+    asked = settle(own.mapInArrow(route, schema), "asked")
+    sizes = settle(asked.groupBy("block").agg(F.ceil(F.count("*") / ASK_ROWS).cast("int").alias("pieces")), "sizes")
+    key = ["block", "piece"]
+    asking = asked.join(sizes, "block").withColumn("piece", F.pmod(F.xxhash64("cluster"), "pieces").cast("int")).drop("pieces")
+    holding = blocked.drop("cost", "partner").join(sizes, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    answers = asking.repartition(tasks, *key).groupBy(*key).cogroup(holding.repartition(tasks, *key).groupBy(*key)).applyInArrow(across, found)
+    offers = own.drop("block").unionByName(answers, allowMissingColumns=True)
+    return offers.groupBy("cluster").agg(
+        *[F.max(c).alias(c) for c in ("w", *columns)], F.min(F.struct("cost", "partner")).alias("best")).select("cluster", "w", *columns, "best.*")
+
+
 def merge_round(clusters: DataFrame, count: int, k: int, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """(cluster, into, w, features) of the clusters that merge in this round."""
-    parts = max(2, -(-count // RANGE_ROWS))
-    pairs = _adjacent(clusters, columns, parts)
-    swap = F.col("a.cluster") > F.col("b.cluster")
-    ends = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
-    costed = ends.select("a", "b", F.struct(
-        merge_cost(F.col("a"), F.col("b"), columns).alias("cost"), F.col("a.cluster").alias("lo"), F.col("b.cluster").alias("hi")).alias("edge"))
-    named = costed.select(F.explode(F.array("edge.lo", "edge.hi")).alias("cluster"), "edge", "a", "b").groupBy("cluster").agg(
-        F.min(F.struct("edge", "a", "b")).alias("best"))
-    mutual = named.groupBy("best").agg(F.count("*").alias("n")).filter("n = 2").select("best.*")
+    side = F.struct("w", *columns)
+    edge = F.struct("cost", F.least("cluster", "partner").alias("lo"), F.greatest("cluster", "partner").alias("hi"))
+    mutual = cheapest(clusters, count, columns).withColumn("edge", edge).groupBy("edge").agg(
+        F.count("*").alias("n"), F.min_by(side, "cluster").alias("a"), F.max_by(side, "cluster").alias("b")).filter("n = 2")
     chosen = settle(mutual, "mutual")
     if chosen.count() > count - k:
         chosen = chosen.orderBy("edge").limit(count - k)
@@ -79,25 +188,11 @@ def merged_rows(numbers: np.ndarray, weight: np.ndarray, features: np.ndarray, k
     at = np.arange(len(numbers))  # where each row's cluster is kept: at the row of its smallest number
     live = np.arange(len(numbers))
     while len(live) > k:
-        pairs = []
-        for x in f:
-            line = live[np.lexsort((live, x[live]))]
-            pairs.append(np.minimum(line[:-1], line[1:]) * len(numbers) + np.maximum(line[:-1], line[1:]))
-        lo, hi = np.divmod(np.unique(np.concatenate(pairs)), len(numbers))
-        gower = np.zeros(len(lo))
-        for i, x in enumerate(f):
-            part = np.abs(x[lo] - x[hi])
-            gower = part if i == 0 else gower + part
-        gower = gower / float(len(f))
-        cost = w[lo] * w[hi] / (w[lo] + w[hi]) * (gower * gower)
-        rank = np.empty(len(lo), dtype=np.int64)
-        rank[np.lexsort((hi, lo, cost))] = np.arange(len(lo))
-        best = np.full(len(numbers), len(lo))
-        np.minimum.at(best, lo, rank)
-        np.minimum.at(best, hi, rank)
-        mutual = np.flatnonzero((best[lo] == rank) & (best[hi] == rank))
-        mutual = mutual[np.argsort(rank[mutual])][:len(live) - k]
-        lo, hi = lo[mutual], hi[mutual]
+        cost, partner = np.empty(len(numbers)), np.empty(len(numbers), dtype=np.int64)
+        cost[live], partner[live] = cheapest_partners(live, w[live], f[:, live])
+        lo = live[(partner[partner[live]] == live) & (live < partner[live])]
+        lo = lo[np.lexsort((partner[lo], lo, cost[lo]))][:len(live) - k]
+        hi = partner[lo]
         total = w[lo] + w[hi]
         for x in f:
             x[lo] = (w[lo] * x[lo] + w[hi] * x[hi]) / total

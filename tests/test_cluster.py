@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import cluster as cl
 from sightline.operators import hierarchy as hy
+from sightline.operators import partners as pt
 from sightline.operators.fidelity import FEATURES
 from sightline.operators.prefix import pair_products
 
@@ -166,3 +167,93 @@ def test_neighbours_of_all_features_in_one_table(spark):
     got = sorted((r.a.cluster, r.b.cluster) for r in hy._adjacent(df, FEATURES, 5).collect())
     orders = [np.lexsort((np.arange(60), v)).tolist() for v in x.T]
     assert got == sorted(step for line in orders for step in zip(line, line[1:]))
+
+
+def _all_pairs(number, w, f):
+    """(cost, number of the partner) of each cluster from the costs of all pairs."""
+    gower = sum(np.abs(x[:, None] - x) for x in f) / float(len(f))
+    cost = w[:, None] * w / (w[:, None] + w) * (gower * gower)
+    np.fill_diagonal(cost, np.inf)
+    least = cost.min(axis=1)
+    return least, np.where(cost == least[:, None], number, np.iinfo(np.int64).max).min(axis=1)
+
+
+def _tree(number, w, f, k):
+    """The cluster of each row when all pairs are candidates in each round."""
+    at, w, f = {n: n for n in number}, dict(zip(number, w)), dict(zip(number, f.T))
+    while len(w) > k:
+        live = np.array(sorted(w))
+        cost, partner = _all_pairs(live, np.array([w[n] for n in live]), np.array([f[n] for n in live]).T)
+        name = dict(zip(live, partner))
+        edges = sorted((c, a, b) for c, a, b in zip(cost, live, partner) if a < b and name[b] == a)[:len(w) - k]
+        for _, a, b in edges:
+            f[a] = (w[a] * f[a] + w[b] * f[b]) / (w[a] + w[b])
+            w[a] += w.pop(b)
+            at = {n: a if c == b else c for n, c in at.items()}
+    return [at[n] for n in number]
+
+
+def _clusters(seed, n, digits):
+    """Tuples with some far off and some heavy; few digits give many equal costs."""
+    rng = np.random.default_rng(seed)
+    x = np.unique(np.round(rng.random((n, len(FEATURES))) ** 2, digits), axis=0)
+    x[-1] = 3.0
+    number, w = rng.permutation(10 * len(x))[:len(x)], np.where(rng.random(len(x)) < 0.1, rng.integers(2, 900, len(x)), 1).astype(float)
+    return number, w, np.ascontiguousarray(x.T)
+
+
+@pytest.mark.parametrize("digits", [1, 6])
+def test_partner_is_the_cheapest_of_all_clusters(digits):
+    for seed, n in enumerate((2, 3, 31, 700, 2000)):
+        number, w, f = _clusters(seed, n, digits)
+        cost, partner = pt.cheapest_partners(number, w, f)
+        least, who = _all_pairs(number, w, f)
+        assert (cost == least).all() and (partner == who).all()
+
+
+def test_a_pair_that_no_feature_puts_side_by_side_merges():
+    """Clusters 0 and 1 are cheapest to each other, but in the order of each feature another stands between them."""
+    x = np.full((8, 6), 0.4)
+    x[1] = 0.402
+    for i in range(6):
+        x[2 + i] = np.arange(6) / 5 > (i / 5)
+        x[2 + i, i] = 0.401
+    number, w = np.arange(8), np.ones(8)
+    f = np.ascontiguousarray(x.T)
+    assert all(abs(r[0] - r[1]) > 1 for r in np.argsort(np.argsort(f, axis=1, kind="stable"), axis=1)[:, :2])
+    got = hy.merged_rows(number, w, f, 7)
+    assert got.tolist() == [0, 0, 2, 3, 4, 5, 6, 7] == _tree(number, w, f, 7)
+
+
+@pytest.mark.parametrize("digits", [1, 6])
+def test_groups_in_one_task_are_those_of_all_pairs(digits):
+    number, w, f = _clusters(7, 300, digits)
+    assert hy.merged_rows(number, w, f, 3).tolist() == _tree(number, w, f, 3)
+
+
+def test_partners_across_blocks(spark, monkeypatch):
+    """Small blocks, borders from some rows only, asks in several pieces: still the cheapest of all."""
+    monkeypatch.setattr(hy, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(hy, "BORDER_ROWS", 320)
+    monkeypatch.setattr(hy, "ASK_ROWS", 7)
+    number, w, f = _clusters(5, 400, 1)
+    rows = [(int(n), float(v), *map(float, x)) for n, v, x in zip(number, w, f.T)]
+    df = spark.createDataFrame(rows, "cluster bigint, w double, " + ", ".join(f"{c} double" for c in FEATURES))
+    got = sorted((r.cluster, r.w, r.cost, r.partner, *[r[c] for c in FEATURES]) for r in hy.cheapest(df, len(rows)).collect())
+    cost, partner = _all_pairs(number, w, f)
+    assert got == sorted((n, v, c, p, *x) for (n, v, *x), c, p in zip(rows, cost.tolist(), partner.tolist()))
+
+
+def test_groups_of_rounds_as_spark_jobs_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(hy, "BLOCK_ROWS", 30)
+    number, w, f = _clusters(3, 150, 6)
+    rows = [(int(n), float(v), *map(float, x)) for n, v, x in zip(number, w, f.T)]
+    df = spark.createDataFrame(rows, "cluster bigint, w double, " + ", ".join(f"{c} double" for c in FEATURES))
+    got = {r.member: r.cluster for r in hy.agglomerate(df, 3, tail=90).collect()}
+    assert [got[n] for n in number] == _tree(number, w, f, 3)
+
+
+def test_an_individual_without_a_number_has_a_group(spark):
+    schema = "id bigint, " + ", ".join(f"{c} double" for c in FEATURES)
+    df = spark.createDataFrame([(1, *[.1] * 6), (2, *[.2] * 6), (3, *[.7] * 6), (None, *[.9] * 6)], schema)
+    assert {tuple(r) for r in hy.hierarchical_labels(df, 3).collect()} == {(None, 1), (3, 2), (1, 3), (2, 3)}
